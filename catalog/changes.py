@@ -87,21 +87,29 @@ _PAIR = FOLD.rstrip("\n") + """,
 """
 
 
-@query("snapshot_new", _PAIR + "SELECT id, round(now, 4) AS price FROM c WHERE status = 'new'")
+def _events(spark, sf):
+    log = snapshot_log(spark, sf, True)
+    return snapshots.presence_events(log, ["profile", "id"], snapshots.run_calendar(log, ["profile"]), ["profile"])
+
+
+PRESENCE = b.with_(_snap(True), _presence(True))
+
+
+@query("snapshot_new", PRESENCE + "SELECT profile, id, run::varchar AS run FROM pres WHERE before IS NULL")
 def _(spark, sf):
-    d = snapshots.diff(*last_pair(spark, sf))
-    return d.where(F.col("status") == "new").select("id", F.col("now").alias("price"))
+    return _events(spark, sf).where(F.col("added")).select("profile", "id", "run")
 
 
-@query("snapshot_gone", _PAIR + "SELECT id, round(was, 4) AS price FROM c WHERE status = 'gone'")
+@query("snapshot_gone", PRESENCE + """SELECT profile, id, next_run::varchar AS run FROM pres
+  WHERE next_run IS NOT NULL AND (after IS NULL OR after <> next_run)""")
 def _(spark, sf):
-    d = snapshots.diff(*last_pair(spark, sf))
-    return d.where(F.col("status") == "gone").select("id", F.col("was").alias("price"))
+    return (_events(spark, sf).where(F.col("gone_run").isNotNull())
+            .select("profile", "id", F.col("gone_run").alias("run")))
 
 
-@query("snapshot_reappear", _PAIR + "SELECT id, round(was, 4) AS was, round(now, 4) AS now FROM c WHERE known AND seen AND was_gone")
+@query("snapshot_reappear", PRESENCE + "SELECT profile, id, run::varchar AS run FROM pres WHERE before IS NOT NULL AND before <> prev_run")
 def _(spark, sf):
-    return snapshots.diff(*last_pair(spark, sf)).where(F.col("back")).select("id", "was", "now")
+    return _events(spark, sf).where(F.col("back")).select("profile", "id", "run")
 
 
 @query("change_class", _PAIR + "SELECT id, round(was, 4) AS was, round(now, 4) AS now, status FROM c")

@@ -54,9 +54,9 @@ def _(spark, sf):
 
 @query("listing_age_days", L + f"""SELECT id, age::bigint AS age, CASE WHEN age IS NULL THEN NULL WHEN age = 0 THEN 'today'
     WHEN age <= 3 THEN 'new' ELSE 'older' END AS bucket
-  FROM (SELECT id, date_diff('day', posted::date, {AS_OF}::date) AS age FROM listings)""")
+  FROM (SELECT id, date_diff('day', posted::date, DATE '2001-10-01') AS age FROM listings)""")
 def _(spark, sf):
-    age = labels.age_days("posted", b.as_of())
+    age = labels.age_days("posted", labels.as_ntz("2001-10-01 00:00:00"))
     return b.listings(spark, sf, False).select("id", age.alias("age"), labels.age_bucket(age).alias("bucket"))
 
 
@@ -142,7 +142,7 @@ def _(spark, sf):
     return df.select(F.explode(states).alias("state"), "id")
 
 
-_filter("filter_new_posted", lambda: filters.posted_within(7, b.as_of()), f"posted > {AS_OF} - INTERVAL 7 DAY")
+_filter("filter_new_posted", lambda: filters.posted_within(90, b.as_of()), f"posted > {AS_OF} - INTERVAL 90 DAY")
 _filter("filter_price_down", prices.is_price_down,
         "coalesce(drop_abs < 0, false) OR coalesce(old_price > price, false)")
 
