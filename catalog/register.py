@@ -129,7 +129,6 @@ def _(spark, sf):
 
 @query("norm_house", """SELECT p_partkey, translate(lower(regexp_replace(p_size || ' В ' || chr(1040 + p_size % 8), '\\s+', '', 'g')), 'абвгдеж', 'abvgdej') AS house FROM part""")
 def _(spark, sf):
-    letter = F.char(F.lit(65))  # replaced below by a Cyrillic letter derived from the size
     letters = F.array(*[F.lit(chr(1040 + i)) for i in range(8)])
     letter = F.get(letters, F.col("p_size") % 8)
     return b.table(spark, sf, "part").select(

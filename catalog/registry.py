@@ -17,7 +17,7 @@ def present(df: DataFrame, digits=4) -> DataFrame:
         if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)):
             c = c.cast("bigint")
         elif isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = c.cast("double") if digits is None else F.round(c.cast("double"), digits)
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(t, T.DateType):
@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None, digits=4):
     """Register a query under its name together with the SQL that must give the same rows.
 
     ``digits`` is the number of decimals both sides print. Quotients such as price / 16 end
-    exactly on a half at four decimals, where engines round differently; those print eight.
+    exactly on a half at four decimals, where engines round differently; those print eight. None prints doubles as they are.
     """
     def wrap(fn):
         QUERIES[name] = lambda spark, sf_dir: present(fn(spark, sf_dir), digits)

@@ -21,7 +21,7 @@ def _found(text: Column, pattern: str, group=0) -> Column:
 
 def first_int(text) -> Column:
     """First signed run of digits ("1 200" gives 1); none gives NULL."""
-    return F.expr("bigint(null)") if text is None else _found(_c(text).cast("string"), r"-?\d+").try_cast("bigint")
+    return _found(_c(text).cast("string"), r"-?\d+").try_cast("bigint")
 
 
 def first_number(text) -> Column:
@@ -65,7 +65,7 @@ def html_clean(text) -> Column:
     out = F.regexp_replace(_c(text), "<[^>]+>", "")
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
 @F.pandas_udf("string")

@@ -122,10 +122,17 @@ def address_pairs(listings: DataFrame, buildings: DataFrame, block: Sequence[str
 
 
 def score_streets(pairs: DataFrame, score: Callable[[Column, Column], Column] = address.edit_similarity) -> DataFrame:
-    """Similarity of the two street names, computed once per distinct pair of names."""
+    """Similarity of the two street names, computed once per distinct pair of names.
+
+    The sound keys are derived once per distinct name and joined, so that neither a pushed filter
+    nor a repeated reference evaluates them again per pair.
+    """
     names = pairs.select("street", "b_street").distinct()
-    scored = names.withColumns({"__a": address.street_key("street"), "__b": address.street_key("b_street")})
-    scored = scored.withColumn("score", score(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+    every = names.select("street").union(names.select("b_street")).distinct()
+    keys = every.withColumn("__key", address.street_key("street"))
+    keyed = (names.join(keys.withColumnRenamed("__key", "__a"), "street")
+             .join(keys.withColumnsRenamed({"street": "b_street", "__key": "__b"}), "b_street"))
+    scored = keyed.withColumn("score", score(F.col("__a"), F.col("__b"))).drop("__a", "__b")
     return pairs.join(scored, ["street", "b_street"])
 
 
