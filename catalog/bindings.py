@@ -10,6 +10,7 @@ from stallwise.operators.benchmark import active_pool, segment_median, with_benc
 from stallwise.operators.filters import pool_rules
 from stallwise.operators.joins import listing_view
 from stallwise.operators.skew import first_per_key
+from stallwise.sources.sinks import stored
 
 AS_OF_TEXT = "2001-11-30 00:00:00"
 AUTHORS = {"private": "N", "business": "A", "developer": "R"}
@@ -150,7 +151,7 @@ SQL_LISTINGS = f"""listings AS (
 def bench(spark, sf, view: DataFrame | None = None) -> DataFrame:
     """Benchmark of the active apartments; shares the caller's listing view."""
     view = listings(spark, sf, False) if view is None else view
-    return segment_median(view.where(active_pool()), pool=pool_rules(**POOL))
+    return stored(segment_median(view.where(active_pool()), pool=pool_rules(**POOL)), "benchmark")
 
 
 def priced(spark, sf) -> DataFrame:

@@ -128,7 +128,7 @@ def _(spark, sf):
     max(run) FILTER (was IS NOT NULL)::varchar AS price_changed_at, round(arg_min(seen, k), 4) AS first_price, count(was) AS changes
   FROM fold GROUP BY id""")
 def _(spark, sf):
-    state, history, _ = snapshots.replay(snapshot_log(spark, sf))
+    state, history, _ = snapshots.replay(snapshot_log(spark, sf), store=True)
     changes = history.groupBy("id").agg(F.count("prev_price").alias("changes"))
     return state.join(changes, "id").select("id", "price", "prev_price", "price_changed_at", "first_price", "changes")
 

@@ -37,7 +37,7 @@ def _(spark, sf):
                                    prices.effective_drop_pct().alias("drop_pct"))
 
 
-@query("discount_vs_median", P + "SELECT id, round(med_ppm, 4) AS med_ppm, round(discount, 4) AS discount FROM priced")
+@query("discount_vs_median", P + "SELECT id, round(med_ppm, 8) AS med_ppm, round(discount, 8) AS discount FROM priced", digits=8)
 def _(spark, sf):
     return b.priced(spark, sf).select("id", "med_ppm", "discount")
 
@@ -256,7 +256,7 @@ def _(spark, sf):
     return b.listings(spark, sf).select("id", "area", "district", "favorite", "hidden", "note")
 
 
-@query("left_benchmark", P + "SELECT id, district, rooms_n::bigint AS rooms_n, housing_stock, round(med_ppm, 4) AS med_ppm, pool_n FROM priced")
+@query("left_benchmark", P + "SELECT id, district, rooms_n::bigint AS rooms_n, housing_stock, round(med_ppm, 8) AS med_ppm, pool_n FROM priced", digits=8)
 def _(spark, sf):
     return b.priced(spark, sf).select("id", "district", "rooms_n", "housing_stock", "med_ppm", "pool_n")
 
@@ -292,7 +292,7 @@ def _(spark, sf):
 
 # ---- pages, benchmark, deals -------------------------------------------------------------
 
-@query("segment_median", b.W_BENCH + "SELECT district, rooms_n::bigint AS rooms_n, housing_stock, round(med_ppm, 4) AS med_ppm, pool_n FROM bench")
+@query("segment_median", b.W_BENCH + "SELECT district, rooms_n::bigint AS rooms_n, housing_stock, round(med_ppm, 8) AS med_ppm, pool_n FROM bench", digits=8)
 def _(spark, sf):
     return b.bench(spark, sf)
 

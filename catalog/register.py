@@ -24,19 +24,23 @@ def sql_side(name, status):
     ORDER BY l_quantity, l_extendedprice, l_shipdate, l_returnflag) AS pick FROM lineitem WHERE l_linestatus = '{status}') WHERE pick = 1)"""
 
 
-_ID = F.concat_ws("-", *KEY)
+
+def line_id():
+    return F.concat_ws("-", *KEY)
+
+
 _SQL_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
 def wanted(spark, sf):
     return side(spark, sf, "O").select(
-        _ID.alias("id"), F.col("l_partkey").alias("building"), F.col("l_linenumber").alias("floor"),
+        line_id().alias("id"), F.col("l_partkey").alias("building"), F.col("l_linenumber").alias("floor"),
         F.col("l_quantity").alias("area"), "l_returnflag")
 
 
 def units(spark, sf):
     return side(spark, sf, "F").select(
-        _ID.alias("code"), F.col("l_partkey").alias("building"), F.col("l_linenumber").alias("floor"),
+        line_id().alias("code"), F.col("l_partkey").alias("building"), F.col("l_linenumber").alias("floor"),
         F.col("l_quantity").alias("area"), F.round("l_extendedprice").cast("bigint").alias("value"))
 
 

@@ -8,6 +8,7 @@ from catalog.registry import query
 from stallwise import vocab
 from stallwise.functions import labels
 from stallwise.plans import trends
+from stallwise.sources.sinks import stored
 
 NONE = f"'{vocab.ALL_LISTINGS}'"
 ROOMS = ("CASE WHEN rooms_n = 0 THEN 'студия' WHEN rooms_n >= 5 THEN '5+ комн.' ELSE rooms_n || '-комн.' END")
@@ -55,7 +56,9 @@ def market(spark, sf, gone=False):
 
 
 def cells(spark, sf, group, months=24):
-    return trends.cells(market(spark, sf), labels.trend_groups(authors=b.AUTHORS)[group], b.as_of(), months)
+    """The cube, stored: the operators on top of it read it several times."""
+    cube = trends.cells(market(spark, sf), labels.trend_groups(authors=b.AUTHORS)[group], b.as_of(), months)
+    return stored(cube, "cube")
 
 
 _KEYS = {

@@ -1,8 +1,9 @@
 """Addresses: splitting, normalising and sound-alike street keys."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 import pandas as pd
+from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 from stallwise import vocab
 from stallwise.functions.text import strip_marks
@@ -73,7 +74,7 @@ def edit_similarity(a, b) -> Column:
             .otherwise(1.0 - F.try_divide(F.levenshtein(a, b).cast("double"), longer)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     import difflib
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from stallwise import vocab
 
@@ -68,7 +69,7 @@ def html_clean(text) -> Column:
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     import html
     return text.map(html.unescape, na_action="ignore")
@@ -104,7 +105,7 @@ def plain(text) -> Column:
     return F.trim(F.lower(strip_marks(text)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decompose(text: pd.Series) -> pd.Series:
     import unicodedata as ud
 

@@ -9,6 +9,7 @@ from stallwise import vocab
 from stallwise.functions import prices
 from stallwise.operators.filters import deal_rules, pool_rules
 from stallwise.operators.skew import group_quantiles
+from stallwise.sources.sinks import stored
 
 SEGMENT = ("district", "rooms_n", "housing_stock")
 
@@ -24,14 +25,15 @@ def segment_median(df: DataFrame, keys: Sequence[str] = SEGMENT, value="ppm",
     if approx:
         return df.groupBy(*keys).agg(F.percentile_approx(value, 0.5, 100000).alias("med_ppm"),
                                      F.count(value).alias("pool_n"))
-    return group_quantiles(df, keys, value, {"med_ppm": 0.5}, count_as="pool_n")
+    return group_quantiles(df, keys, value, {"med_ppm": 0.5}, count_as="pool_n", store=True)
 
 
 def with_benchmark(df: DataFrame, bench: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """Attach the segment benchmark; a NULL in the segment never matches.
 
-    One row per segment: adaptive execution broadcasts it when it measures small enough and
-    otherwise splits skewed segments.
+    Pass a benchmark read from a table (``sources.sinks.stored``): its size is then known when the
+    join is planned, and listings are not shuffled by segment just to meet one row per segment.
+    Larger benchmarks are joined by shuffle, where adaptive execution splits skewed segments.
     """
     joined = df.join(bench, list(keys), "left")
     return joined.withColumns({
@@ -51,7 +53,7 @@ def deals(df: DataFrame, *, min_area=vocab.MIN_AREA, pool_min=vocab.POOL_MIN,
           profile="apartments") -> DataFrame:
     """Active listings priced well below a reliable median of their segment."""
     active = df.where(active_pool(profile))
-    bench = segment_median(active, pool=pool_rules(min_area, price_floor, ppm_range, city))
+    bench = stored(segment_median(active, pool=pool_rules(min_area, price_floor, ppm_range, city)), "benchmark")
     gate = deal_rules(min_area, price_floor, ppm_range, city)
     if not allow_terms:
         gate = gate & (F.coalesce(F.col("terms_flag").cast("int"), F.lit(0)) == 0)

@@ -57,7 +57,7 @@ def tolerance_match(ads: DataFrame, units: DataFrame, keys: Sequence[str] = PLAC
                .groupBy(*keys, F.col("area").cast("double").alias("unit_area"), "value")
                .agg(F.count(F.lit(1)).alias("__c")))
     pairs = _near_pairs(probes, counted, keys, tolerances)
-    tiers = group_quantiles(pairs, [*keys, "area", "tolerance"], "value", {"med": 0.5}, weight="__c", extremes=True)
+    tiers = group_quantiles(pairs, [*keys, "area", "tolerance"], "value", {"med": 0.5}, weight="__c", extremes=True, store=True)
     result = F.struct("tolerance", "n", F.col("min").cast("bigint").alias("value_min"),
                       F.bround("med").cast("bigint").alias("value_med"), F.col("max").cast("bigint").alias("value_max"))
     best = tiers.groupBy(*keys, "area").agg(F.min_by(result, "tolerance").alias("m"))

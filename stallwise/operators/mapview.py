@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions.geo import point_key
 from stallwise.operators.skew import null_safe_join, pick_ranks, top_per_key
+from stallwise.sources.sinks import stored
 
 SHARES = (0.2, 0.4, 0.6, 0.8)
 
@@ -63,7 +64,8 @@ def colour_bucket(value, breaks=("b1", "b2", "b3", "b4"), inverted: Column | boo
 
 
 def coloured_cells(df: DataFrame, deals_tab=False) -> DataFrame:
-    layer = layer_value(df, deals_tab)
+    slim = df.select("id", "lat", "lon", "price", "ppm", "discount", "favorite")
+    layer = layer_value(stored(slim, "map-layer"), deals_tab)
     breaks = quintile_breaks(layer).select(F.struct("b1", "b2", "b3", "b4").alias("breaks"))
     inverted = layer.agg(F.coalesce(F.bool_or("inverted"), F.lit(False)).alias("inverted"))
     # both sides of the comparison are scalars of the whole layer, not joins

@@ -4,6 +4,11 @@ Ranks and quantiles inside a group are found by a histogram, not by collecting t
 values are counted per (group, bucket) with map-side partial aggregation, the small histogram
 is accumulated, and only the buckets that hold a wanted rank are looked at value by value.
 A bucket spans about 1/8192 of an e-fold, so even a huge group is spread over thousands of them.
+
+The wanted buckets (a few rows per group) are written to the work folder before the second pass.
+Spark then plans that join with their true size: a broadcast below
+``spark.sql.autoBroadcastJoinThreshold``, so that the data is only scanned and filtered, and a
+shuffled join on (group, bucket) above it.
 """
 from __future__ import annotations
 
@@ -11,6 +16,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stallwise.sources.sinks import stored
+
 BUCKETS_PER_E_FOLD = 8192.0
 
 
@@ -51,18 +58,22 @@ def _histogram(src: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pick_ranks(df: DataFrame, keys: Sequence[str], value, picks: Mapping[str, Callable[[Column], Column]],
-               *, weight=None, count_as: str = "n") -> DataFrame:
+               *, weight=None, count_as: str = "n", store=False) -> DataFrame:
     """Exact values at given 0-based ranks of every group.
 
     ``picks`` maps an output column to a function from the group size to the wanted rank.
     ``weight`` counts a row several times. NULL and NaN values are not part of a group.
+    The values are read twice; ``store`` writes the slim (group, value) rows first, which pays
+    when they come out of a join rather than a scan.
     """
     keys = list(keys)
     v = _col(value).cast("double")
     w = (F.lit(1) if weight is None else _col(weight)).cast("bigint")
     src = (df.select(*keys, v.alias("__v"), w.alias("__w"))
-           .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-           .withColumn("__b", value_bucket(F.col("__v"))))
+           .where(F.col("__v").isNotNull() & ~F.isnan("__v")))
+    if store:
+        src = stored(src, "values")
+    src = src.withColumn("__b", value_bucket(F.col("__v")))
     hist = _histogram(src, keys)
     names = list(picks)
     inside = []
@@ -72,6 +83,7 @@ def pick_ranks(df: DataFrame, keys: Sequence[str], value, picks: Mapping[str, Ca
         inside.append(F.when((offset >= 0) & (offset < F.col("__c")), offset).alias(f"__k_{name}"))
     targets = (hist.select(*keys, "__b", "__n", *inside)
                .where(F.coalesce(*[F.col(f"__k_{n}") for n in names]).isNotNull()))
+    targets = stored(targets, "ranks")
     wanted = null_safe_join(src, targets, keys + ["__b"])
     runs = (wanted.groupBy(*keys, "__b", "__n", *[f"__k_{n}" for n in names], "__v")
             .agg(F.sum("__w").alias("__c")))
@@ -85,7 +97,7 @@ def pick_ranks(df: DataFrame, keys: Sequence[str], value, picks: Mapping[str, Ca
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value, probs: Mapping[str, float],
-                    *, weight=None, count_as: str = "n", extremes=False) -> DataFrame:
+                    *, weight=None, count_as: str = "n", extremes=False, store=False) -> DataFrame:
     """Exact interpolated quantiles of every group: value at q*(n-1), linear between neighbours."""
     picks: dict[str, Callable[[Column], Column]] = {}
     for name, q in probs.items():
@@ -97,7 +109,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value, probs: Mapping[st
         picks[f"{name}__lo"], picks[f"{name}__hi"] = low, high
     if extremes:
         picks["min"], picks["max"] = (lambda n: n * 0), (lambda n: n - 1)
-    got = pick_ranks(df, keys, value, picks, weight=weight, count_as=count_as)
+    got = pick_ranks(df, keys, value, picks, weight=weight, count_as=count_as, store=store)
     cols = []
     for name, q in probs.items():
         lo, hi = F.col(f"{name}__lo"), F.col(f"{name}__hi")

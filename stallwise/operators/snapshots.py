@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise import vocab
 from stallwise.operators.skew import first_per_key
+from stallwise.sources.sinks import stored
 
 
 class Replay(NamedTuple):
@@ -130,10 +131,14 @@ def _scope(columns: Sequence[str]):
 
 
 def run_calendar(log: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Runs with their successor: one small row per run."""
+    """Runs with their neighbours: one small row per run.
+
+    Written to the work folder, so that later joins are planned with its true size and the log
+    itself is not shuffled by run.
+    """
     runs = log.select(*scope, "run").distinct()
     w = _scope(scope).orderBy("run")
-    return runs.withColumns({"prev_run": F.lag("run").over(w), "next_run": F.lead("run").over(w)})
+    return stored(runs.withColumns({"prev_run": F.lag("run").over(w), "next_run": F.lead("run").over(w)}), "runs")
 
 
 def presence_events(log: DataFrame, keys: Sequence[str], calendar: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -156,14 +161,17 @@ def lifecycle(log: DataFrame, keys: Sequence[str] = ("id",), scope: Sequence[str
 
 
 def replay(log: DataFrame, keys: Sequence[str] = ("id",), scope: Sequence[str] = (),
-           tol=vocab.PRICE_TOLERANCE, state: DataFrame | None = None) -> Replay:
+           tol=vocab.PRICE_TOLERANCE, state: DataFrame | None = None, store=False) -> Replay:
     """Replay full snapshots, optionally on top of an earlier state.
 
     Returns the new state, the history points and the audit of the replayed runs. Replaying a
-    log in pieces gives the same result as replaying it at once.
+    log in pieces gives the same result as replaying it at once. ``store`` writes the folded
+    prices once for callers that use more than one of the results.
     """
     keys, scope = list(keys), list(scope)
     folded = fold_prices(log, keys, tol, state)
+    if store:
+        folded = stored(folded, "folded")
     history = price_history(folded, keys)
 
     sightings = log.select(*keys, "run")

@@ -9,7 +9,9 @@ from stallwise import vocab
 from stallwise.functions import prices
 from stallwise.operators.skew import top_per_key
 
-N = F.count(F.lit(1))
+
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def filled(column: str) -> Column:
@@ -19,7 +21,7 @@ def filled(column: str) -> Column:
 
 def by_district(df: DataFrame, key="district", having=3) -> DataFrame:
     return (df.where(filled(key)).groupBy(key)
-            .agg(N.alias("n"), F.round(F.avg("ppm")).alias("avg_ppm"),
+            .agg(rows().alias("n"), F.round(F.avg("ppm")).alias("avg_ppm"),
                  F.round(F.min("price")).alias("min_price"), F.round(F.avg("price")).alias("avg_price"),
                  F.round(F.max("price")).alias("max_price"))
             .where(F.col("n") >= having))
@@ -30,7 +32,7 @@ def by_group(df: DataFrame, key, having=1, name: str | None = None) -> DataFrame
     c = F.col(key) if isinstance(key, str) else key
     name = name or key
     return (df.withColumn(name, c).where(filled(name)).groupBy(name)
-            .agg(N.alias("n"), F.round(F.avg("price")).alias("avg_price"),
+            .agg(rows().alias("n"), F.round(F.avg("price")).alias("avg_price"),
                  F.round(F.avg("ppm")).alias("avg_ppm"), F.round(F.avg("area"), 1).alias("avg_area"))
             .where(F.col("n") >= having))
 
@@ -38,7 +40,7 @@ def by_group(df: DataFrame, key, having=1, name: str | None = None) -> DataFrame
 def latest_periods(df: DataFrame, stamp: str, fmt: str, k: int, name: str) -> DataFrame:
     """Counts of the latest ``k`` months or days that occur, in ascending order."""
     counts = (df.where(F.col(stamp).isNotNull())
-              .groupBy(F.date_format(stamp, fmt).alias(name)).agg(N.alias("n")))
+              .groupBy(F.date_format(stamp, fmt).alias(name)).agg(rows().alias("n")))
     return counts.orderBy(F.col(name).desc()).limit(k).orderBy(name)
 
 
@@ -53,14 +55,14 @@ def changes_by_day(history: DataFrame, days=60, ts="ts") -> DataFrame:
 def histogram(df: DataFrame, column="price", width=10000) -> DataFrame:
     """Fixed-width buckets of positive values, labelled by their lower edge in thousands."""
     edge = (F.floor(F.col(column) / width) * (width // 1000)).alias("bucket_k")
-    return df.where(F.col(column) > 0).groupBy(edge).agg(N.alias("n"))
+    return df.where(F.col(column) > 0).groupBy(edge).agg(rows().alias("n"))
 
 
 def steps(df: DataFrame, column="price", edges=vocab.PRICE_STEPS) -> DataFrame:
     """Named price steps with their counts; ``lowest`` gives their order."""
     label = prices.price_step(column, edges)
     return (df.where(F.col(column) > 0).groupBy(label.alias("label"))
-            .agg(N.alias("n"), F.min(column).alias("lowest")).orderBy("lowest"))
+            .agg(rows().alias("n"), F.min(column).alias("lowest")).orderBy("lowest"))
 
 
 def profile_summary(df: DataFrame, baselines: DataFrame, as_of: Column, deal_counts: DataFrame,
@@ -70,7 +72,7 @@ def profile_summary(df: DataFrame, baselines: DataFrame, as_of: Column, deal_cou
     fresh = F.col("baseline").isNull() | (F.col("first_seen") > F.col("baseline"))
     recent = F.col("posted") > as_of - F.expr(f"INTERVAL {recent_days} DAYS")
     counts = active.groupBy("profile").agg(
-        N.alias("active"), F.count_if(fresh).alias("fresh"),
+        rows().alias("active"), F.count_if(fresh).alias("fresh"),
         F.count_if(prices.is_price_down()).alias("down"), F.count_if(recent).alias("recent7"))
     return (counts.join(deal_counts, "profile", "left")
             .withColumn("deals", F.coalesce("deals", F.lit(0).cast("bigint"))))
@@ -79,10 +81,10 @@ def profile_summary(df: DataFrame, baselines: DataFrame, as_of: Column, deal_cou
 def table_counters(ads: DataFrame, details: DataFrame, history: DataFrame) -> DataFrame:
     """Active listings per profile and the sizes of the other tables, as (name, n) rows."""
     active = (ads.where(F.col("gone_at").isNull()).groupBy(F.col("profile").alias("name"))
-              .agg(N.alias("n")))
+              .agg(rows().alias("n")))
 
     def total(df, name):
-        return df.agg(N.alias("n")).select(F.lit(name).alias("name"), "n")
+        return df.agg(rows().alias("n")).select(F.lit(name).alias("name"), "n")
     return (active.unionByName(total(details, "_details")).unionByName(total(history, "_history"))
             .unionByName(total(ads.where(F.col("gone_at").isNotNull()), "_gone")))
 
@@ -95,27 +97,27 @@ def facet_topk(df: DataFrame, value, k: int, min_n=1, keys: Sequence[str] = ("pr
     """The ``k`` most frequent values per profile; ties by value."""
     value = F.col(value) if isinstance(value, str) else value
     counts = (df.select(*keys, value.alias("value")).where(F.col("value") != "")
-              .groupBy(*keys, "value").agg(N.alias("n")).where(F.col("n") >= min_n))
+              .groupBy(*keys, "value").agg(rows().alias("n")).where(F.col("n") >= min_n))
     top = top_per_key(counts, keys, [F.col("n").desc(), F.col("value")], k)
     return top.withColumnRenamed("__rn", "place")
 
 
 def segment_ranking(df: DataFrame, key="district") -> DataFrame:
-    return (df.where(filled(key)).groupBy(key).agg(N.alias("n"))
+    return (df.where(filled(key)).groupBy(key).agg(rows().alias("n"))
             .orderBy(F.col("n").desc(), key))
 
 
 def district_head(df: DataFrame, key="district") -> DataFrame:
     """Count, averages and number of price cuts of every district."""
     return (df.where(filled(key)).groupBy(key)
-            .agg(N.alias("n"), F.round(F.avg("ppm")).alias("avg_ppm"),
+            .agg(rows().alias("n"), F.round(F.avg("ppm")).alias("avg_ppm"),
                  F.round(F.avg("price")).alias("avg_price"),
                  F.count_if(prices.drop_abs() < 0).alias("down")))
 
 
 def district_rooms(df: DataFrame, key="district", rooms="rooms_n", having=3) -> DataFrame:
     return (df.where(filled(key) & F.col(rooms).isNotNull()).groupBy(key, rooms)
-            .agg(N.alias("n"), F.round(F.avg("price")).alias("avg_price"),
+            .agg(rows().alias("n"), F.round(F.avg("price")).alias("avg_price"),
                  F.round(F.avg("ppm")).alias("avg_ppm"), F.round(F.avg("area"), 1).alias("avg_area"))
             .where(F.col("n") >= having))
 
@@ -125,4 +127,4 @@ def category_tally(df: DataFrame, label: str, keep) -> DataFrame:
     kept = F.col(label).eqNullSafe(F.lit(keep))
     return (df.groupBy(F.when(kept, "kept").otherwise("dropped").alias("outcome"),
                        F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label"))
-            .agg(N.alias("n")).orderBy(F.col("n").desc(), "label"))
+            .agg(rows().alias("n")).orderBy(F.col("n").desc(), "label"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise import vocab
 from stallwise.operators.skew import group_quantiles
+from stallwise.sources.sinks import stored
 
 MONTH = "yyyy-MM"
 
@@ -30,6 +31,8 @@ def cells(df: DataFrame, group: Column, as_of: Column, months=24, posted="posted
         F.col("price").cast("double").alias("price"),
         F.when(F.col("ppm").between(*sane), F.col("ppm")).alias("ppm"),
         F.when(F.col("area") != 0, F.col("area")).alias("area"))
+    # read three times below, while the listing view behind it is usually a join
+    base = stored(base, "trend-rows")
     sizes = base.groupBy("month", "series").agg(
         F.count(F.lit(1)).alias("n"), F.count("ppm").alias("n_ppm"),
         F.avg("ppm").alias("avg_ppm"), F.avg("price").alias("avg_price"))
@@ -85,7 +88,7 @@ def top_series(cube: DataFrame, k=vocab.MAX_SERIES, order: Sequence[str] | None
 def trend_cube(df: DataFrame, group: Column, as_of: Column, months=24, k=vocab.MAX_SERIES,
                order: Sequence[str] | None = None) -> DataFrame:
     """The shown series, gap filled: what a trend request returns."""
-    cube = cells(df, group, as_of, months)
+    cube = stored(cells(df, group, as_of, months), "cube")
     shown = top_series(cube, k, order)
     return fill(cube).join(shown, "series")
 
@@ -165,6 +168,6 @@ def pivot(cube: DataFrame, metric: str, min_n: int, series: Sequence[str] | None
 
 def monthly_report(df: DataFrame, as_of: Column, months=12, min_n=5) -> DataFrame:
     """Supported months of the whole market, active and gone listings together."""
-    cube = fill(cells(df, F.lit(vocab.ALL_LISTINGS), as_of, months))
+    cube = fill(stored(cells(df, F.lit(vocab.ALL_LISTINGS), as_of, months), "cube"))
     return (cube.where((F.col("n") >= min_n) & (F.col("med_ppm") != 0))
             .select("month", "med_ppm", "med_price", "n"))

@@ -34,7 +34,7 @@ def cycle_step(batch: DataFrame, epoch: int, root: str, cards: Callable[[DataFra
     def save(table, df):
         df.write.mode("overwrite").parquet(_epoch(root, table, epoch))
         return spark.read.parquet(_epoch(root, table, epoch))
-    result = snapshots.replay(batch, keys, scope, tol, last("state"))
+    result = snapshots.replay(batch, keys, scope, tol, last("state"), store=True)
     state = save("state", result.state)
     save("history", result.history)
     save("audit", result.audit)
@@ -44,8 +44,8 @@ def cycle_step(batch: DataFrame, epoch: int, root: str, cards: Callable[[DataFra
         fresh = cards(state.where(F.col("gone_at").isNull()).select("id"))
         details = save("details", fresh)
     else:
-        wanted = (joins.work_selection(state, known, "missing").select("id")
-                  .union(joins.work_selection(state, known, "changed").select("id")).distinct())
+        wanted = (joins.missing_details(state, known).select("id")
+                  .union(joins.changed_since_fetch(state, known).select("id")).distinct())
         details = save("details", upserts.keyed_upsert(known, cards(wanted), ["id"]))
     started = batch.agg(F.min("run").alias("since")).scalar()
     marked = state.withColumn("__since", started)
