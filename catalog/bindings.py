@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallwise import vocab
 from stallwise.functions.labels import as_ntz
-from stallwise.functions.prices import unit_price
 from stallwise.operators.benchmark import active_pool, segment_median, with_benchmark
 from stallwise.operators.filters import pool_rules
 from stallwise.operators.joins import listing_view
@@ -148,16 +147,28 @@ SQL_LISTINGS = f"""listings AS (
   FROM ads a LEFT JOIN det d ON d.id = a.id LEFT JOIN flags f ON f.id = a.id)"""
 
 
-def bench(spark, sf, view: DataFrame | None = None) -> DataFrame:
-    """Benchmark of the active apartments; shares the caller's listing view."""
-    view = listings(spark, sf, False) if view is None else view
-    return stored(segment_median(view.where(active_pool()), pool=pool_rules(**POOL)), "benchmark")
+MEASURES = ("profile", "gone_at", "price", "area", "ppm", "district", "rooms_n", "housing_stock", "terms_flag")
 
 
-def priced(spark, sf) -> DataFrame:
+def slim(spark, sf, *columns) -> DataFrame:
+    """The listing view cut to what the benchmark and the caller need, stored.
+
+    Benchmark queries read the view at least twice and it is a join of two large tables, so it is
+    joined once and read back.
+    """
+    wanted = dict.fromkeys(["id", *MEASURES, *columns])
+    return stored(listings(spark, sf).select(*wanted), "view")
+
+
+def bench(view: DataFrame) -> DataFrame:
+    """Benchmark of the active apartments of a stored view."""
+    return stored(segment_median(view.where(active_pool()), pool=pool_rules(**POOL), store=False), "benchmark")
+
+
+def priced(spark, sf, *columns) -> DataFrame:
     """The listing view with its benchmark columns."""
-    view = listings(spark, sf)
-    return with_benchmark(view, bench(spark, sf))
+    view = slim(spark, sf, *columns)
+    return with_benchmark(view, bench(view))
 
 
 SQL_POOL = """pool AS (
@@ -191,7 +202,3 @@ W_ADS = with_(SQL_ADS)
 W_LIST = with_(SQL_ADS, SQL_DET, SQL_FLAGS, SQL_LISTINGS)
 W_BENCH = with_(SQL_ADS, SQL_DET, SQL_FLAGS, SQL_LISTINGS, SQL_POOL, SQL_BENCH)
 W_PRICED = with_(SQL_ADS, SQL_DET, SQL_FLAGS, SQL_LISTINGS, SQL_POOL, SQL_BENCH, SQL_PRICED)
-
-
-def ppm_of(df):
-    return df.withColumn("ppm", unit_price())

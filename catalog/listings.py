@@ -8,7 +8,9 @@ from catalog.registry import query
 from stallwise import vocab
 from stallwise.functions import labels, prices
 from stallwise.functions.geo import within_bbox
-from stallwise.operators import benchmark, filters, joins, mapview, paging, stats
+from stallwise.operators import benchmark, filters, joins, mapview, paging
+from stallwise.operators.skew import group_rank
+from stallwise.sources.sinks import stored
 
 L, P, A = b.W_LIST, b.W_PRICED, b.W_ADS
 APT = "profile = 'apartments' AND gone_at IS NULL"
@@ -126,7 +128,7 @@ def _(spark, sf):
 
 def _filter(name, predicate, where, source="listings", prelude=L):
     @query(name, prelude + f"SELECT id, round(price, 4) AS price FROM {source} WHERE {where}")
-    def _(spark, sf, predicate=predicate, source=source):
+    def _(spark, sf):
         df = b.priced(spark, sf) if source == "priced" else b.listings(spark, sf)
         return df.where(predicate()).select("id", "price")
 
@@ -240,7 +242,9 @@ _filter("bbox_filter", lambda: within_bbox("lat", "lon", (46.95, 28.6, 47.05, 29
 def _(spark, sf):
     spec = {"profile": "apartments", "price_min": 50000, "area_max": 45, "rooms": [1, 2, 5], "author": "business",
             "amen": ["lift"], "not_first": True, "has_photo": True, "hide_suspect": True, "q": "low"}
-    df = filters.apply_filters(b.priced(spark, sf), spec, as_of=b.as_of(), authors=b.AUTHORS)
+    view = b.priced(spark, sf, "hidden", "author_type", "owner_is_business", "features", "floor", "photos_count",
+                    "title", "street")
+    df = filters.apply_filters(view, spec, as_of=b.as_of(), authors=b.AUTHORS)
     return df.select("id", "price", "ppm")
 
 
@@ -294,15 +298,14 @@ def _(spark, sf):
 
 @query("segment_median", b.W_BENCH + "SELECT district, rooms_n::bigint AS rooms_n, housing_stock, round(med_ppm, 8) AS med_ppm, pool_n FROM bench", digits=8)
 def _(spark, sf):
-    return b.bench(spark, sf)
+    return b.bench(b.slim(spark, sf))
 
 
 @query("rank_in_segment", b.W_BENCH + """SELECT id, district, rooms_n::bigint AS rooms_n, housing_stock, round(ppm, 8) AS ppm,
   row_number() OVER (PARTITION BY district, rooms_n, housing_stock ORDER BY ppm, id) AS rn,
   count(*) OVER (PARTITION BY district, rooms_n, housing_stock) AS cnt FROM pool""", digits=8)
 def _(spark, sf):
-    from stallwise.operators.skew import group_rank
-    view = b.listings(spark, sf, False)
+    view = b.slim(spark, sf)
     pool = view.where(benchmark.active_pool() & filters.pool_rules(**b.POOL))
     keys = list(benchmark.SEGMENT)
     return group_rank(pool.select("id", *keys, "ppm"), keys, "ppm", ["id"]).select("id", *keys, "ppm", "rn", "cnt")
@@ -315,7 +318,8 @@ def _(spark, sf):
   UNION ALL (SELECT 'discount desc', id, round(discount, 4) FROM priced ORDER BY discount IS NULL, discount DESC, id::varchar DESC LIMIT 100)
   UNION ALL SELECT 'total', count(*), NULL FROM priced)""")
 def _(spark, sf):
-    df = b.priced(spark, sf)
+    df = stored(b.priced(spark, sf, "drop_pct").select("id", "ppm", "drop_pct", "area", "discount"), "priced")
+
     def page(key, direction, limit=100, offset=0):
         return paging.sort_page(df, key, direction, limit, offset).select(
             F.lit(f"{key} {direction}").alias("page"), "id", F.col(paging.SORT_COLUMNS[key]).alias("v"))
@@ -326,7 +330,8 @@ def _(spark, sf):
 
 
 def deals(spark, sf, pool_min):
-    d = benchmark.deals(b.listings(spark, sf, False), pool_min=pool_min, **b.POOL)
+    view = b.slim(spark, sf, "floor", "floors_total")
+    d = benchmark.deals(view, pool_min=pool_min, bench=b.bench(view), **b.POOL)
     return d.select("id", "district", "rooms_n", "housing_stock", "price", "area", "ppm", "med_ppm", "pool_n", "discount")
 
 

@@ -9,6 +9,7 @@ from stallwise import vocab
 from stallwise.functions import address, geo
 from stallwise.operators import linkage
 from stallwise.operators.skew import first_per_key
+from stallwise.sources.sinks import stored
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -33,9 +34,10 @@ _SQL_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
 def wanted(spark, sf):
-    return side(spark, sf, "O").select(
+    """Listings to match; stored, as matching reads them twice."""
+    return stored(side(spark, sf, "O").select(
         line_id().alias("id"), F.col("l_partkey").alias("building"), F.col("l_linenumber").alias("floor"),
-        F.col("l_quantity").alias("area"), "l_returnflag")
+        F.col("l_quantity").alias("area"), "l_returnflag"), "wanted")
 
 
 def units(spark, sf):
@@ -210,6 +212,7 @@ def _(spark, sf):
 
 def points_and_places(spark, sf):
     view = b.listings(spark, sf, False).where(F.col("house") != "")
+    view = stored(view.select("profile", "gone_at", "lat", "lon", "street", "house", "floor"), "addresses")
     points = view.where((F.col("profile") == "apartments") & F.col("gone_at").isNull())
     places = view.where(F.col("gone_at").isNotNull()).withColumn("lat", F.col("lat") + (F.col("floor") % 3) * F.lit(0.0001))
     return points, places

@@ -20,9 +20,8 @@ def _parts(address: Column) -> Column:
     return F.filter(trimmed, lambda p: p != "")
 
 
-def split_address(address) -> tuple[Column, Column]:
-    """(street, house): a numeric last part is the house, else the trailing token of the last part."""
-    parts = _parts(_c(address))
+def split_parts(parts: Column) -> tuple[Column, Column]:
+    """(street, house) of the trimmed, non-empty parts of an address."""
     last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
     before = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
     has_house = (F.size(parts) >= 2) & last.rlike("(?U)" + HOUSE)
@@ -33,6 +32,15 @@ def split_address(address) -> tuple[Column, Column]:
     return F.regexp_replace(street, r"^sect\.?\s+\S+\s+", ""), house
 
 
+def split_address(address) -> tuple[Column, Column]:
+    """(street, house): a numeric last part is the house, else the trailing token of the last part."""
+    return split_parts(_parts(_c(address)))
+
+
+def address_parts(address) -> Column:
+    return _parts(_c(address))
+
+
 def apartment(address) -> Column:
     return F.nullif(F.regexp_extract(_c(address), r"(?i)\bap\.\s*(\S+)\s*$", 1), F.lit(""))
 

@@ -1,18 +1,22 @@
 """Maps built from label and value arrays."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def last_wins(pairs: Column) -> Column:
-    """Map of an array of (label, value) structs; of equal labels the last one counts.
+def with_last_wins(df: DataFrame, name: str, pairs: Column) -> DataFrame:
+    """Add a map of an array of (label, value) structs; of equal labels the last one counts.
 
-    Earlier duplicates are removed first, so the result does not depend on session settings.
+    Earlier duplicates are removed before the map is built, so the result does not depend on
+    session settings. The array and its labels become columns first: inside a lambda, an
+    expression would be computed again for every element.
     """
-    later = F.transform(pairs, lambda p: p["label"])
-    size = F.size(pairs)
-    kept = F.filter(pairs, lambda p, i: F.array_position(F.reverse(later), p["label"]) == size - i)
-    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["label"], p["value"])))
+    staged = df.withColumn("__pairs", pairs)
+    staged = staged.withColumn("__labels", F.reverse(F.transform("__pairs", lambda p: p["label"])))
+    size = F.size("__labels")
+    kept = F.filter("__pairs", lambda p, i: F.array_position("__labels", p["label"]) == size - i)
+    built = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["label"], p["value"])))
+    return staged.withColumn(name, built).drop("__pairs", "__labels")
 
 
 def as_text(m: Column, sep="|") -> Column:

@@ -15,17 +15,18 @@ SEGMENT = ("district", "rooms_n", "housing_stock")
 
 
 def segment_median(df: DataFrame, keys: Sequence[str] = SEGMENT, value="ppm",
-                   pool: Column | None = None, approx=False) -> DataFrame:
+                   pool: Column | None = None, approx=False, store=True) -> DataFrame:
     """Median and pool size of every segment of the pool.
 
-    Exact by default and balanced for hot segments; ``approx`` trades that for one pass.
+    Exact by default and balanced for hot segments; ``approx`` trades that for one pass. ``store``
+    suits a pool that comes out of a join; turn it off for a stored table.
     """
     if pool is not None:
         df = df.where(pool)
     if approx:
         return df.groupBy(*keys).agg(F.percentile_approx(value, 0.5, 100000).alias("med_ppm"),
                                      F.count(value).alias("pool_n"))
-    return group_quantiles(df, keys, value, {"med_ppm": 0.5}, count_as="pool_n", store=True)
+    return group_quantiles(df, keys, value, {"med_ppm": 0.5}, count_as="pool_n", store=store)
 
 
 def with_benchmark(df: DataFrame, bench: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
@@ -50,10 +51,14 @@ def active_pool(profile="apartments") -> Column:
 def deals(df: DataFrame, *, min_area=vocab.MIN_AREA, pool_min=vocab.POOL_MIN,
           discount=vocab.DISCOUNT_RANGE, allow_terms=False, price_floor=vocab.PRICE_FLOOR,
           ppm_range=vocab.PPM_DEAL_RANGE, city: str | None = vocab.CITY,
-          profile="apartments") -> DataFrame:
-    """Active listings priced well below a reliable median of their segment."""
+          profile="apartments", bench: DataFrame | None = None) -> DataFrame:
+    """Active listings priced well below a reliable median of their segment.
+
+    ``bench`` takes a benchmark that is already stored; otherwise it is built from ``df``.
+    """
     active = df.where(active_pool(profile))
-    bench = stored(segment_median(active, pool=pool_rules(min_area, price_floor, ppm_range, city)), "benchmark")
+    if bench is None:
+        bench = stored(segment_median(active, pool=pool_rules(min_area, price_floor, ppm_range, city)), "benchmark")
     gate = deal_rules(min_area, price_floor, ppm_range, city)
     if not allow_terms:
         gate = gate & (F.coalesce(F.col("terms_flag").cast("int"), F.lit(0)) == 0)

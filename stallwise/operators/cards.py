@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise import vocab
-from stallwise.functions import payload, text
+from stallwise.functions import maps, payload, text
 
 
 def eav_pivot(df: DataFrame, entity: Sequence[str], attr: str, value: str, position, attrs: Mapping) -> DataFrame:
@@ -60,13 +60,34 @@ def owner_columns(owner: str = "owner") -> dict[str, Column]:
     }
 
 
+def _item_array(groups="groups") -> Column:
+    """All controls of a card in order, inside the row."""
+    def item(c):
+        value = c["feature"]["value"]
+        return F.struct(c["feature"]["id"].alias("id"), F.coalesce(c["title"], F.lit("")).alias("title"),
+                        F.struct(value.alias("value"), payload.feature_text(value).alias("text")).alias("content"))
+    return F.flatten(F.transform(groups, lambda g: F.transform(g["controls"], item)))
+
+
 def parse_cards(cards: DataFrame, media_base="", media_size="900x900") -> DataFrame:
-    """Raw cards (schema ``sources.listings.CARD``) to one text row per card with its attribute map."""
-    items = card_items(cards)
-    ids = {fid: f"f_{name}" for fid, name in vocab.FEATURE_IDS.items()}
-    both = items.withColumn("__both", F.struct("value", "text"))
-    wide = eav_pivot(both, ["id"], "feature_id", "__both", "position", ids)
-    maps = attribute_map(items, ["id"], "title", "text", "position")
+    """Raw cards (schema ``sources.listings.CARD``) to one text row per card with its attribute map.
+
+    A card carries all its controls, so everything happens inside the row: nothing is exploded or
+    shuffled. Attribute tables that span rows go through ``eav_pivot`` and ``attribute_map``.
+    """
+    def entries(items, label, value):
+        return F.transform(items, lambda i: F.struct(i[label].alias("label"), value(i).alias("value")))
+    empty = F.array().cast("array<struct<id:int,title:string,content:struct<value:string,text:string>>>")
+    items = cards.withColumn("__items", F.coalesce(_item_array(), empty))
+    identified = F.filter("__items", lambda i: i["id"].isNotNull())
+    titled = F.filter("__items", lambda i: i["title"] != "")
+
+    def shown_value(i):
+        content = i["content"]["text"]
+        return F.when(i["title"] == vocab.DISTRICT_FEATURE, text.renamed(content)).otherwise(content)
+    joined = maps.with_last_wins(items, "__by_id", entries(identified, "id", lambda i: i["content"]))
+    joined = maps.with_last_wins(joined, "features", entries(titled, "title", shown_value))
+    joined = joined.withColumns({f"f_{name}": F.col("__by_id")[fid] for fid, name in vocab.FEATURE_IDS.items()})
 
     def raw(name):
         return F.col(f"f_{name}.value")
@@ -80,8 +101,8 @@ def parse_cards(cards: DataFrame, media_base="", media_size="900x900") -> DataFr
     phones = F.coalesce(F.from_json(part("contacts", "phone_numbers"), "array<string>"), F.array().cast("array<string>"))
     area_amount = payload.money_text(raw("area"))
     sub = F.col("subCategory")
-    base = cards.select(
-        "id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("state", F.lit("")).alias("state"),
+    base = (
+        F.col("id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("state", F.lit("")).alias("state"),
         F.col("isExpired").alias("is_expired"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("posted", "reseted", "expire")],
         F.col("views.total").alias("views_total"), F.col("views.today").alias("views_today"),
@@ -93,9 +114,8 @@ def parse_cards(cards: DataFrame, media_base="", media_size="900x900") -> DataFr
         F.coalesce(F.col("owner.business.plan"), F.lit("")).alias("owner_business_plan"))
     plain = [n for n in ("offer_type", "author_type", "rooms", "floor", "floors_total", "housing_stock", "living_room",
                          "developer", "region", "city", "street", "house")]
-    joined = base.join(wide, "id", "left").join(maps, "id", "left")
     return joined.select(
-        *base.columns, *[shown(n).alias(n) for n in plain], text.renamed(shown("district")).alias("district"),
+        *base, *[shown(n).alias(n) for n in plain], text.renamed(shown("district")).alias("district"),
         payload.money_amount(raw("price")).alias("price"), payload.unit_label(payload.money_unit(raw("price"), "")).alias("currency"),
         part("price", "bargain").alias("bargain"),
         payload.money_amount(raw("old_price")).alias("old_price"),
@@ -107,7 +127,7 @@ def parse_cards(cards: DataFrame, media_base="", media_size="900x900") -> DataFr
         F.coalesce(part("body", "translated"), F.when(F.substring(F.ltrim(raw("body")), 1, 1) != "{", raw("body")),
                    F.lit("")).alias("description"),
         phones.alias("phones"), text.media_urls(photos, media_base, media_size).alias("photos"),
-        F.coalesce("features", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("features"))
+        "features")
 
 
 def typed_details(cards: DataFrame, fetched_at: Column) -> DataFrame:

@@ -103,8 +103,10 @@ def match_coverage(ads: DataFrame, matches: DataFrame, by: Sequence[str] = (), i
 # ---- addresses ---------------------------------------------------------------------------
 
 def address_parts(df: DataFrame, column: str) -> DataFrame:
-    street, house = address.split_address(column)
-    return df.withColumns({"street": street, "house": house})
+    """Street and house of an address column; the parts are split once and then read."""
+    street, house = address.split_parts(F.col("__parts"))
+    return (df.withColumn("__parts", address.address_parts(column))
+            .withColumns({"street": street, "house": house}).drop("__parts"))
 
 
 def address_pairs(listings: DataFrame, buildings: DataFrame, block: Sequence[str] = ("district",)) -> DataFrame:

@@ -44,8 +44,9 @@ def html_fields(df: DataFrame, body: str, field: str, known: Mapping[str, str])
     def first(column):
         return F.get(F.filter("__pairs", lambda p: p["key"] == column), F.lit(0))["value"]
     spare = F.filter("__pairs", lambda p, i: p["key"].isNull() | (F.array_position("__keys", p["key"]) != i + 1))
-    return step.withColumns({**{c: first(c) for c in dict.fromkeys(known.values())},
-                             "extras": maps.last_wins(spare)}).drop("__raw", "__pairs", "__keys")
+    named = step.withColumns({**{c: first(c) for c in dict.fromkeys(known.values())}, "__spare": spare})
+    named = named.drop("__raw", "__pairs", "__keys")
+    return maps.with_last_wins(named, "extras", F.col("__spare")).drop("__spare")
 
 
 def register_segments(pages: DataFrame, html="html") -> DataFrame:
