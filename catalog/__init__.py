@@ -5,7 +5,7 @@ def all_queries():
     import importlib
 
     from catalog import registry
-    for module in ("listings", "market", "trends", "changes", "register", "texts", "streams"):
+    for module in ("listings", "market", "trends", "changes", "register", "texts", "requests", "streams"):
         try:
             importlib.import_module(f"catalog.{module}")
         except ModuleNotFoundError as exc:
