@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions import prices
+from stallwise.sources.sinks import stored
 
 
 def with_details(ads: DataFrame, details: DataFrame, how="inner") -> DataFrame:
@@ -73,5 +74,9 @@ def work_selection(ads: DataFrame, details: DataFrame, mode="missing", *, as_of:
 
 
 def baselines(runs: DataFrame) -> DataFrame:
-    """First finished run of every profile."""
-    return runs.groupBy("profile").agg(F.min("finished").alias("baseline"))
+    """First finished run of every profile.
+
+    One row per profile, stored so that joins on the few profile values are planned with that size
+    and never shuffle the listings by profile.
+    """
+    return stored(runs.groupBy("profile").agg(F.min("finished").alias("baseline")), "baselines")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stallwise import vocab
 from stallwise.functions import address, geo
 from stallwise.operators.skew import first_per_key, group_quantiles
+from stallwise.sources.sinks import stored
 
 PLACE = ("building", "floor")
 
@@ -127,9 +128,11 @@ def score_streets(pairs: DataFrame, score: Callable[[Column, Column], Column] =
     """Similarity of the two street names, computed once per distinct pair of names.
 
     The sound keys are derived once per distinct name and joined, so that neither a pushed filter
-    nor a repeated reference evaluates them again per pair.
+    nor a repeated reference evaluates them again per pair. Pairs and names are stored, as the
+    steps below read both more than once.
     """
-    names = pairs.select("street", "b_street").distinct()
+    pairs = stored(pairs, "address-pairs")
+    names = stored(pairs.select("street", "b_street").distinct(), "street-names")
     every = names.select("street").union(names.select("b_street")).distinct()
     keys = every.withColumn("__key", address.street_key("street"))
     keyed = (names.join(keys.withColumnRenamed("__key", "__a"), "street")

@@ -1,7 +1,7 @@
 """Market statistics: grouped measures, histograms, facets, summaries."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -89,37 +89,35 @@ def table_counters(ads: DataFrame, details: DataFrame, history: DataFrame) -> Da
             .unionByName(total(ads.where(F.col("gone_at").isNotNull()), "_gone")))
 
 
-def facet_values(df: DataFrame, column: str, keys: Sequence[str] = ("profile",)) -> DataFrame:
-    return df.where(filled(column)).select(*keys, F.col(column).alias("value")).distinct()
+def _facets(df: DataFrame, columns: Mapping, keys: Sequence[str]) -> DataFrame:
+    """One (facet, value) row per non-empty value of every listing, from a single pass."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("facet"), (F.col(c) if isinstance(c, str) else c).cast("string").alias("value"))
+                      for name, c in columns.items()])
+    return df.select(*keys, F.inline(pairs)).where(F.col("value") != "")
 
 
-def facet_topk(df: DataFrame, value, k: int, min_n=1, keys: Sequence[str] = ("profile",)) -> DataFrame:
-    """The ``k`` most frequent values per profile; ties by value."""
-    value = F.col(value) if isinstance(value, str) else value
-    counts = (df.select(*keys, value.alias("value")).where(F.col("value") != "")
-              .groupBy(*keys, "value").agg(rows().alias("n")).where(F.col("n") >= min_n))
-    top = top_per_key(counts, keys, [F.col("n").desc(), F.col("value")], k)
-    return top.withColumnRenamed("__rn", "place")
+def facet_values(df: DataFrame, columns: Mapping, keys: Sequence[str] = ("profile",)) -> DataFrame:
+    return _facets(df, columns, keys).distinct()
 
 
-def segment_ranking(df: DataFrame, key="district") -> DataFrame:
-    return (df.where(filled(key)).groupBy(key).agg(rows().alias("n"))
-            .orderBy(F.col("n").desc(), key))
+def facet_topk(df: DataFrame, columns: Mapping, k: Mapping[str, int], min_n: Mapping[str, int],
+               keys: Sequence[str] = ("profile",)) -> DataFrame:
+    """The most frequent values of every facet per profile; ties by value.
 
-
-def district_head(df: DataFrame, key="district") -> DataFrame:
-    """Count, averages and number of price cuts of every district."""
-    return (df.where(filled(key)).groupBy(key)
-            .agg(rows().alias("n"), F.round(F.avg("ppm")).alias("avg_ppm"),
-                 F.round(F.avg("price")).alias("avg_price"),
-                 F.count_if(prices.drop_abs() < 0).alias("down")))
+    ``k`` and ``min_n`` are given per facet. Restrict a facet to active listings by passing a
+    column that is NULL for the others.
+    """
+    def of(limits):
+        return F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("facet")]
+    counts = (_facets(df, columns, keys).groupBy(*keys, "facet", "value").agg(rows().alias("n"))
+              .where(F.col("n") >= of(min_n)))
+    top = top_per_key(counts, [*keys, "facet"], [F.col("n").desc(), F.col("value")], max(k.values()))
+    return top.where(F.col("__rn") <= of(k)).withColumnRenamed("__rn", "place")
 
 
-def district_rooms(df: DataFrame, key="district", rooms="rooms_n", having=3) -> DataFrame:
-    return (df.where(filled(key) & F.col(rooms).isNotNull()).groupBy(key, rooms)
-            .agg(rows().alias("n"), F.round(F.avg("price")).alias("avg_price"),
-                 F.round(F.avg("ppm")).alias("avg_ppm"), F.round(F.avg("area"), 1).alias("avg_area"))
-            .where(F.col("n") >= having))
+def segment_ranking(df: DataFrame, key="district") -> DataFrame:
+    return (df.where(filled(key)).groupBy(key).agg(rows().alias("n"))
+            .orderBy(F.col("n").desc(), key))
 
 
 def category_tally(df: DataFrame, label: str, keep) -> DataFrame:
