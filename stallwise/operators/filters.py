@@ -189,5 +189,5 @@ def apply_filters(df: DataFrame, spec: Mapping, *, as_of: Column, authors=vocab.
     if tab == "new" and spec.get("new_by") == "base":
         out = after_baseline(out, baselines)
     if tab == "fav":
-        out = in_ids(out, ids)
+        out = out.where(F.lit(False)) if ids is None else in_ids(out, ids)
     return out

@@ -120,18 +120,34 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value, probs: Mapping[st
 
 
 def group_rank(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str],
-               *, rank_as="rn", count_as="cnt") -> DataFrame:
+               *, rank_as="rn", count_as="cnt", crowded=1_000_000) -> DataFrame:
     """Every row with its 1-based rank and group size, without ordering a whole group in one task.
 
     Rows are ordered inside one bucket only; the rows of lower buckets come from the histogram.
+    Buckets above ``crowded`` rows, where many values are equal, are cut again by value and by the
+    bucket of the first tie column, which must be numeric for that.
     """
     keys = list(keys)
+    at = keys + ["__b"]
     src = df.withColumn("__b", value_bucket(F.col(value).cast("double"))).withColumn("__w", F.lit(1).cast("bigint"))
-    hist = _histogram(src.select(*keys, "__b", "__w"), keys).drop("__c")
-    joined = null_safe_join(src.drop("__w"), hist, keys + ["__b"])
-    local = F.row_number().over(_group(keys + ["__b"]).orderBy(value, *ties))
-    return (joined.withColumn(rank_as, (F.col("__before") + local).cast("bigint"))
-            .withColumnRenamed("__n", count_as).drop("__b", "__before"))
+    hist = stored(_histogram(src.select(*at, "__w"), keys), "rank-buckets")
+    joined = null_safe_join(src.drop("__w"), hist, at)
+
+    def ranked(rows: DataFrame, unit: Sequence[str], before) -> DataFrame:
+        local = F.row_number().over(_group(unit).orderBy(value, *ties))
+        return rows.select(*df.columns, (before + local).cast("bigint").alias(rank_as),
+                           F.col("__n").alias(count_as))
+    full = hist.where(F.col("__c") > crowded)
+    if full.isEmpty():
+        return ranked(joined, at, F.col("__before"))
+    calm = ranked(joined.where(F.col("__c") <= crowded), at, F.col("__before"))
+    busy = joined.where(F.col("__c") > crowded).withColumns({
+        "__v": F.col(value).cast("double"), "__t": value_bucket(F.col(ties[0]).cast("double"))})
+    unit = at + ["__v", "__t"]
+    cuts = busy.groupBy(*unit).agg(F.count(F.lit(1)).alias("__u"))
+    w = _group(at).orderBy("__v", "__t").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.select(*unit, F.coalesce(F.sum("__u").over(w), F.lit(0)).alias("__inner"))
+    return calm.unionByName(ranked(null_safe_join(busy, cuts, unit), unit, F.col("__before") + F.col("__inner")))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

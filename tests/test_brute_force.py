@@ -28,13 +28,14 @@ def test_quantiles_and_ranks_of_a_hot_group(spark):
         cuts = statistics.quantiles(values, n=4, method="inclusive") if len(values) > 1 else [values[0]] * 3
         assert [round(x, 6) for x in (got[k].q1, got[k].q2, got[k].q3)] == [round(x, 6) for x in cuts]
         assert (got[k].n, got[k].min, got[k].max) == (len(values), min(values), max(values))
-    ranked = skew.group_rank(df, ["k"], "v", ["id"]).collect()
-    by_group = {}
-    for r in ranked:
-        by_group.setdefault(r.k, []).append(r)
-    for k, rs in by_group.items():
-        rs.sort(key=lambda r: (r.v, r.id))
-        assert [r.rn for r in rs] == list(range(1, len(rs) + 1)) and {r.cnt for r in rs} == {len(rs)}
+    for crowded in (1_000_000, 20):
+        by_group = {}
+        for r in skew.group_rank(df, ["k"], "v", ["id"], crowded=crowded).collect():
+            by_group.setdefault(r.k, []).append(r)
+        assert {k: len(rs) for k, rs in by_group.items()} == {k: len(v) for k, v in groups.items()}
+        for k, rs in by_group.items():
+            rs.sort(key=lambda r: (r.v, r.id))
+            assert [r.rn for r in rs] == list(range(1, len(rs) + 1)) and {r.cnt for r in rs} == {len(rs)}
 
 
 def test_weighted_median_counts_repeats(spark):
