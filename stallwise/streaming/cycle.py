@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from stallwise import vocab
 from stallwise.operators import joins, snapshots, upserts
 
-TABLES = ("state", "history", "audit", "details", "summary")
-
 
 def _epoch(root: str, table: str, epoch: int) -> str:
     return os.path.join(root, table, f"epoch={epoch}")
@@ -56,13 +54,19 @@ def run_cycles(stream: DataFrame, root: str, cards: Callable[[DataFrame], DataFr
                prepare: Callable[[DataFrame], DataFrame] = lambda df: df, **options) -> dict[str, DataFrame]:
     """Run cycles over all available snapshots and return the resulting tables."""
     spark = stream.sparkSession
-    seen = []
 
     def step(batch: DataFrame, epoch: int) -> None:
         cycle_step(prepare(batch), epoch, root, cards, **options)
-        seen.append(epoch)
     query = (stream.writeStream.foreachBatch(step)
              .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
     query.awaitTermination()
-    newest = {t: spark.read.parquet(_epoch(root, t, seen[-1])) for t in ("state", "details", "summary")}
-    return {**newest, **{t: spark.read.parquet(os.path.join(root, t)).drop("epoch") for t in ("history", "audit")}}
+
+    def table(name):
+        return spark.read.parquet(os.path.join(root, name))
+
+    def newest(name):
+        """Rows of the last epoch (that of the state, which is never empty)."""
+        last = table("state").agg(F.max("epoch")).scalar()
+        return table(name).where(F.col("epoch") == last).drop("epoch")
+    return {**{t: newest(t) for t in ("state", "details", "summary")},
+            **{t: table(t).drop("epoch") for t in ("history", "audit")}}
