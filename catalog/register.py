@@ -185,10 +185,11 @@ def _(spark, sf):
     return linkage.score_streets(street_names(spark, sf), address.ratio_similarity).select("street", "b_street", "score")
 
 
-def candidate_pairs(spark, sf):
+def best_matches(spark, sf, score):
     listings = linkage.address_parts(addresses(spark, sf, "O").select("district", "address").distinct(), "address")
     buildings = linkage.address_parts(addresses(spark, sf, "F").withColumnRenamed("l_partkey", "code"), "address")
-    return linkage.address_pairs(listings, buildings)
+    return linkage.match_addresses(listings, buildings, score=score).select(
+        "district", "street", "house_key", "b_street", "code", "score")
 
 
 @query("best_match_building", b.with_(sql_addresses("ao", "O"), sql_addresses("af", "F"),
@@ -200,14 +201,12 @@ def candidate_pairs(spark, sf):
         f"g AS (SELECT *, {_SIM} AS score FROM sc)") + """SELECT district, street, house_key, b_street, code, round(score, 4) AS score
   FROM (SELECT *, row_number() OVER (PARTITION BY district, street, house_key ORDER BY score DESC, code) AS rn FROM g WHERE score >= 0.6) WHERE rn = 1""")
 def _(spark, sf):
-    best = linkage.best_candidate(linkage.score_streets(candidate_pairs(spark, sf)))
-    return best.select("district", "street", "house_key", "b_street", "code", "score")
+    return best_matches(spark, sf, address.edit_similarity)
 
 
 @query("best_match_building_ratio")
 def _(spark, sf):
-    best = linkage.best_candidate(linkage.score_streets(candidate_pairs(spark, sf), address.ratio_similarity))
-    return best.select("district", "street", "house_key", "b_street", "code", "score")
+    return best_matches(spark, sf, address.ratio_similarity)
 
 
 def points_and_places(spark, sf):

@@ -110,35 +110,32 @@ def address_parts(df: DataFrame, column: str) -> DataFrame:
             .withColumns({"street": street, "house": house}).drop("__parts"))
 
 
-def address_pairs(listings: DataFrame, buildings: DataFrame, block: Sequence[str] = ("district",)) -> DataFrame:
-    """Distinct address pairs with the same block and the same normalised house number.
-
-    Pairs are formed between distinct street names of one house number of one block, so their
-    number depends on the street names of a block, not on how many listings share them.
-    """
-    block = list(block)
+def _address_sides(listings: DataFrame, buildings: DataFrame, block: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct listing addresses, and distinct building addresses with their earliest code."""
     house = address.norm_house("house").alias("house_key")
     left = listings.select(*block, "street", house).where(F.col("house_key") != "").distinct()
     right = (buildings.select(*block, F.col("street").alias("b_street"), house, "code")
              .groupBy(*block, "b_street", "house_key").agg(F.min("code").alias("code")))
-    return left.join(right, [*block, "house_key"])
+    return left, right
 
 
-def score_streets(pairs: DataFrame, score: Callable[[Column, Column], Column] = address.edit_similarity) -> DataFrame:
-    """Similarity of the two street names, computed once per distinct pair of names.
+def score_names(names: DataFrame, score: Callable[[Column, Column], Column] = address.edit_similarity) -> DataFrame:
+    """Similarity of distinct (street, b_street) pairs.
 
     The sound keys are derived once per distinct name and joined, so that neither a pushed filter
-    nor a repeated reference evaluates them again per pair. Pairs and names are stored, as the
-    steps below read both more than once.
+    nor a repeated reference evaluates them again per pair.
     """
-    pairs = stored(pairs, "address-pairs")
-    names = stored(pairs.select("street", "b_street").distinct(), "street-names")
+    names = stored(names, "street-names")
     every = names.select("street").union(names.select("b_street")).distinct()
     keys = every.withColumn("__key", address.street_key("street"))
     keyed = (names.join(keys.withColumnRenamed("__key", "__a"), "street")
              .join(keys.withColumnsRenamed({"street": "b_street", "__key": "__b"}), "b_street"))
-    scored = keyed.withColumn("score", score(F.col("__a"), F.col("__b"))).drop("__a", "__b")
-    return pairs.join(scored, ["street", "b_street"])
+    return keyed.withColumn("score", score(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+
+
+def score_streets(pairs: DataFrame, score: Callable[[Column, Column], Column] = address.edit_similarity) -> DataFrame:
+    """Pairs with the similarity of their street names, computed once per distinct pair of names."""
+    return pairs.join(score_names(pairs.select("street", "b_street").distinct(), score), ["street", "b_street"])
 
 
 def best_candidate(pairs: DataFrame, block: Sequence[str] = ("district",), min_score=vocab.STREET_SCORE_MIN) -> DataFrame:
@@ -147,6 +144,23 @@ def best_candidate(pairs: DataFrame, block: Sequence[str] = ("district",), min_s
     return first_per_key(good, [*block, "street", "house_key"], [F.col("score").desc(), F.col("code").asc()])
 
 
+def match_addresses(listings: DataFrame, buildings: DataFrame, block: Sequence[str] = ("district",),
+                    min_score=vocab.STREET_SCORE_MIN,
+                    score: Callable[[Column, Column], Column] = address.edit_similarity) -> DataFrame:
+    """The best building of every distinct listing address in the same block with the same house number.
+
+    First the pairs of street names that occur together are reduced to distinct names and scored;
+    then addresses meet only through similar names, by equality on block, house and both names.
+    """
+    block = list(block)
+    left, right = _address_sides(listings, buildings, block)
+    left, right = stored(left, "listing-addresses"), stored(right, "building-addresses")
+    together = left.join(right, [*block, "house_key"]).select("street", "b_street").distinct()
+    similar = stored(score_names(together, score).where(F.col("score") >= min_score), "similar-streets")
+    pairs = left.join(similar, "street").join(right, [*block, "house_key", "b_street"])
+    return best_candidate(pairs, block, min_score)
+
+
 # ---- survey of points --------------------------------------------------------------------
 
 def _grid(df: DataFrame, cell: float) -> DataFrame:
