@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import bindings as b
-from catalog.changes import FOLD, _audit_sql, snapshot_log
+from catalog.changes import FOLD, _audit_sql
 from catalog.registry import query
 from stallwise.session import work_dir
 from stallwise.streaming import cycle, daily, price_changes, rate_limit, runner

@@ -57,27 +57,31 @@ def unit_label(code, labels: Mapping[str, str] = vocab.UNITS, prefix=vocab.UNIT_
     return F.coalesce(known[code], F.replace(F.coalesce(code, F.lit("")), F.lit(prefix), F.lit("")))
 
 
+# the keys a feature value may carry, each read as text
+_VALUE = """translated string, phone_numbers array<string>, lat string, lon string, value string, unit string,
+  measurement string, bargain string"""
+
+
 def feature_text(value, labels: Mapping[str, str] = vocab.UNITS) -> Column:
     """Readable text of a feature value given as JSON text.
 
     Objects: translation, else phone list, else coordinates, else amount + unit (+ bargain mark),
-    else the JSON itself. Arrays are joined with commas. Scalars are printed.
+    else the JSON itself. Arrays are joined with commas. Scalars are printed. An object is parsed
+    once; the single-element transform only names the parsed value.
     """
     value = _c(value)
     listed = F.array_join(F.from_json(value, "array<string>"), ", ")
-    phones = F.from_json(_path(value, "phone_numbers"), "array<string>")
-    lat, lon = _path(value, "lat"), _path(value, "lon")
-    amount = _path(value, "value")
-    unit = unit_label(F.coalesce(F.nullif(_path(value, "unit"), F.lit("")), _path(value, "measurement")), labels)
-    bargain = F.coalesce(_path(value, "bargain"), F.lit("")).isin("true", "1")
-    priced = F.concat(F.trim(F.concat_ws(" ", amount, unit)),
-                      F.when(bargain, vocab.BARGAIN_SUFFIX).otherwise(""))
-    as_object = F.coalesce(
-        _path(value, "translated"),
-        F.array_join(phones, ", "),
-        F.when(lat.isNotNull() & lon.isNotNull(), F.concat_ws(", ", lat, lon)),
-        F.when(amount.isNotNull(), priced),
-        value)
+
+    def of_object(o):
+        unit = unit_label(F.coalesce(F.nullif(o["unit"], F.lit("")), o["measurement"]), labels)
+        bargain = F.coalesce(o["bargain"], F.lit("")).isin("true", "1")
+        priced = F.concat(F.trim(F.concat_ws(" ", o["value"], unit)),
+                          F.when(bargain, vocab.BARGAIN_SUFFIX).otherwise(""))
+        return F.coalesce(
+            o["translated"], F.array_join(o["phone_numbers"], ", "),
+            F.when(o["lat"].isNotNull() & o["lon"].isNotNull(), F.concat_ws(", ", o["lat"], o["lon"])),
+            F.when(o["value"].isNotNull(), priced), value)
+    as_object = F.transform(F.array(F.from_json(value, _VALUE)), of_object)[0]
     first = F.substring(F.ltrim(value), 1, 1)
     return (F.when(value.isNull() | F.trim(value).isin("", "null", "{}", "[]"), F.lit(""))
             .when(first == "{", as_object).when(first == "[", listed)

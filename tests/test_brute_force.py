@@ -6,7 +6,6 @@ import re
 import statistics
 import unicodedata
 
-from pyspark.sql import functions as F
 
 from stallwise import vocab
 from stallwise.functions import address, text
