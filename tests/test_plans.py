@@ -8,7 +8,7 @@ from stallwise.functions.geo import within_bbox
 from stallwise.operators import joins, linkage, skew, snapshots
 
 SF = "/root/testdata/sf0.001"
-PYTHON_QUERIES = {"street_similarity_ratio", "best_match_building_ratio", "html_clean_full", "fold_diacritics_full"}
+PYTHON_QUERIES = {"street_similarity_ratio", "html_clean_full", "fold_diacritics_full"}
 
 
 def plan(df):
