@@ -54,7 +54,7 @@ class Base:
 
 
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(7919))
-_TEXT, _SEQ, _SEQ2 = Base(1), Base(2), Base(3)
+_TEXT, _SEQ, _SEQ2, _TEXT2 = Base(1), Base(2), Base(3), Base(4)
 _WORD = np.ones(256, bool)
 _WORD[list(SPACE)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,10 +114,10 @@ class Spans:
     def text(self):
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
-    def hashes(self, lower=False) -> np.ndarray:
+    def hashes(self, lower=False, second=False) -> np.ndarray:
         data = _LOWER[self.data] if lower else self.data
-        pre = _TEXT.prefix(_BYTE[data])
-        return mix(_TEXT.span(pre, self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        base = _TEXT2 if second else _TEXT
+        return mix(base.span(base.prefix(_BYTE[data]), self.start, self.end) + (self.end - self.start).astype(np.uint64))
 
 
 def words(data, offsets) -> Spans:
