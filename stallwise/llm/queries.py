@@ -1,3 +1,3 @@
 """Imports every operator module, which registers its query."""
-from . import fingerprints, lines, minhash, mixing, sentence_pieces, substrings, token_files  # noqa: F401
+from . import fingerprints, lines, minhash, mixing, sentence_pieces, substrings, token_files, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
