@@ -59,13 +59,13 @@ def _unpack5(blob) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _rows(bucket: int, part: np.ndarray, packed: np.ndarray) -> pa.Table:
-    """One row for each part from entries sorted by part."""
+def _rows(bucket: int, part: np.ndarray, *packed: np.ndarray) -> pa.Table:
+    """One row for each part from entries sorted by part; a row holds its columns one after another."""
     heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
     ends = np.r_[heads[1:], len(part)]
     return pa.table({"bucket": pa.array(np.full(len(heads), bucket), pa.int32()),
                      "part": pa.array(part[heads], pa.int32()),
-                     "blob": pa.array([packed[i:j].tobytes() for i, j in zip(heads, ends)], pa.binary())})
+                     "blob": pa.array([b"".join(x[i:j].tobytes() for x in packed) for i, j in zip(heads, ends)], pa.binary())})
 
 
 def _replies(buckets, source, values) -> pa.Table:
@@ -124,6 +124,15 @@ def _match(rows: pa.Table) -> pa.Table:
 _ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("at", "<u4")])
 
 
+def _entries(blob: bytes) -> np.ndarray:
+    out = np.empty(len(blob) // _ENTRY.itemsize, _ENTRY)
+    at = 0
+    for name in _ENTRY.names:
+        out[name] = np.frombuffer(blob, _ENTRY[name], len(out), at)
+        at += out[name].nbytes
+    return out
+
+
 def _extend(n: int, parts: int):
     """The windows of n words around hits, each distinct one with its first place in the bucket."""
     half = n // 2
@@ -158,15 +167,16 @@ def _extend(n: int, parts: int):
         order = np.lexsort((entry["b"], entry["a"], part))  # stable: the first place of equal windows leads
         entry, part = entry[order], part[order]
         head = np.r_[True, (entry["a"][1:] != entry["a"][:-1]) | (entry["b"][1:] != entry["b"][:-1])]
-        entry = entry[head]
-        return _rows(texts["bucket"][0].as_py(), part[head], entry.view(np.uint8).reshape(len(entry), -1))
+        entry, part = entry[head], part[head]
+        order = np.lexsort((entry["at"], entry["doc"], part))  # equal doc_ids side by side compress well
+        return _rows(texts["bucket"][0].as_py(), part[order], *(entry[c][order] for c in _ENTRY.names))
     return send
 
 
 def _earliest(rows: pa.Table) -> pa.Table:
     """Windows of one part that start earlier in another bucket: told to every bucket but the first."""
     blobs = rows["blob"].to_pylist()
-    entry = np.concatenate([np.frombuffer(b, _ENTRY) for b in blobs])
+    entry = np.concatenate([_entries(b) for b in blobs])
     source = np.repeat(np.arange(len(blobs)), [len(b) // _ENTRY.itemsize for b in blobs])
     order = np.lexsort((entry["at"], entry["doc"], entry["b"], entry["a"]))
     entry, source = entry[order], source[order]
@@ -235,8 +245,8 @@ def drop_repeats(docs: DataFrame, n: int = 20, with_text: bool = False) -> DataF
     """Per document: words, words removed because a window of ``n`` words over them also starts earlier,
     digest of the rest and, on request, the rest itself."""
     p = partitions(docs.sparkSession)
-    texts = bucketed(docs, 8 * p, "text")
-    parts = 2 * p
+    texts = bucketed(docs, 4 * p, "text")
+    parts = p
     reply = "bucket int, blob binary"
     message = "bucket int, part int, blob binary"
     hits = texts.groupBy("bucket").applyInArrow(_anchors(n, parts), message).groupBy("part").applyInArrow(_match, reply)
