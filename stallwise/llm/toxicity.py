@@ -1,9 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Lexicon. Words and word beginnings of 4, 5 and 6 bytes that toxic training rows hold at eight times the odds of
-clean ones or more, beyond chance (likelihood ratio of 28 or more, one in ten million). Near copies
-among the training rows count once: rows with the same smallest shingle hash and label are one. So forms of a
-stem that training rows do not hold still match by their beginning.
+clean ones or more, beyond chance (likelihood ratio of 16 or more). Near copies among the training rows count
+once: rows with the same smallest shingle hash and label are one. Forms of a stem that training rows do not
+hold still match by their beginning. For training, each half of the rows is looked up in the lexicon of the other half,
+so words that mark their own rows only earn no trust; scoring uses the lexicon of both.
 
 Features of a text: densities of the lexicon, plain and with look-alike characters read as letters; hits near
 a second-person pronoun; capitals, punctuation, obfuscation and length. Neither label, language, source nor
@@ -147,12 +148,12 @@ def _train_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return kept(pick.select("toxic", "r.doc_id", "r.part", "r.text"), "toxic-train")
 
 
-def _lexicon(train: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of words and beginnings, and their log odds."""
+def _counts(train: DataFrame) -> DataFrame:
+    """key, half, a, c: in how many toxic and clean rows of each half a word or beginning occurs."""
     def work(batches):
         for b in batches:
-            toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in S.chunks(b.column("text"), 1 << 22):
+            toxic, half = (b.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "half"))
+            for at, _, data, offsets in S.chunks(b.column("text"), 1 << 22):
                 spans = _runs(_PLAIN[data], offsets)
                 keys, doc = np.concatenate(_keys(spans)), np.tile(spans.text, 1 + len(_STARTS))
                 doc, keys = doc[keys != 0], keys[keys != 0]
@@ -160,21 +161,30 @@ def _lexicon(train: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 keys, doc = keys[order], doc[order]
                 once = np.ones(len(keys), bool)
                 once[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                keys, bad = keys[once], toxic[a + doc[once]]
-                heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-                total = np.diff(np.r_[heads, len(keys)])
-                bad = np.add.reduceat(bad.astype(np.int64), heads) if len(heads) else heads
-                yield pa.RecordBatch.from_arrays([pa.array(keys[heads].view(np.int64)), pa.array(bad), pa.array(total - bad)], ["key", "a", "c"])
-    n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    bad, good = n.get(1, 0) + 1, n.get(0, 0) + 1
+                keys, doc = keys[once], doc[once]
+                for h in (0, 1):
+                    own = half[at + doc] == h
+                    k, bad = keys[own], toxic[at + doc[own]].astype(np.int64)
+                    heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+                    total = np.diff(np.r_[heads, len(k)])
+                    bad = np.add.reduceat(bad, heads) if len(heads) else heads
+                    yield pa.RecordBatch.from_arrays([pa.array(k[heads].view(np.int64)), pa.array(np.full(len(heads), h), pa.int32()),
+                                                      pa.array(bad), pa.array(total - bad)], ["key", "half", "a", "c"])
+    rows = train.select("toxic", F.when(F.col("part") <= 2, 0).otherwise(1).alias("half"), "text")
+    return kept(rows.mapInArrow(work, "key bigint, half int, a bigint, c bigint").groupBy("key", "half")
+                .agg(F.sum("a").alias("a"), F.sum("c").alias("c")).where("a + c > 1"), "toxic-words")
+
+
+def _lexicon(counts: DataFrame, rows: dict, halves: tuple, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words and beginnings, and their log odds, as the given halves of the rows tell."""
+    bad, good = (sum(n for (h, y), n in rows.items() if h in halves and y == k) + 1 for k in (1, 0))
     odds = F.log((F.col("a") + 0.5) / bad) - F.log((F.col("c") + 0.5) / good)
     every = F.col("a") + F.col("c")
-    ratio = 2 * sum(F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * (bad + good) / (every * n_))).otherwise(0.0)
-                    for k, n_ in (("a", bad), ("c", good)))
-    found = (train.select("toxic", "text").mapInArrow(work, "key bigint, a bigint, c bigint").groupBy("key")
-             .agg(F.sum("a").alias("a"), F.sum("c").alias("c")).withColumn("odds", odds).withColumn("ratio", ratio)
-             .where(F.col("odds") >= float(np.log(8))).where("ratio >= 28").orderBy(F.desc("ratio"), "key").limit(size)
-             .select("key", "odds").collect())
+    ratio = 2 * sum(F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * (bad + good) / (every * n))).otherwise(0.0)
+                    for k, n in (("a", bad), ("c", good)))
+    found = (counts.where(F.col("half").isin(*halves)).groupBy("key").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+             .withColumn("odds", odds).withColumn("ratio", ratio).where(F.col("odds") >= float(np.log(8))).where("ratio >= 16")
+             .orderBy(F.desc("ratio"), "key").limit(size).select("key", "odds").collect())
     keys = np.array([r["key"] for r in found], np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], np.array([r["odds"] for r in found])[order]
@@ -205,8 +215,12 @@ class Toxicity:
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lexicon_size: int = 2_000) -> "Toxicity":
         train = _train_rows(docs, labels, max_rows)
-        lexicon = _lexicon(train, lexicon_size)
-        rows = kept(_featured(train, ["doc_id", "toxic", "part", "text"], lexicon).drop("text"), "toxic-features")
+        words = _counts(train)
+        n = {(r["half"], r["toxic"]): r["count"] for r in train.groupBy(F.when(F.col("part") <= 2, 0).otherwise(1).alias("half"), "toxic").count().collect()}
+        lexicon, first, second = (_lexicon(words, n, h, lexicon_size) for h in ((0, 1), (0,), (1,)))
+        columns = ["doc_id", "toxic", "part", "text"]
+        rows = kept(_featured(train.where("part <= 2"), columns, second).unionByName(
+            _featured(train.where("part > 2"), columns, first)).drop("text"), "toxic-features")
         counts = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         share = counts[1] / max(1, counts[0] + counts[1])
         if not counts[0] or not counts[1]:
