@@ -12,7 +12,7 @@ id enters a score.
 
 Fit. Labels come from rows whose crc32 of the id is not divisible by 5 (``held_out`` rows). At most about
 ``max_rows`` of them, picked by a hash of the id, are joined with their texts; that is the only shuffle of
-texts. Rows with remainder 4 calibrate, the others train. The fitted trees run on the JVM.
+texts. Trees fitted on each half judge the other half, and those scores calibrate the trees fitted on all.
 
 How it scales. Scoring is a map over documents. The lexicon is bounded by ``lexicon_size``.
 
@@ -226,12 +226,14 @@ class Toxicity:
         if not counts[0] or not counts[1]:
             return cls(lexicon, None, None, share)
         rows = rows.withColumn("features", array_to_vector("__features")).withColumn("label", F.col("toxic").cast("double")).orderBy("doc_id")
-        trees_on, steps_on = rows.where("part <> 4"), rows.where("part = 4")
-        if trees_on.select("label").distinct().count() < 2 or steps_on.select("label").distinct().count() < 2:
-            trees_on = steps_on = rows  # too few rows to set some apart
-        trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, seed=5, maxBins=64).fit(trees_on.select("features", "label"))
-        judged = trees.transform(steps_on.select("features", "label"))
-        steps = IsotonicRegression(featuresCol="p").fit(judged.select(vector_to_array("probability")[1].alias("p"), "label"))
+        grow = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.4, seed=5, maxBins=64)
+        halves = [rows.where("part <= 2"), rows.where("part > 2")]
+        if any(h.select("label").distinct().count() < 2 for h in halves):
+            halves = [rows, rows]  # too few rows to judge one half by the other
+        judged = [grow.fit(one.select("features", "label")).transform(two.select("features", "label")) for one, two in (halves, halves[::-1])]
+        judged = judged[0].unionByName(judged[1]).select(vector_to_array("probability")[1].alias("p"), "label")
+        steps = IsotonicRegression(featuresCol="p").fit(judged)
+        trees = grow.fit(rows.select("features", "label"))
         return cls(lexicon, trees, steps, share)
 
     def score(self, docs: DataFrame, carry: list[str]) -> DataFrame:
