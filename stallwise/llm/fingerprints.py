@@ -131,7 +131,8 @@ def likeness(one: np.ndarray, two: np.ndarray) -> float:
         n = int(np.bitwise_count(row).sum())
         both = np.bitwise_count(other & row).sum(axis=1, dtype=np.int64)
         least, most = n * m / BITS, np.minimum(n, m)
-        floor = least + _CHANCE * (most - least)
+        spread = np.sqrt(n * (m / BITS) * (1 - m / BITS))
+        floor = least + np.maximum(_CHANCE * (most - least), 4 * spread)  # few bits often fall on a dense filter
         total += n * float(np.max(np.clip((both - floor) / np.maximum(most - floor, 1e-9), 0, 1)))
         weight += n
     return total / weight
