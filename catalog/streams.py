@@ -13,7 +13,7 @@ MICROS = "epoch_us(ts)"
 
 
 def events(spark, sf):
-    return runner.file_stream(spark, sf, "events.parquet")
+    return runner.file_stream(spark, sf, "events.parquet", files_per_trigger=1)
 
 
 def micros(ts="ts"):
@@ -34,13 +34,13 @@ def _(spark, sf):
 
 @query("stream_daily_changes", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def _(spark, sf):
-    return runner.drain_updates(daily.daily_changes(events(spark, sf)), ["day"], "daily-changes")
+    return runner.drain_updates(daily.daily_changes(events(spark, sf), "1 day"), ["day"], "daily-changes")
 
 
 @query("stream_snapshot_dedup", "SELECT DISTINCT user_id AS id, strftime(ts, '%Y-%m-%d') AS run FROM events")
 def _(spark, sf):
     keyed = events(spark, sf).select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("run"), "ts")
-    return runner.drain(daily.snapshot_dedup(keyed, ["id", "run"]).select("id", "run"), "dedup")
+    return runner.drain(daily.snapshot_dedup(keyed, ["id", "run"], "2 days").select("id", "run"), "dedup")
 
 
 def cycle_tables(spark, sf, stream=None):
@@ -74,13 +74,6 @@ def _(spark, sf):
     return runner.drain(verdicts, "rate-limit").select("id", "user_id", "accepted")
 
 
-@query("rate_limit_overall")
-def _(spark, sf):
-    tries = events(spark, sf).select("event_id", "user_id", "event_type", micros().alias("ts_us"))
-    verdicts = rate_limit.rate_limit(tries, "user_id", "ts_us", "event_id", limit=2, window_seconds=86400, overall=20, scope=["event_type"])
-    return runner.drain(verdicts, "rate-limit-overall").select("id", "user_id", "event_type", "accepted")
-
-
 @query("rate_attempts", f"""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY {MICROS} RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS recent FROM events""")
 def _(spark, sf):
     tries = b.table(spark, sf, "events").select("event_id", "user_id", micros().alias("ts_us"))

@@ -148,11 +148,14 @@ def _(spark, sf):
     return trends.slope(trends.fill(cells(spark, sf, "district")), "med_ppm", MIN_N)
 
 
+_ROOM_SERIES = (*vocab.TREND_ORDER["rooms"], vocab.UNSPECIFIED)
+
+
 @query("trend_pivot", BY_ROOMS + "SELECT month, " + ", ".join(
-    f"round(max(v) FILTER (series = '{s}'), 5) AS \"{s}\"" for s in vocab.TREND_ORDER["rooms"])
+    f"round(max(v) FILTER (series = '{s}'), 5) AS \"{s}\"" for s in _ROOM_SERIES)
     + ", sum(n)::bigint AS total FROM vals GROUP BY month", digits=5)
 def _(spark, sf):
-    return trends.pivot(trends.fill(cells(spark, sf, "rooms")), "med_ppm", MIN_N, vocab.TREND_ORDER["rooms"])
+    return trends.pivot(trends.fill(cells(spark, sf, "rooms")), "med_ppm", MIN_N, _ROOM_SERIES)
 
 
 @query("monthly_report", W(sql_cells(NONE, "profile = 'apartments'", 12)) + """

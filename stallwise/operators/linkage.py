@@ -163,19 +163,20 @@ def match_addresses(listings: DataFrame, buildings: DataFrame, block: Sequence[s
 
 # ---- survey of points --------------------------------------------------------------------
 
-def _grid(df: DataFrame, cell: float) -> DataFrame:
+def _grid(df: DataFrame, cell: Column) -> DataFrame:
     df = df.withColumns({"__x": geo.mercator_x("lon"), "__y": geo.mercator_y("lat")})
     return df.withColumns({"__cx": F.floor(F.col("__x") / cell), "__cy": F.floor(F.col("__y") / cell)})
 
 
 def near_places(points: DataFrame, places: DataFrame, radii: Sequence[float] = (0.0, *vocab.RING_METRES),
-                extra_keys: Sequence[str] = (), max_lat=60.0) -> DataFrame:
+                extra_keys: Sequence[str] = ()) -> DataFrame:
     """Pairs of distinct points and places within the widest radius, with the ring they fall in.
 
-    Both sides are put on a square grid in projected metres, sized for the given latitude; a point
-    looks into its own and the eight neighbouring cells. Callers pass distinct coordinates.
+    Both sides are put on a square grid in projected metres, sized for the points' largest absolute
+    latitude; a point looks into its own and the eight neighbouring cells. Callers pass distinct coordinates.
     """
-    cell = max(radii) / math.cos(math.radians(max_lat))
+    highest = points.agg(F.max(F.abs(F.col("lat"))).alias("lat")).scalar()
+    cell = F.lit(1.01 * max(radii)) / F.cos(F.radians(F.least(F.coalesce(highest, F.lit(0.0)), F.lit(89.9))))
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     left = _grid(points, cell).withColumnRenamed("__x", "__px").withColumnRenamed("__y", "__py")
     left = left.withColumn("__dx", F.explode(steps)).withColumn("__dy", F.explode(steps))

@@ -15,14 +15,15 @@ def located(df: DataFrame) -> DataFrame:
 
 
 def map_points(df: DataFrame, limit=12000) -> DataFrame:
-    """The first points in id-text order with the total and whether the cap was hit.
+    """The first ``limit`` points in id-text order with the total and whether more exist.
 
-    The cap is part of the feature: a map draws a bounded number of points.
+    A map draws a bounded number of points; the caller sets it.
     """
     points = located(df)
+    limit = max(1, int(limit))
     total = points.agg(F.count(F.lit(1)).alias("total"))
-    page = points.orderBy(F.col("id").cast("string")).limit(max(1, min(int(limit), 20000)))
-    return page.withColumn("total", total.scalar()).withColumn("capped", F.col("total") > int(limit))
+    page = points.orderBy(F.col("id").cast("string")).limit(limit)
+    return page.withColumn("total", total.scalar()).withColumn("capped", F.col("total") > limit)
 
 
 def cell(df: DataFrame, digits=5) -> DataFrame:

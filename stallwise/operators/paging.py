@@ -17,7 +17,7 @@ def sort_page(df: DataFrame, key="posted", direction="desc", limit=100, offset=0
     page = df.orderBy(order, F.col(id).cast("string").desc())
     if offset > 0:
         page = page.offset(int(offset))
-    return page.limit(max(1, min(int(limit), 500)))
+    return page.limit(max(1, int(limit)))
 
 
 def page_total(df: DataFrame) -> DataFrame:

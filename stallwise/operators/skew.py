@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stallwise.sources.sinks import stored
 
@@ -36,8 +36,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how="
 
 
 def value_bucket(v: Column) -> Column:
-    """A non-decreasing map from values to buckets of constant relative width."""
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(BUCKETS_PER_E_FOLD))
+    """A non-decreasing map from values to buckets of constant relative width; NaN comes last, as it sorts."""
+    return (F.when(F.isnan(v), F.lit(2**63 - 1))
+            .otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(BUCKETS_PER_E_FOLD))))
 
 
 def _group(keys: Sequence[str]):
@@ -119,35 +120,36 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value, probs: Mapping[st
     return got.select(*keys, count_as, *extra, *cols)
 
 
+def _tie_cut(df: DataFrame, name: str) -> Column:
+    """A non-decreasing map from a tie column to coarser pieces: by bucket for numbers, by beginning for text."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        return value_bucket(F.col(name).cast("double"))
+    if isinstance(kind, T.StringType):
+        return F.substring(name, 1, 6)
+    return F.col(name)
+
+
 def group_rank(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str],
-               *, rank_as="rn", count_as="cnt", crowded=1_000_000) -> DataFrame:
+               *, rank_as="rn", count_as="cnt") -> DataFrame:
     """Every row with its 1-based rank and group size, without ordering a whole group in one task.
 
-    Rows are ordered inside one bucket only; the rows of lower buckets come from the histogram.
-    Buckets above ``crowded`` rows, where many values are equal, are cut again by value and by the
-    bucket of the first tie column, which must be numeric for that.
+    Rows are ordered only among rows of the same group, value and piece of the first tie column, which may
+    have any orderable type. What lies below comes from counts: of lower buckets in the group, and of
+    lower values and pieces in the bucket. NULL values rank first, NaN last, as Spark sorts them.
     """
     keys = list(keys)
     at = keys + ["__b"]
-    src = df.withColumn("__b", value_bucket(F.col(value).cast("double"))).withColumn("__w", F.lit(1).cast("bigint"))
-    hist = stored(_histogram(src.select(*at, "__w"), keys), "rank-buckets")
-    joined = null_safe_join(src.drop("__w"), hist, at)
-
-    def ranked(rows: DataFrame, unit: Sequence[str], before) -> DataFrame:
-        local = F.row_number().over(_group(unit).orderBy(value, *ties))
-        return rows.select(*df.columns, (before + local).cast("bigint").alias(rank_as),
-                           F.col("__n").alias(count_as))
-    full = hist.where(F.col("__c") > crowded)
-    if full.isEmpty():
-        return ranked(joined, at, F.col("__before"))
-    calm = ranked(joined.where(F.col("__c") <= crowded), at, F.col("__before"))
-    busy = joined.where(F.col("__c") > crowded).withColumns({
-        "__v": F.col(value).cast("double"), "__t": value_bucket(F.col(ties[0]).cast("double"))})
     unit = at + ["__v", "__t"]
-    cuts = busy.groupBy(*unit).agg(F.count(F.lit(1)).alias("__u"))
-    w = _group(at).orderBy("__v", "__t").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = cuts.select(*unit, F.coalesce(F.sum("__u").over(w), F.lit(0)).alias("__inner"))
-    return calm.unionByName(ranked(null_safe_join(busy, cuts, unit), unit, F.col("__before") + F.col("__inner")))
+    src = df.withColumn("__v", F.col(value).cast("double")).withColumn("__b", value_bucket(F.col("__v")))
+    src = src.withColumn("__t", _tie_cut(df, ties[0]))
+    cuts = src.groupBy(*unit).agg(F.count(F.lit(1)).alias("__w"))
+    lower = _group(at).orderBy("__v", "__t").rowsBetween(Window.unboundedPreceding, -1)
+    inner = cuts.withColumn("__inner", F.coalesce(F.sum("__w").over(lower), F.lit(0))).drop("__w")
+    places = null_safe_join(inner, _histogram(cuts, keys), at)
+    local = F.row_number().over(_group(unit).orderBy(value, *ties))
+    return null_safe_join(src, places, unit).select(
+        *df.columns, (F.col("__before") + F.col("__inner") + local).cast("bigint").alias(rank_as), F.col("__n").alias(count_as))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

@@ -54,7 +54,8 @@ def changes_by_day(history: DataFrame, days=60, ts="ts") -> DataFrame:
 
 def histogram(df: DataFrame, column="price", width=10000) -> DataFrame:
     """Fixed-width buckets of positive values, labelled by their lower edge in thousands."""
-    edge = (F.floor(F.col(column) / width) * (width // 1000)).alias("bucket_k")
+    thousands = F.lit(width // 1000) if width % 1000 == 0 else F.lit(width / 1000)
+    edge = (F.floor(F.col(column) / width) * thousands).alias("bucket_k")
     return df.where(F.col(column) > 0).groupBy(edge).agg(rows().alias("n"))
 
 

@@ -16,10 +16,10 @@ from stallwise.plans import trends
 
 
 def list_request(view: DataFrame, spec: Mapping, *, as_of: Column, baselines: DataFrame | None = None,
-                 history: DataFrame | None = None, ids: DataFrame | None = None, **options) -> DataFrame:
+                 history: DataFrame | None = None, ids: DataFrame | None = None, max_rows=500, **options) -> DataFrame:
     """One page of listings with the total, the new mark and the price series of changed listings.
 
-    ``view`` carries the benchmark columns. History is cut to the page before it is collected.
+    A page has ``max_rows`` rows at most, whatever the request asks for. ``view`` carries the benchmark columns. History is cut to the page before it is collected.
     """
     deals = spec.get("tab") == "deals"
     found = filters.apply_filters(view, {"profile": "apartments", **spec}, as_of=as_of, baselines=baselines,
@@ -27,7 +27,7 @@ def list_request(view: DataFrame, spec: Mapping, *, as_of: Column, baselines: Da
     key = spec.get("sort") or ("discount" if deals else "posted")
     if key not in paging.SORT_COLUMNS or (key == "discount" and not deals):
         key = "posted"
-    limit, offset = int(spec.get("limit") or 100), max(0, int(spec.get("offset") or 0))
+    limit, offset = min(int(spec.get("limit") or 100), max_rows), max(0, int(spec.get("offset") or 0))
     page = paging.sort_page(found, key, "asc" if spec.get("dir") == "asc" else "desc", limit, offset)
     page = page.withColumn("total", paging.page_total(found).scalar())
     if baselines is not None:
@@ -39,19 +39,20 @@ def list_request(view: DataFrame, spec: Mapping, *, as_of: Column, baselines: Da
     return page
 
 
-def map_request(view: DataFrame, spec: Mapping, *, as_of: Column, **options) -> DataFrame:
-    """The points of a map layer."""
+def map_request(view: DataFrame, spec: Mapping, *, as_of: Column, max_points=20000, **options) -> DataFrame:
+    """The points of a map layer, ``max_points`` at most."""
     found = filters.apply_filters(view, {"profile": "apartments", **spec}, as_of=as_of, **options)
-    return mapview.map_points(found, int(spec.get("limit") or 12000))
+    return mapview.map_points(found, min(int(spec.get("limit") or 12000), max_points))
 
 
 def trend_request(view: DataFrame, spec: Mapping, *, as_of: Column, authors: Mapping = vocab.AUTHORS,
-                  **options) -> DataFrame:
-    """The shown series of a trend over the filtered listings."""
+                  months_between=(3, 120), **options) -> DataFrame:
+    """The shown series of a trend over the filtered listings; the horizon is held within ``months_between``."""
+    months = max(months_between[0], min(int(spec.get("months") or 24), months_between[1]))
     found = filters.apply_filters(view, {"profile": "apartments", **spec}, as_of=as_of, authors=authors, **options)
     group = spec.get("group", "none")
     keys = labels.trend_groups(authors=authors)
-    return trends.trend_cube(found, keys.get(group, keys["none"]), as_of, int(spec.get("months") or 24),
+    return trends.trend_cube(found, keys.get(group, keys["none"]), as_of, months,
                              order=vocab.TREND_ORDER.get(group))
 
 

@@ -22,8 +22,7 @@ def cells(df: DataFrame, group: Column, as_of: Column, months=24, posted="posted
 
     The horizon is a plain range on the posting time, so it reaches the scan as a pushed filter.
     """
-    horizon = max(3, min(int(months), 120))
-    first = _months_back(as_of, horizon - 1).cast("timestamp_ntz")
+    first = _months_back(as_of, int(months) - 1).cast("timestamp_ntz")
     after = _months_back(as_of, -1).cast("timestamp_ntz")
     base = df.where((F.col(posted) >= first) & (F.col(posted) < after) & (F.col("price") > 0)).select(
         F.date_format(posted, MONTH).alias("month"),
@@ -152,15 +151,9 @@ def slope(cube: DataFrame, metric: str, min_n: int) -> DataFrame:
     return rows.groupBy("series").agg(F.count("value").alias("points"), _slope("value").alias("slope_pct"))
 
 
-def pivot(cube: DataFrame, metric: str, min_n: int, series: Sequence[str] | None = None) -> DataFrame:
-    """Months as rows, series as columns, with the count over all series.
-
-    Without ``series`` the columns are the (at most eight) shown series that have a value.
-    """
+def pivot(cube: DataFrame, metric: str, min_n: int, series: Sequence[str]) -> DataFrame:
+    """Months as rows, the named series as columns, with the count over all series."""
     rows = cube.withColumn("value", point(metric, min_n))
-    if series is None:
-        named = rows.where(F.col("value").isNotNull()).groupBy("series").agg(F.max("place").alias("place"))
-        series = [r["series"] for r in named.orderBy("place").limit(vocab.MAX_SERIES).collect()]
     return rows.groupBy("month").agg(
         *[F.max(F.when(F.col("series") == s, F.col("value"))).alias(s) for s in series],
         F.sum("n").alias("total"))

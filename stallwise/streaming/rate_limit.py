@@ -1,7 +1,7 @@
 """Admission limits that count accepted rows only, and the plain attempt count."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -12,49 +12,39 @@ from stallwise import vocab
 MICROS = 1_000_000
 
 
-def _admit(times, keys, recent: list[tuple[int, str]], limit: int, overall: int | None, window_us: int):
-    """Decide attempts in time order; ``recent`` holds the accepted ones of the last window."""
+def _admit(times, recent: list[int], limit: int, window_us: int):
+    """Decide attempts of one key in time order; ``recent`` holds the accepted ones of the last window."""
     accepted = []
-    for t, k in zip(times, keys):
-        recent = [(s, r) for s, r in recent if s > t - window_us]
-        ok = sum(1 for _, r in recent if r == k) < limit and (overall is None or len(recent) < overall)
+    for t in times:
+        recent = [s for s in recent if s > t - window_us]
+        ok = len(recent) < limit
         if ok:
-            recent.append((t, k))
+            recent.append(t)
         accepted.append(ok)
     return accepted, recent
 
 
 def rate_limit(stream: DataFrame, key: str, ts_us: str, id: str, *, limit=vocab.RATE_LIMIT_KEY,
-               window_seconds=vocab.RATE_WINDOW_SECONDS, overall: int | None = None,
-               scope: Sequence[str] = ()) -> DataFrame:
+               window_seconds=vocab.RATE_WINDOW_SECONDS) -> DataFrame:
     """Attempts with their verdict: accepted if fewer than ``limit`` of the key were accepted in the window.
 
-    ``overall`` also caps all keys of one ``scope`` (a form, a site) together. That rule depends on
-    every earlier verdict of the scope, so the scope becomes the state key and its attempts pass
-    through one task in order; the state itself never exceeds ``overall`` entries. Without
-    ``overall`` the state is per key and holds at most ``limit`` entries.
+    The state of a key holds at most ``limit`` times. A verdict depends on every earlier one of its key, so a
+    key's attempts of one trigger are decided together; the trigger size of the stream bounds them.
     """
-    if overall is not None and not scope:
-        raise ValueError("an overall cap needs the scope columns it applies to")
-    groups = list(scope) if overall is not None else [*scope, key]
     window_us = int(window_seconds) * MICROS
-    extra = [c for c in dict.fromkeys([*scope, key]) if c not in groups]
 
     def step(group: tuple, pieces: Iterator[pd.DataFrame], state: GroupState):
-        recent = list(zip(*state.get)) if state.exists else []
+        recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(pieces)).sort_values(["ts_us", "id"], kind="stable")
-        accepted, recent = _admit(rows["ts_us"].tolist(), rows["k"].tolist(), recent, limit, overall, window_us)
-        state.update(([t for t, _ in recent], [k for _, k in recent]))
+        accepted, recent = _admit(rows["ts_us"].tolist(), recent, limit, window_us)
+        state.update((recent,))
         out = rows.assign(accepted=accepted)
-        for i, g in enumerate(groups):
-            out[g] = group[i]
-        yield out[[*groups, *extra, "id", "ts_us", "accepted"]]
-    shaped = stream.select(*dict.fromkeys([*groups, *extra]), F.col(id).alias("id"), F.col(ts_us).alias("ts_us"),
-                           F.col(key).cast("string").alias("k"))
+        out[key] = group[0]
+        yield out[[key, "id", "ts_us", "accepted"]]
+    shaped = stream.select(key, F.col(id).alias("id"), F.col(ts_us).alias("ts_us"))
     types = dict(shaped.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*groups, *extra, "id", "ts_us"]) + ", accepted boolean"
-    return shaped.groupBy(*groups).applyInPandasWithState(
-        step, schema, "times array<long>, keys array<string>", "append", GroupStateTimeout.NoTimeout)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [key, "id", "ts_us"]) + ", accepted boolean"
+    return shaped.groupBy(key).applyInPandasWithState(step, schema, "times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def recent_attempts(df: DataFrame, key: str, ts_us: str, window_seconds: int, name="recent") -> DataFrame:
