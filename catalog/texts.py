@@ -7,7 +7,7 @@ from catalog import bindings as b
 from catalog.registry import query
 from stallwise import vocab
 from stallwise.functions import maps, payload, text
-from stallwise.operators import cards, pages, privacy
+from stallwise.operators import cards, filters, pages, privacy
 from stallwise.session import work_dir
 from stallwise.sources import listings, sinks, urls
 
@@ -169,7 +169,7 @@ def _(spark, sf):
 
 
 @query("csv_row_projection", _DET + """SELECT id::varchar AS id, 'https://listings.example/' || id AS url, 'Homes / ' || subcategory AS category, round(price, 8) AS price, 'EUR' AS currency,
-    'false' AS bargain, area::varchar || ' m²' AS area, CASE WHEN rooms_n = 0 THEN 'Студия' WHEN rooms_n IS NULL THEN '' ELSE rooms_n || ' rooms' END AS rooms,
+    'False' AS bargain, area::varchar || ' m²' AS area, CASE WHEN rooms_n = 0 THEN 'Студия' WHEN rooms_n IS NULL THEN '' ELSE rooms_n || ' rooms' END AS rooms,
     'tel ' || id || ', tel 2' AS phones, photos_count, CASE WHEN photos_count > 0 THEN array_to_string(list_transform(range(1, photos_count + 1), lambda i: 'https://media.example/900x900/' || id || '-' || i || '.jpg'), ' ') ELSE '' END AS photos
   FROM ads JOIN det USING (id)""", digits=8)
 def _(spark, sf):
@@ -178,6 +178,29 @@ def _(spark, sf):
         "id", "url", "category", "price", "currency", "bargain", "area", "rooms", "phones", "photos_count", "photos")
 
 
+_SWITCHES = [k for k, (_, test, _) in vocab.AMENITIES.items() if test == "true"]
+
+
+@query("card_amenities", _DET + " UNION ALL ".join(
+    [f"SELECT '{k}' AS amenity, id::varchar AS id FROM ads JOIN det USING (id) WHERE id % {i + 2} = 0" for i, k in enumerate(_SWITCHES)]
+    + ["SELECT 'baths2', id::varchar FROM ads JOIN det USING (id) WHERE id % 5 IN (2, 3)",
+       "SELECT 'parking', id::varchar FROM ads JOIN det USING (id)", "SELECT 'balcony', id::varchar FROM ads JOIN det USING (id) WHERE id % 7 <> 0"]))
+def _(spark, sf):
+    """From raw cards over their parsed features to every amenity."""
+    def control(fid, title, value):
+        return F.struct(F.lit("text").alias("type"), F.lit(title).alias("title"), F.struct(
+            F.lit(fid).alias("id"), F.lit("T").alias("type"), value.cast("string").alias("value")).alias("feature"))
+    number = F.col("id").cast("bigint")
+    switches = [control(2000 + i, vocab.AMENITIES[k][0], number % (i + 2) == 0) for i, k in enumerate(_SWITCHES)]
+    texts = {"baths2": (number % 5).cast("string"), "parking": F.lit("yes"), "balcony": F.when(number % 7 == 0, "Нет").otherwise("1")}
+    texts = [control(3000 + i, vocab.AMENITIES[k][0], F.to_json(F.struct(v.alias("translated")))) for i, (k, v) in enumerate(texts.items())]
+    group = F.struct(F.lit("Amenities").alias("title"), F.array(*switches, *texts).alias("controls"))
+    raw = raw_cards(spark, sf).withColumn("groups", F.concat("groups", F.array(group)))
+    parsed = cards.parse_cards(raw, "https://media.example")
+    hits = F.array_compact(F.array(*[F.when(filters.amenity(k), k) for k in vocab.AMENITIES]))
+    return parsed.select(F.explode(hits).alias("amenity"), "id")
+
+
 ROLES = {"system": "system_text", "user": "user_text", "assistant": "assistant_text"}
 
 
@@ -283,9 +306,13 @@ def _(spark, sf):
     return joined.select("s_suppkey", text.breadcrumb("r_name", middle, "s_name").alias("path"))
 
 
+# the entities of the test pages; the ampersand, also without its semicolon, comes last
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"),
+            ("&eacute;", "é"))
 _CLEAN = "regexp_replace({x}, '<[^>]+>', '', 'g')"
-for _name, _char in text.ENTITIES:
+for _name, _char in ENTITIES:
     _CLEAN = f"replace({_CLEAN}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_CLEAN = f"regexp_replace({_CLEAN}, '&amp;?', '&', 'g')"
 _CLEAN = f"trim(regexp_replace({_CLEAN}, '[\\s\\x{{00A0}}]+', ' ', 'g'))".replace("{00A0}", "{{00A0}}")
 
 
@@ -294,7 +321,7 @@ def _(spark, sf):
     return b.table(spark, sf, "pages").select("page_id", text.html_clean("html").alias("plain"))
 
 
-@query("html_clean_full")
+@query("html_clean_full", f"SELECT page_id, {_CLEAN.format(x='html')} AS plain FROM pages")
 def _(spark, sf):
     return b.table(spark, sf, "pages").select("page_id", text.html_clean_full("html").alias("plain"))
 
@@ -325,7 +352,7 @@ def _(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", F.md5(text.plain("text")).alias("folded"))
 
 
-@query("fold_diacritics_full")
+@query("fold_diacritics_full", "SELECT doc_id, trim(lower(strip_accents(text))) AS folded FROM documents")
 def _(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", text.plain_full("text").alias("folded"))
 

@@ -66,23 +66,30 @@ def feature_text(value, labels: Mapping[str, str] = vocab.UNITS) -> Column:
     """Readable text of a feature value given as JSON text.
 
     Objects: translation, else phone list, else coordinates, else amount + unit (+ bargain mark),
-    else the JSON itself. Arrays are joined with commas. Scalars are printed. An object is parsed
-    once; the single-element transform only names the parsed value.
+    else the JSON itself. Arrays are joined with commas. Scalars are printed, booleans and nulls as
+    True, False and None. An object is parsed once; the single-element transform only names the parsed value.
     """
     value = _c(value)
-    listed = F.array_join(F.from_json(value, "array<string>"), ", ")
+
+    def item(s, v):
+        return F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(s)).otherwise(F.coalesce(s, F.lit("None")))
+    listed = F.array_join(F.zip_with(F.from_json(value, "array<string>"), F.from_json(value, "array<variant>"), item), ", ")
+    word = F.initcap(F.regexp_extract(value, r'"value"\s*:\s*(true|false|null)\b', 1))
+    word = F.when(word == "Null", "None").otherwise(word)
 
     def of_object(o):
         unit = unit_label(F.coalesce(F.nullif(o["unit"], F.lit("")), o["measurement"]), labels)
         bargain = F.coalesce(o["bargain"], F.lit("")).isin("true", "1")
-        priced = F.concat(F.trim(F.concat_ws(" ", o["value"], unit)),
+        amount = F.when(word != "", word).otherwise(o["value"])
+        priced = F.concat(F.trim(F.concat_ws(" ", amount, unit)),
                           F.when(bargain, vocab.BARGAIN_SUFFIX).otherwise(""))
         return F.coalesce(
             o["translated"], F.array_join(o["phone_numbers"], ", "),
             F.when(o["lat"].isNotNull() & o["lon"].isNotNull(), F.concat_ws(", ", o["lat"], o["lon"])),
-            F.when(o["value"].isNotNull(), priced), value)
+            F.when(o["value"].isNotNull() | (word == "None"), priced), value)
     as_object = F.transform(F.array(F.from_json(value, _VALUE)), of_object)[0]
     first = F.substring(F.ltrim(value), 1, 1)
     return (F.when(value.isNull() | F.trim(value).isin("", "null", "{}", "[]"), F.lit(""))
+            .when(F.trim(value).isin("true", "false"), F.initcap(F.trim(value)))
             .when(first == "{", as_object).when(first == "[", listed)
             .otherwise(F.regexp_replace(value, r'^"|"$', "")))

@@ -1,6 +1,7 @@
 """Column functions over free text and HTML fragments."""
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterable, Mapping
 from functools import reduce
@@ -61,17 +62,55 @@ def mask(text, pattern=vocab.PHONE_PATTERN, replacement=vocab.PHONE_MASK) -> Col
     return F.regexp_replace(_c(text), pattern, replacement)
 
 
-# fixed values: the named entities decoded natively; others go through ``html_clean_full``
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-            ("&#39;", "'"), ("&apos;", "'"), ("&#x27;", "'"), ("&amp;", "&"))
+def strip(text) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+
+
+def _named() -> tuple[Column, Column]:
+    """The standard's entities as a map from name to text, and those that need no semicolon."""
+    from html.entities import html5
+
+    def as_map(names):
+        return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    return as_map(html5), as_map({k: v for k, v in html5.items() if not k.endswith(";")})
+
+
+def _numbered(code: Column) -> Column:
+    """The character of a numeric reference; the C1 range means the Windows characters, as browsers read it."""
+    windows = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    low = F.from_json(F.lit(json.dumps({str(n): c for n, c in windows.items()})), "map<string,string>")
+    none = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+            | (code % 0x10000 >= 0xFFFE))
+    return (F.when(code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+            .when(code.between(0x80, 0x9F), low[code.cast("string")]).when(none, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
+
+def unescape(text) -> Column:
+    """All named and numeric HTML entities decoded, JVM-side: the text is cut at ``&`` and each piece looked up."""
+    names, bare = _named()
+
+    def piece(seg):
+        number = F.regexp_extract(seg, r"^#([xX][0-9a-fA-F]+|[0-9]+);?", 1)
+        digits = F.regexp_extract(number, r"([0-9a-fA-F]+)$", 1)
+        read = F.when(number.rlike("^[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+        code = F.when(F.length(digits) > 12, F.lit(0x110000).cast("bigint")).otherwise(read.cast("bigint"))
+        name = F.regexp_extract(seg, "^([^\t\n\f <&#;]{1,32};?)", 1)
+        rest = F.regexp_replace(seg, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")
+        found = F.when(names[name].isNotNull(), F.concat(names[name], F.substr(seg, F.length(name) + 1)))
+        for n in range(6, 1, -1):  # the longest name that is a beginning
+            start = F.substring(name, 1, n)
+            found = found.when((F.length(name) > n) & bare[start].isNotNull(), F.concat(bare[start], F.substr(seg, F.lit(n + 1))))
+        return F.when(number != "", F.concat(_numbered(code), rest)).otherwise(found.otherwise(F.concat(F.lit("&"), seg)))
+    parts = F.split(_c(text), "&", -1)
+    decoded = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece))
+    return F.when(_c(text).contains("&"), F.array_join(decoded, "")).otherwise(_c(text))
 
 
 def html_clean(text) -> Column:
-    """Tags out, common entities decoded, white space collapsed."""
-    out = F.regexp_replace(_c(text), "<[^>]+>", "")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    """Tags out, entities decoded, white space collapsed."""
+    return strip(F.regexp_replace(unescape(F.regexp_replace(_c(text), "<[^>]+>", "")), r"(?U)\s+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -81,9 +120,9 @@ def _unescape(text: pd.Series) -> pd.Series:
 
 
 def html_clean_full(text) -> Column:
-    """As ``html_clean`` for every entity of the standard (Arrow batches of strings)."""
+    """As ``html_clean``, with Python's own decoder (Arrow batches of strings)."""
     out = _unescape(F.regexp_replace(_c(text), "<[^>]+>", ""))
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
 def _folding() -> tuple[str, str]:
@@ -107,7 +146,7 @@ def strip_marks(text) -> Column:
 
 
 def plain(text) -> Column:
-    return F.trim(F.lower(strip_marks(text)))
+    return strip(F.lower(strip_marks(text)))
 
 
 @F.pandas_udf(StringType())
@@ -123,7 +162,7 @@ def plain_full(text) -> Column:
     """As ``plain`` including ligatures and other letters that decompose to several."""
     text = _c(text)
     # pure ASCII needs no decomposition; only the rest pays for the Arrow round trip
-    return F.when(text.rlike(r"^\p{ASCII}*$"), F.trim(F.lower(text))).otherwise(_decompose(text))
+    return F.when(text.rlike(r"^\p{ASCII}*$"), strip(F.lower(text))).otherwise(_decompose(text))
 
 
 def breadcrumb(*names, sep=" / ") -> Column:
@@ -155,7 +194,7 @@ def renamed_in_map(features, key=vocab.DISTRICT_FEATURE,
 def message_fields(name, email, body) -> dict[str, Column]:
     """Trimmed and truncated message fields."""
     def cut(c, n):
-        return F.substring(F.trim(F.coalesce(_c(c), F.lit(""))), 1, n)
+        return F.substring(strip(F.coalesce(_c(c), F.lit(""))), 1, n)
     return {"name": cut(name, vocab.NAME_MAX), "email": cut(email, vocab.EMAIL_MAX),
             "body": cut(body, vocab.BODY_MAX)}
 

@@ -144,10 +144,11 @@ def typed_details(cards: DataFrame, fetched_at: Column) -> DataFrame:
 
 
 def export_rows(cards: DataFrame, url_prefix="") -> DataFrame:
-    """Cards as flat export rows with joined lists and areas written with their unit."""
+    """Cards as flat export rows: joined lists, areas with their unit, booleans as True and False."""
     area = F.when(F.col("area").isNotNull(), F.trim(F.concat_ws(" ", "area", "area_unit"))).otherwise("")
     out = cards.withColumns({
         "url": F.concat(F.lit(url_prefix), F.col("id").cast("string")), "area": area,
+        "bargain": F.initcap("bargain"), "is_expired": F.initcap(F.col("is_expired").cast("string")),
         "photos_count": F.size("photos"), "phones": F.array_join("phones", ", "),
         "photos": F.array_join("photos", " ")})
     return out.select(*vocab.CARD_EXPORT)

@@ -24,7 +24,7 @@ def no_broadcast(spark):
 
 
 @pytest.mark.parametrize("name", ["deals", "listing_360", "tolerance_ladder_join", "best_match_building", "probe_candidates",
-                                  "trend_cube", "coloured_cells", "run_audit_by_profile", "typed_details", "url_filter_spec",
+                                  "trend_cube", "coloured_cells", "run_audit_by_profile", "typed_details", "url_filter_spec", "html_clean",
                                   "quintile_breaks", "map_projection", "profile_summary"])
 def test_large_tables_join_on_keys_and_stay_in_the_jvm(spark, no_broadcast, name):
     text = plan(entry.queries()[name](spark, SF))
