@@ -8,6 +8,7 @@ from catalog.listings import VIEW, sql_columns
 from catalog.registry import query
 from stallwise.functions.labels import as_ntz
 from stallwise.operators import joins, paging, snapshots, stats, upserts
+from stallwise.sources.sinks import stored
 
 
 def snapshot_log(spark, sf, by_type=False):
@@ -168,6 +169,48 @@ def _(spark, sf):
     return stats.changes_by_day(snapshots.price_history(folded(spark, sf)), ts="run")
 
 
+@query("changes_by_day_of_profile", b.with_(b.SQL_ADS, _snap(), _fold(), recursive=True) + """SELECT profile, day, n FROM (
+    SELECT *, row_number() OVER (PARTITION BY profile ORDER BY day DESC) AS place FROM (
+      SELECT profile, strftime(run, '%Y-%m-%d') AS day, count(*) AS n FROM fold JOIN ads USING (id) WHERE is_point GROUP BY ALL)) WHERE place <= 60""")
+def _(spark, sf):
+    return stats.changes_by_day_of_profile(snapshots.price_history(folded(spark, sf)), b.ads(spark, sf), ts="run")
+
+
+@query("snapshot_state", b.with_(_snap(), _fold(), recursive=True) + """,
+  full_log AS (SELECT user_id AS id, ts::date AS run, event_type, event_id, props, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, ts::date ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1),
+  runs AS (SELECT run AS last_seen, lead(run) OVER (ORDER BY run) AS gone_at FROM (SELECT DISTINCT run FROM snap)),
+  ends AS (SELECT id, min(run) AS first_seen, max(run) AS last_seen FROM snap GROUP BY id),
+  prices AS (SELECT id, round(arg_max(stored, k), 4) AS price, round(arg_max(was, k) FILTER (was IS NOT NULL), 4) AS prev_price,
+    max(run) FILTER (was IS NOT NULL) AS price_changed_at, round(arg_min(seen, k), 4) AS first_price FROM fold GROUP BY id)
+  SELECT ends.id, 'market' AS profile, f.event_id AS subcategory_id, f.event_type AS subcategory, l.props AS title, price, 'EUR' AS currency,
+    round(l.value * 2, 4) AS old_price, CASE WHEN l.event_id % 2 = 0 THEN 'EUR' ELSE '' END AS old_currency, l.event_type AS street,
+    round(l.event_id / 1000.0, 4) AS lat, CASE WHEN l.event_id % 3 > 0 THEN round(l.event_id / 500.0, 4) END AS lon, first_seen::varchar AS first_seen,
+    last_seen::varchar AS last_seen, gone_at::varchar AS gone_at, first_price, prev_price, price_changed_at::varchar AS price_changed_at
+  FROM ends JOIN runs USING (last_seen) JOIN prices USING (id) JOIN full_log f ON f.id = ends.id AND f.run = first_seen
+    JOIN full_log l ON l.id = ends.id AND l.run = last_seen""")
+def _(spark, sf):
+    """Every column of the listing table from snapshots, replayed in two pieces."""
+    log = full_log(spark, sf)
+    middle = log.agg(F.percentile("run_no", F.lit(0.5)).alias("m")).scalar()
+    marked = log.withColumn("late", F.col("run_no") > middle).drop("run_no")
+    options = {"keys": ["profile", "id"], "scope": ["profile"], "latest": snapshots.LATEST, "first": snapshots.FIRST}
+    early = stored(snapshots.replay(marked.where("not late").drop("late"), **options).state, "early-state")
+    return snapshots.replay(marked.where("late").drop("late"), state=early, **options).state
+
+
+def full_log(spark, sf):
+    """Snapshot rows with every listing column: one per user and day, from the last event of the day."""
+    last = b.table(spark, sf, "events").groupBy(F.col("user_id").alias("id"), F.col("ts").cast("date").alias("run")).agg(
+        F.max_by(F.struct("event_id", "event_type", "props", "value"), F.struct("ts", "event_id")).alias("e"))
+    number = F.col("e.event_id")
+    return last.select(
+        F.lit("market").alias("profile"), "id", "run", F.datediff("run", F.lit("1970-01-01")).alias("run_no"), number.alias("subcategory_id"),
+        F.col("e.event_type").alias("subcategory"), F.col("e.props").alias("title"), F.col("e.value").alias("price"), F.lit("EUR").alias("currency"),
+        (F.col("e.value") * 2).alias("old_price"), F.when(number % 2 == 0, "EUR").otherwise("").alias("old_currency"),
+        F.col("e.event_type").alias("street"), (number / 1000).alias("lat"), F.when(number % 3 > 0, number / 500).alias("lon"))
+
+
 @query("lifecycle_state", b.with_(_snap(), _presence()) + """SELECT id, min(run)::varchar AS first_seen, max(run)::varchar AS last_seen,
     arg_max(next_run, run)::varchar AS gone_at FROM (SELECT *, coalesce(next_run, NULL) AS nr FROM pres) GROUP BY id
     HAVING max(run) < (SELECT max(run) FROM snap)
@@ -196,6 +239,12 @@ def _(spark, sf):
     return snapshots.replay(snapshot_log(spark, sf, True), ["profile", "id"], ["profile"]).audit
 
 
+@query("cycle_runs", "SELECT profile, run, fetched AS total, added, gone, price_down, price_up FROM (" + _audit_sql(FOLD_TYPED, True) + ") WHERE run >= '2024-01-15'")
+def _(spark, sf):
+    audit = snapshots.replay(snapshot_log(spark, sf, True), ["profile", "id"], ["profile"]).audit
+    return snapshots.cycle_runs(audit, F.lit("2024-01-15").cast("date"))
+
+
 @query("latest_runs", "SELECT * FROM (" + _audit_sql(FOLD_TYPED, True) + ") ORDER BY run DESC, profile DESC LIMIT 12")
 def _(spark, sf):
     audit = snapshots.replay(snapshot_log(spark, sf, True), ["profile", "id"], ["profile"]).audit

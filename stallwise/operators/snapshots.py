@@ -15,6 +15,10 @@ from stallwise.operators.skew import first_per_key
 from stallwise.sources.sinks import stored
 
 
+LATEST = ("title", "old_price", "old_currency", "street", "lat", "lon")
+FIRST = ("subcategory_id", "subcategory")
+
+
 class Replay(NamedTuple):
     state: DataFrame
     history: DataFrame
@@ -160,10 +164,34 @@ def lifecycle(log: DataFrame, keys: Sequence[str] = ("id",), scope: Sequence[str
     return spans.join(after, [*scope, "last_seen"], "left")
 
 
+def attributes(log: DataFrame, keys: Sequence[str], latest: Sequence[str], first: Sequence[str] = (),
+               state: DataFrame | None = None) -> DataFrame:
+    """Per listing the ``latest`` columns as last seen and the ``first`` columns as first seen.
+
+    One partially aggregated pass; an earlier state keeps its first values and, for listings that were not
+    seen again, its latest ones.
+    """
+    def pick(of, names, name):
+        return [of(F.struct(*names), "run").alias(name)] if names else []
+    parts = {"__l": list(latest), "__f": list(first)}
+    parts = {k: v for k, v in parts.items() if v}
+    seen = log.groupBy(*keys).agg(*pick(F.max_by, latest, "__l"), *pick(F.min_by, first, "__f"))
+    if state is not None:
+        known = state.select(*keys, *[F.struct(*names).alias(f"{k}0") for k, names in parts.items()])
+        both = known.join(seen, list(keys), "full")
+        order = {"__l": ("__l", "__l0"), "__f": ("__f0", "__f")}
+        seen = both.select(*keys, *[F.coalesce(*order[k]).alias(k) for k in parts])
+    return seen.select(*keys, *[F.col(k)[c].alias(c) for k, names in parts.items() for c in names])
+
+
 def replay(log: DataFrame, keys: Sequence[str] = ("id",), scope: Sequence[str] = (),
-           tol=vocab.PRICE_TOLERANCE, state: DataFrame | None = None, store=False) -> Replay:
+           tol=vocab.PRICE_TOLERANCE, state: DataFrame | None = None, store=False,
+           latest: Sequence[str] = (), first: Sequence[str] = ()) -> Replay:
     """Replay full snapshots, optionally on top of an earlier state.
 
+    ``latest`` names the columns of the log that the state refreshes at every sighting, ``first`` those it
+    keeps from the first one (``LATEST`` and ``FIRST`` for rows of ``snapshot_rows``).
+
     Returns the new state, the history points and the audit of the replayed runs. Replaying a
     log in pieces gives the same result as replaying it at once. ``store`` writes the folded
     prices once for callers that use more than one of the results.
@@ -211,6 +239,9 @@ def replay(log: DataFrame, keys: Sequence[str] = ("id",), scope: Sequence[str] =
         new_state = (rows.join(after, [*scope, "last_seen"], "left")
                      .withColumn("gone_at", F.coalesce("o_gone_at", "gone_at")).drop("o_gone_at"))
 
+    if latest or first:
+        new_state = new_state.join(attributes(log, keys, latest, first, state), keys, "left")
+
     events = presence_events(sightings, keys, calendar, scope)
     counted = events.select(*scope, F.inline(F.array(
         F.struct(F.col("run"), F.lit(1).alias("fetched"), F.col("added").cast("int").alias("added"),
@@ -239,6 +270,13 @@ def change_report(changes: DataFrame, k=10) -> DataFrame:
         "delta": delta, "delta_pct": F.when(F.col("was") != 0, delta / F.col("was") * 100)})
 
 
+def cycle_runs(audit: DataFrame, since: Column) -> DataFrame:
+    """The runs since a moment with their totals, as the summary of a cycle lists them."""
+    return audit.where(F.col("run") >= since).select(
+        *[c for c in audit.columns if c not in ("fetched", "added", "back", "gone", "price_down", "price_up")],
+        F.col("fetched").alias("total"), "added", "gone", "price_down", "price_up")
+
+
 def cycle_summary(ads: DataFrame, since: Column, k=5) -> DataFrame:
     """Since a moment: the cheapest new listings per profile and the largest price cuts."""
     w = Window.partitionBy("profile").orderBy(F.col("price").asc_nulls_first(), F.col("id").cast("string"))

@@ -52,6 +52,13 @@ def changes_by_day(history: DataFrame, days=60, ts="ts") -> DataFrame:
     return latest_periods(history, ts, "yyyy-MM-dd", days, "day")
 
 
+def changes_by_day_of_profile(history: DataFrame, ads: DataFrame, days=60, ts="ts") -> DataFrame:
+    """The latest ``days`` days with history points of every profile."""
+    counts = (history.join(ads.select("id", "profile"), "id")
+              .groupBy("profile", F.date_format(ts, "yyyy-MM-dd").alias("day")).agg(rows().alias("n")))
+    return top_per_key(counts, ["profile"], [F.col("day").desc()], days).drop("__rn")
+
+
 def histogram(df: DataFrame, column="price", width=10000) -> DataFrame:
     """Fixed-width buckets of positive values, labelled by their lower edge in thousands."""
     thousands = F.lit(width // 1000) if width % 1000 == 0 else F.lit(width / 1000)

@@ -39,10 +39,11 @@ def market_overview(listings: DataFrame, kind_feature=vocab.FEATURE_NAMES["premi
     groups = F.array(*[F.struct(
         F.lit(part).alias("part"), (c if OVERVIEW_PARTS[part][0] is None else F.when(
             F.col("profile") == OVERVIEW_PARTS[part][0], c)).alias("label")) for part, c in labels.items()])
-    expanded = (listings.where(F.col("gone_at").isNull()).select("profile", "price", "ppm", F.inline(groups))
+    expanded = (listings.where(F.col("gone_at").isNull()).select("profile", "price", "ppm", "area", F.inline(groups))
                 .where(F.col("label").isNotNull()))
     measured = expanded.groupBy("part", "profile", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("price")).alias("avg_price"), F.round(F.avg("ppm")).alias("avg_ppm"))
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("price")).alias("avg_price"), F.round(F.avg("ppm")).alias("avg_ppm"),
+        F.when(F.col("part").isin("rooms", "kind"), F.round(F.avg("area"), 1)).alias("avg_area"))
     least = F.create_map(*[F.lit(x) for part, (_, n) in OVERVIEW_PARTS.items() for x in (part, n)])[F.col("part")]
     counted = F.col("part") == "count"
     return measured.where(F.col("n") >= least).withColumns({

@@ -16,9 +16,11 @@ def _epoch(root: str, table: str, epoch: int) -> str:
 
 def cycle_step(batch: DataFrame, epoch: int, root: str, cards: Callable[[DataFrame], DataFrame], *,
                keys: Sequence[str] = ("profile", "id"), scope: Sequence[str] = ("profile",),
-               tol=vocab.PRICE_TOLERANCE) -> None:
+               tol=vocab.PRICE_TOLERANCE, latest: Sequence[str] = (), first: Sequence[str] = ()) -> None:
     """One cycle: replay the new runs on the stored state, fetch cards, write the summary.
 
+    ``latest`` and ``first`` name the listing columns that the state carries, as in ``replay``.
+
     State of epoch N is written to its own folder and read from epoch N-1, so repeating an epoch
     after a failure rewrites the same result. ``cards`` returns the details of given ids. Whole
     runs must arrive in one batch.
@@ -32,7 +34,7 @@ def cycle_step(batch: DataFrame, epoch: int, root: str, cards: Callable[[DataFra
     def save(table, df):
         df.write.mode("overwrite").parquet(_epoch(root, table, epoch))
         return spark.read.parquet(_epoch(root, table, epoch))
-    result = snapshots.replay(batch, keys, scope, tol, last("state"), store=True)
+    result = snapshots.replay(batch, keys, scope, tol, last("state"), store=True, latest=latest, first=first)
     state = save("state", result.state)
     save("history", result.history)
     save("audit", result.audit)
