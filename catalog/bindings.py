@@ -94,6 +94,16 @@ def details(spark, sf) -> DataFrame:
         size.cast("string").alias("house"), features.alias("features"))
 
 
+def sql_steps(column, steps):
+    """Label of the first step whose upper edge exceeds the column, from (edge, label) pairs."""
+    *inner, (_, last) = steps
+    return "CASE " + " ".join(f"WHEN {column} < {edge} THEN '{label}'" for edge, label in inner) + f" ELSE '{last}' END"
+
+
+SQL_FLOOR = (f"CASE (floor = 1) WHEN true THEN '{vocab.FLOOR_FIRST}' WHEN false THEN "
+             f"if(coalesce(floor >= floors_total, false), '{vocab.FLOOR_LAST}', '{vocab.FLOOR_MIDDLE}') END")
+
+
 SQL_DET = """det AS (
   SELECT l_orderkey AS id, l_quantity AS area, l_linenumber AS floor,
     CASE WHEN l_partkey % 11 <> 0 THEN 7 END AS floors_total,

@@ -8,6 +8,7 @@ from catalog.changes import _fold, _snap, folded
 from catalog.listings import _GATE
 from catalog.register import sql_side, units
 from catalog.registry import query
+from stallwise import vocab
 from stallwise.operators import joins, linkage, snapshots
 from stallwise.plans import requests
 
@@ -37,12 +38,12 @@ def _(spark, sf):
     return requests.map_request(view, spec, as_of=b.as_of()).select("id", "lat", "lon", "total", "capped")
 
 
-@query("trend_request", b.with_(*_BENCH[:4]) + """, f AS (SELECT *, CASE WHEN floor = 1 THEN 'первый этаж' WHEN floors_total IS NOT NULL AND floor >= floors_total THEN 'последний этаж' ELSE 'средние этажи' END AS series,
+@query("trend_request", b.with_(*_BENCH[:4]) + f""", f AS (SELECT *, {b.SQL_FLOOR} AS series,
       strftime(posted, '%Y-%m') AS month FROM listings WHERE profile = 'apartments' AND hidden = 0 AND rooms_n IN (1, 2) AND price > 0
       AND posted >= TIMESTAMP '2000-12-01' AND posted < TIMESTAMP '2001-12-01'),
   c AS (SELECT series, month, count(*) AS n, quantile_cont(price, 0.5) AS med_price FROM f GROUP BY ALL),
   s AS (SELECT DISTINCT series FROM c), m AS (SELECT strftime(unnest(generate_series(min((month || '-01')::timestamp), max((month || '-01')::timestamp), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM c)
-  SELECT series, month, CASE series WHEN 'первый этаж' THEN 1 WHEN 'средние этажи' THEN 2 ELSE 3 END AS place, coalesce(n, 0) AS n, round(med_price, 5) AS med_price
+  SELECT series, month, list_position({list(vocab.TREND_ORDER['floor'])}, series) AS place, coalesce(n, 0) AS n, round(med_price, 5) AS med_price
   FROM s, m LEFT JOIN c USING (series, month)""".replace("FROM s, m LEFT JOIN c USING (series, month)", "FROM (SELECT * FROM s, m) LEFT JOIN c USING (series, month)"), digits=5)
 def _(spark, sf):
     view = b.listings(spark, sf)

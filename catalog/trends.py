@@ -11,7 +11,8 @@ from stallwise.plans import trends
 from stallwise.sources.sinks import stored
 
 NONE = f"'{vocab.ALL_LISTINGS}'"
-ROOMS = ("CASE WHEN rooms_n = 0 THEN 'студия' WHEN rooms_n >= 5 THEN '5+ комн.' ELSE rooms_n || '-комн.' END")
+ROOMS = (f"CASE WHEN rooms_n = 0 THEN '{vocab.STUDIO}' WHEN rooms_n >= 5 THEN '{vocab.ROOMS_TOP}' "
+         f"ELSE rooms_n || '{vocab.ROOMS_SUFFIX}' END")
 DISTRICT = "nullif(district, '')"
 MIN_N = 2
 
@@ -63,15 +64,14 @@ def cells(spark, sf, group, months=24):
 
 _KEYS = {
     "none": NONE, "rooms": ROOMS, "district": DISTRICT, "housing": "nullif(housing_stock, '')",
-    "author": "CASE WHEN coalesce(author_type, '') <> '' THEN author_type WHEN coalesce(owner_is_business, 0) = 1 THEN 'A' ELSE 'N' END",
-    "area": "CASE WHEN area IS NULL OR area <= 0 THEN NULL WHEN area < 40 THEN 'до 40 m²' WHEN area < 60 THEN '40–60 m²' WHEN area < 80 THEN '60–80 m²' WHEN area < 100 THEN '80–100 m²' ELSE 'от 100 m²' END",
-    "floor": "CASE WHEN floor IS NULL THEN NULL WHEN floor = 1 THEN 'первый этаж' WHEN floors_total IS NOT NULL AND floor >= floors_total THEN 'последний этаж' ELSE 'средние этажи' END",
+    "author": f"coalesce(nullif(author_type, ''), if(owner_is_business = 1, '{b.AUTHORS['business']}', '{b.AUTHORS['private']}'))",
+    "area": f"if(area > 0, {b.sql_steps('area', vocab.AREA_BANDS)}, NULL)", "floor": b.SQL_FLOOR,
     "developer": "nullif(developer, '')", "kind": "nullif(f_condition, '')",
 }
 
 
 @query("trend_group_keys", W("keyed AS (" + " UNION ALL ".join(
-    f"SELECT '{k}' AS grouping, coalesce({e}, 'не указано') AS series FROM listings" for k, e in _KEYS.items()) + ")")
+    f"SELECT '{k}' AS grouping, coalesce({e}, '{vocab.UNSPECIFIED}') AS series FROM listings" for k, e in _KEYS.items()) + ")")
     + "SELECT grouping, series, count(*) AS n FROM keyed GROUP BY ALL")
 def _(spark, sf):
     pairs = F.array(*[F.struct(F.lit(k).alias("grouping"), F.coalesce(e, F.lit(vocab.UNSPECIFIED)).alias("series"))
