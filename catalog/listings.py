@@ -226,9 +226,9 @@ def _(spark, sf):
         parts.select(F.lit("part").alias("src"), F.col("p_partkey").alias("id")))
 
 
-_GATE = """floor > 1 AND floors_total IS NOT NULL AND floor < floors_total AND area >= 1 AND area <= 400
-  AND rooms_n IS NOT NULL AND housing_stock <> '' AND area / greatest(rooms_n, 1) <= 100 AND price >= 15000
-  AND ppm BETWEEN 300 AND 12000"""
+_GATE = (f"floor > 1 AND floor < floors_total AND area BETWEEN {b.POOL['min_area']} AND {vocab.AREA_MAX} AND rooms_n IS NOT NULL "
+         f"AND housing_stock <> '' AND area / greatest(rooms_n, 1) <= {vocab.AREA_PER_ROOM_MAX} AND price >= {vocab.PRICE_FLOOR} "
+         f"AND ppm BETWEEN {vocab.PPM_DEAL_RANGE[0]} AND {vocab.PPM_DEAL_RANGE[1]}")
 _filter("filter_deal_rules", lambda: filters.deal_rules(**b.POOL), _GATE)
 _filter("bbox_filter", lambda: within_bbox("lat", "lon", (46.95, 28.6, 47.05, 29.0)),
         "lat BETWEEN 46.95 AND 47.05 AND lon BETWEEN 28.6 AND 29.0")

@@ -6,9 +6,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
 from stallwise import vocab
-from stallwise.functions.text import strip_marks
-
-HOUSE = r"^\d[\w/-]*$"
+from stallwise.functions.text import strip, strip_marks
 
 
 def _c(x) -> Column:
@@ -16,7 +14,7 @@ def _c(x) -> Column:
 
 
 def _parts(address: Column) -> Column:
-    trimmed = F.transform(F.split(F.coalesce(address, F.lit("")), ","), lambda p: F.trim(p))
+    trimmed = F.transform(F.split(F.coalesce(address, F.lit("")), ","), lambda p: strip(p))
     return F.filter(trimmed, lambda p: p != "")
 
 
@@ -24,12 +22,12 @@ def split_parts(parts: Column) -> tuple[Column, Column]:
     """(street, house) of the trimmed, non-empty parts of an address."""
     last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
     before = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
-    has_house = (F.size(parts) >= 2) & last.rlike("(?U)" + HOUSE)
-    tail = r"(?U)^(.*?)\s+(\d[\w/-]*)$"
+    has_house = (F.size(parts) >= 2) & last.rlike("(?U)" + vocab.HOUSE_PATTERN)
+    tail = "(?U)" + vocab.STREET_AND_HOUSE
     tailed = last.rlike(tail)
     street = (F.when(has_house, before).when(tailed, F.regexp_extract(last, tail, 1)).otherwise(last))
     house = (F.when(has_house, last).when(tailed, F.regexp_extract(last, tail, 2)).otherwise(F.lit("")))
-    return F.regexp_replace(street, r"^sect\.?\s+\S+\s+", ""), house
+    return F.regexp_replace(street, vocab.SECTOR_PREFIX, ""), house
 
 
 def split_address(address) -> tuple[Column, Column]:
@@ -42,7 +40,7 @@ def address_parts(address) -> Column:
 
 
 def apartment(address) -> Column:
-    return F.nullif(F.regexp_extract(_c(address), r"(?i)\bap\.\s*(\S+)\s*$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_c(address), vocab.APARTMENT_PATTERN, 1), F.lit(""))
 
 
 def norm_house(house) -> Column:
@@ -65,8 +63,8 @@ def _sounds(word: Column) -> Column:
 
 def street_key(street) -> Column:
     """Consonant key of a street name, equal for Latin and Cyrillic spellings of the same sounds."""
-    text = F.trim(F.translate(F.lower(F.coalesce(_c(street), F.lit(""))), ".,", "  "))
-    words = F.filter(F.split(text, r"\s+"), lambda w: ~w.isin(*vocab.STREET_WORDS))
+    text = strip(F.translate(F.lower(F.coalesce(_c(street), F.lit(""))), ".,", "  "))
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: ~w.isin(*vocab.STREET_WORDS))
     return F.array_join(F.transform(words, _sounds), "")
 
 

@@ -5,9 +5,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise import vocab
 
-OPTION = r"^o_(\d+)_(\d+)$"
-RANGE = r"^(from|to|unit)_(\d+)_(\d+)$"
-
 
 def url_params(df: DataFrame, url: str) -> DataFrame:
     """One row per query parameter in order, percent-decoded."""
@@ -41,14 +38,14 @@ def filter_rows(params: DataFrame, id: str) -> DataFrame:
 
     Lists are bounded by the length of one URL.
     """
-    is_option = F.col("key").rlike(OPTION)
-    is_range = F.col("key").rlike(RANGE)
-    kind = F.regexp_extract("key", RANGE, 1)
+    is_option = F.col("key").rlike(vocab.URL_OPTION)
+    is_range = F.col("key").rlike(vocab.URL_RANGE)
+    kind = F.regexp_extract("key", vocab.URL_RANGE, 1)
     tagged = params.where(is_option | is_range).select(
         id, "param", "value", F.when(is_option, "option").otherwise(kind).alias("kind"),
         F.when(is_option, "options").otherwise("range").alias("form"),
-        _number(F.when(is_option, F.regexp_extract("key", OPTION, 1)).otherwise(F.regexp_extract("key", RANGE, 2))).alias("filter_id"),
-        _number(F.when(is_option, F.regexp_extract("key", OPTION, 2)).otherwise(F.regexp_extract("key", RANGE, 3))).alias("feature_id"))
+        _number(F.when(is_option, F.regexp_extract("key", vocab.URL_OPTION, 1)).otherwise(F.regexp_extract("key", vocab.URL_RANGE, 2))).alias("filter_id"),
+        _number(F.when(is_option, F.regexp_extract("key", vocab.URL_OPTION, 2)).otherwise(F.regexp_extract("key", vocab.URL_RANGE, 3))).alias("feature_id"))
 
     def last(name):
         return F.max_by("value", F.when(F.col("kind") == name, F.col("param")))

@@ -212,3 +212,11 @@ EMAIL_PATTERN = r"(?i)^[^@\s]{1,64}@[a-z0-9.-]{1,180}\.[a-z]{2,24}$"
 NAME_MIN, NAME_MAX = 2, 100
 EMAIL_MAX = 200
 BODY_MIN, BODY_MAX = 10, 5000
+
+# --- fixed values: patterns of request parameters and addresses ----------------------------
+URL_OPTION = r"^o_(\d+)_(\d+)$"
+URL_RANGE = r"^(from|to|unit)_(\d+)_(\d+)$"
+HOUSE_PATTERN = r"^\d[\w/-]*$"
+STREET_AND_HOUSE = r"^(.*?)\s+(\d[\w/-]*)$"
+SECTOR_PREFIX = r"^sect\.?\s+\S+\s+"
+APARTMENT_PATTERN = r"(?i)\bap\.\s*(\S+)\s*$"
