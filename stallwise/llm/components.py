@@ -15,7 +15,7 @@ def _compress(parent: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of (a, b): component is the smallest node reachable.
 
-    Every node takes the smallest of itself and its neighbours as parent, chains are shortened twice,
+    Every node takes the smallest of itself and its neighbours as parent, chains are shortened,
     and edges move to the parents, until none joins two different nodes. Each round shrinks every
     component with edges left to at most half its nodes' local minima, so rounds grow with the logarithm.
     """
@@ -24,8 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
-        parent = parent.select("node", F.least("node", "parent").alias("parent"))
-        parent = kept(_compress(_compress(parent)), "parents")
+        parent = _compress(kept(parent.select("node", F.least("node", "parent").alias("parent")), "parents"))
         new = (edges.join(parent.toDF("a", "pa"), "a").join(parent.toDF("b", "pb"), "b").where("pa <> pb")
                .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
         edges = kept(new, "edges")

@@ -8,12 +8,13 @@ probability their similarity, concentrated as for independent hashes, at one has
 
 Banding: with 32 bands of 4 coordinates, sets of similarity 0.75 share none with probability 5e-6.
 
-Verification: documents with equal sets are one node. Within a bucket of a band only nodes that are not
-yet in one component need comparing. A pivot is compared with all others of the bucket; the links found
-contract the components; buckets that still hold several components get more pivots, in the end all their
-members. A group of copies however large collapses on its first pivots, so pairs stay near the number of
-nodes, while every pair of different components in a bucket is compared in the end. A link is confirmed
-on the full sets: 100 * intersection >= 75 * union.
+Verification: documents with equal sets are one node. Shingles that one candidate alone has cannot be
+common to two, which bounds the similarity of a pair before its sets are read, and drops nodes that can have no
+link at all. Within a bucket only nodes that are not yet in one component need comparing. First a pivot is
+compared with the others and the links found contract the components, on few bands at first, so that a group of
+copies, however large, collapses on few pairs. Buckets that still hold several components are closed by comparing
+all their pairs of different components inside the join; only links leave it. A link is confirmed on the full
+sets: 100 * intersection >= 75 * union.
 
 How it scales. Only nodes that share a bucket have their sets looked up. Counting, pivots and labels are
 partial aggregates; joins on hot buckets are plain sort-merge joins that adaptive execution splits.
@@ -33,8 +34,8 @@ from .common import kept, register, table
 from .components import components
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Pivots per bucket in successive rounds; each divides the next, so earlier pivots stay pivots.
-PIVOTS = (1, 4, 64, 4096, 1 << 24, 1 << 62)
+#: Successive rounds before buckets are closed: pivots per bucket and the bands looked at (from, to, of 32nds).
+ROUNDS = ((1, 0, 4), (1, 4, 32))
 
 
 def shingle_sets(data, offsets, n: int):
@@ -95,7 +96,7 @@ def sketches(docs: DataFrame, words: int, bins: int, bands: int) -> DataFrame:
     """doc_id, n_shingles, two digests of the set, hashes of its bands."""
     def work(batches):
         for rows in batches:
-            for a, b, data, offsets in S.chunks(rows.column("text"), 2 << 20):
+            for a, b, data, offsets in S.chunks(rows.column("text")):
                 grams, counts = shingle_sets(data, offsets, words)
                 total = np.zeros((2, len(grams) + 1), np.uint64)
                 np.cumsum(S.mix(grams), out=total[0, 1:])
@@ -114,7 +115,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """The full sets of the given nodes."""
     def work(batches):
         for rows in batches:
-            for a, b, data, offsets in S.chunks(rows.column("text"), 2 << 20):
+            for a, b, data, offsets in S.chunks(rows.column("text")):
                 grams, counts = shingle_sets(data, offsets, words)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id").slice(a, b - a),
@@ -124,30 +125,64 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             .mapInArrow(work, "node bigint, grams array<bigint>"))
 
 
+def _similar(one: str, two: str, n: str, m: str, percent: int):
+    """Whether two sets of n and m shingles have 100 * intersection >= percent * union."""
+    common = F.size(F.array_intersect(one, two))
+    return 100 * common >= percent * (F.col(n) + F.col(m) - common)
+
+
+def _possible(n: str, r: str, m: str, q: str, percent: int):
+    """Whether sets of n and m shingles, r and q of them shared with any other, can be that similar."""
+    most = F.least(r, q)
+    return 100 * most >= percent * (F.col(n) + F.col(m) - most)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    common = F.size(F.array_intersect("ga", "gb"))
-    return (pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
-            .where(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b"))
+    """The pairs (a, b) whose full sets are similar."""
+    one, two = (sets.select(F.col("node").alias(s), F.col("grams").alias(f"g{s}"), F.size("grams").alias(f"n{s}")) for s in "ab")
+    return pairs.join(one, "a").join(two, "b").where(_similar("ga", "gb", "na", "nb", percent)).select("a", "b")
+
+
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """node, r: how many of a node's shingles another node has too."""
+    alone = (sets.select("node", F.explode("grams").alias("gram")).groupBy("gram")
+             .agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("alone")))
+    return sets.join(alone, "node", "left").select("node", (F.size("grams") - F.coalesce("alone", F.lit(0))).alias("r"))
 
 
 def _pairs(buckets: DataFrame, pivots: int, percent: int) -> DataFrame:
-    """Pairs of a pivot and a member of another component in its bucket whose sizes allow a link."""
+    """Pairs of a pivot and a member of another component in its bucket that can be linked.
+
+    Nodes with links lead: one without is more likely to meet a link to them than they are to it."""
     lead = (buckets.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("salt"))
-            .agg(F.min(F.struct(F.xxhash64("node").alias("order"), "node", "component", "n")).alias("p"))
-            .select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("other"), F.col("p.n").alias("m")))
-    return (buckets.join(lead, "bucket").where("component <> other")
-            .where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+            .agg(F.min(F.struct("single", F.xxhash64("node").alias("order"), "node", "component", "n", "r")).alias("p"))
+            .select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("other"), F.col("p.n").alias("m"), F.col("p.r").alias("q")))
+    return (buckets.join(lead, "bucket").where("component <> other").where(_possible("n", "r", "m", "q", percent))
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
 
 
-def _open(buckets: DataFrame, pivots: int) -> DataFrame:
-    """Members of buckets that hold several components and had fewer pivots than it takes for all pairs."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("salt")
-    state = (buckets.groupBy("bucket", salt).agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .groupBy("bucket").agg(F.sum("k").alias("k"), F.count("*").alias("led"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-             .where("lo <> hi and k - led > 1").select("bucket"))
-    return buckets.join(state, "bucket", "left_semi")
+def _closing_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, bands: int, percent: int) -> DataFrame:
+    """Links (a, b) among all pairs of different components in a bucket; pairs without a link never leave the join.
+
+    A pair is compared in the first bucket that it shares only, and its sets are read last."""
+    full = buckets.join(nodes.select("node", "bands"), "node").join(sets, "node")
+    one = full.select("bucket", "place", F.col("node").alias("a"), F.col("component").alias("ca"), "n", "r",
+                      F.col("bands").alias("ba"), F.col("grams").alias("ga"))
+    two = full.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("r").alias("q"),
+                      F.col("bands").alias("bb"), F.col("grams").alias("gb"))
+    earlier = F.lit(False)
+    for i in range(bands - 1):
+        earlier = earlier | ((F.col("place") > i) & (F.col("ba")[i] == F.col("bb")[i]))
+    alike = (F.when(F.col("a") >= F.col("b"), False).when(F.col("ca") == F.col("cb"), False)
+             .when(~_possible("n", "r", "m", "q", percent), False).when(earlier, False)
+             .otherwise(_similar("ga", "gb", "n", "m", percent)))
+    return one.join(two, "bucket").where(alike).select("a", "b").distinct()
+
+
+def _open(buckets: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components."""
+    several = buckets.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return buckets.join(several.select("bucket"), "bucket", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: int = 128, bands: int = 32) -> DataFrame:
@@ -155,24 +190,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
     every = kept(sketches(docs, words, bins, bands), "sketches")
     full = every.where("n_shingles > 0 and doc_id is not null")
     nodes = kept(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    flat = nodes.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
+    flat = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", F.col("n_shingles").alias("n"))
     shared = flat.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    buckets = kept(flat.join(shared, "bucket", "left_semi").withColumn("component", F.col("node")), "buckets")
+    buckets = kept(flat.join(shared, "bucket", "left_semi").select(
+        (F.col("band") * 32 / bands).cast("int").alias("band"), F.col("band").alias("place"), "bucket", "node", "n"), "buckets")
     sets = kept(_sets(docs, buckets, words), "sets")
-    labels = None
-    for pivots in PIVOTS:
-        found = linked(kept(_pairs(buckets, pivots, percent), "pairs"), sets, percent)
-        links = components(found if labels is None else _contracted(found, labels))
-        step = links.toDF("component", "top")
-        if labels is None:
-            labels = links.toDF("node", "component")
+    hopeful = _shared_counts(sets).where(F.col("r") > 0).groupBy("node").agg(F.max("r").alias("r"))
+    buckets = kept(_open(buckets.join(hopeful, "node").where(_possible("n", "r", "r", "r", percent)).select(
+        "band", "place", "bucket", "node", "n", "r", F.lit(True).alias("single"), F.col("node").alias("component"))), "open")
+    labels = buckets.select("node", "component").limit(0)
+    for pivots, low, high in (*ROUNDS, (None, 0, 32)):
+        if pivots is None:
+            found = _closing_links(buckets, nodes, sets, bands, percent)
         else:
-            moved = labels.join(step, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-            new = links.toDF("node", "component").join(labels.select("node"), "node", "left_anti")
-            labels = kept(moved.unionByName(new), "labels")
-        buckets = (buckets.join(step, "component", "left")
-                   .select("bucket", "node", "n", F.coalesce("top", "component").alias("component")))
-        buckets = kept(_open(kept(buckets, "buckets"), pivots), "open")
+            pairs = kept(_pairs(buckets.where((F.col("band") >= low) & (F.col("band") < high)), pivots, percent), "pairs")
+            if pairs.isEmpty():
+                continue
+            found = linked(pairs, sets, percent)
+        links = components(_contracted(found, labels))
+        step = links.toDF("component", "top")
+        moved = labels.join(step, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        new = links.toDF("node", "component").join(labels.select("node"), "node", "left_anti")
+        labels = kept(moved.unionByName(new), "labels")
+        buckets = kept(_open(buckets.join(step, "component", "left").select(
+            "band", "place", "bucket", "node", "n", "r", (F.col("single") & F.col("top").isNull()).alias("single"),
+            F.coalesce("top", "component").alias("component"))), "open")
         if buckets.isEmpty():
             break
     group = nodes.select("d1", "d2", "n_shingles", "node").join(labels, "node", "left").select(
