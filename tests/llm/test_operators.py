@@ -277,6 +277,31 @@ def test_cover_tree(spark, leaf):
     assert not covertree.near_vectors(df.limit(0)).collect()
 
 
+def against_brute_force(spark, points, leaf):
+    v = points.astype(np.float32).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    link = v @ v.T >= 0.95
+    np.fill_diagonal(link, False)
+    want = brute.groups(range(len(rows)), zip(*np.nonzero(np.triu(link))))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_vectors(df, leaf=leaf).collect()}
+    assert got == {i: (link[i].sum(), want[i]) for i in range(len(rows))}
+    return df
+
+
+def test_cover_tree_of_unequal_depth(spark):
+    """A crowded cluster is split further than the leaves beside it that hold its neighbours."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(4, 16))
+    points = np.concatenate([base[0] + r.normal(size=(900, 16)) * 0.1, base[0] + r.normal(size=(60, 16)) * 0.25,
+                             *(b + r.normal(size=(20, 16)) * 0.3 for b in base[1:])])
+    df = against_brute_force(spark, r.permutation(points), 25)
+    split = covertree._split(df.selectExpr("vec_id AS node", "1L AS copies", "cast(embedding AS array<double>) AS v"), 25)[0]
+    depths = {next(d for d in range(11) if path < 64 ** d) for path, in split.select("path").distinct().collect()}
+    assert max(depths) - min(depths) >= 2
+
+
 def test_toxicity(spark, none):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
