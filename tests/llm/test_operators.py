@@ -302,6 +302,27 @@ def test_cover_tree_of_unequal_depth(spark):
     assert max(depths) - min(depths) >= 2
 
 
+def test_a_leaf_links_each_pair_once():
+    """One loose cluster, wider than a net, with more candidates than a chunk holds."""
+    r = np.random.default_rng(6)
+    v = covertree._units(r.normal(size=16) + r.normal(size=(3000, 16)) * 0.15)
+    link = v @ v.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert link.sum() > 2 << 20
+    ids = np.arange(3000)
+    row = {"a": 1, "b": 1, "width": 8, "ids_a": ids.tobytes(), "copies_a": np.ones(3000, np.int64).tobytes(), "raw_a": v.tobytes(),
+           "nets_a": covertree.nest(v).tobytes()}
+    got, links, root = covertree._link(row, 0.95)
+    want = brute.groups(ids.tolist(), zip(*(x.tolist() for x in np.nonzero(np.triu(link)))))
+    assert (got == ids[link.any(axis=1)]).all() and (links == link.sum(axis=1)[got]).all()
+    assert root.tolist() == [want[i] for i in got.tolist()]
+    nets = covertree.Nets(v, covertree.nest(v).reshape(3, -1))
+    assert len(nets.levels[-1][0]) > 1
+    for limit in (5000, 1 << 22):
+        i, j = map(np.concatenate, zip(*covertree.traverse(nets, nets, 0.95, True, limit)))
+        assert (i != j).all() and len(np.unique(np.minimum(i, j) * 3000 + np.maximum(i, j))) == len(i)
+
+
 def test_toxicity(spark, none):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
