@@ -16,7 +16,8 @@ How it scales. Texts are read once for their sizes. The running sum over a sourc
 4096 window groups. Only the table of sources, one row each, is ranked as a whole; weights are given by
 that rank, and a mix names its sources, so their number does not grow with the documents.
 
-Edge cases. Null and empty texts have size 0 and are never taken. An empty table gives no rows. Repeated
+Edge cases. Null and empty texts have size 0 and are never taken; a source or table of such texts only has
+target 0 and no positions. An empty table gives no rows. Repeated
 rows count each. The last document a target reaches is taken in part.
 """
 from __future__ import annotations
@@ -58,7 +59,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, epochs: int
 def _due(offset: Column) -> Column:
     """Training position at which a source's demand reaches an offset."""
     a = F.col("slope")
-    u = offset / F.col("target")
+    u = offset / F.nullif(F.col("target"), F.lit(0.0))
     t = F.when(a == 0, u).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * F.when(a == 0, 1.0).otherwise(a)))
     return F.floor(F.col("linear") * t + F.col("square") * t * t)
 

@@ -225,6 +225,15 @@ def test_mix(spark, docs, odd, none):
     assert mixing.mix(odd).count() == 9 and not mixing.mix(none).collect()
 
 
+def test_mix_of_sources_without_words(spark):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    blank = [(10, None, "b"), (11, "", "b"), (12, " \n", None)]
+    got = {r.doc_id: r for r in mixing.mix(make([(i, prose(20, i), "a") for i in range(4)] + blank)).collect()}
+    assert len(got) == 7 and sum(r.taken for r in got.values()) == 80 and all(got[i].taken == 20 for i in range(4))
+    assert all((got[i].target, got[i].taken, got[i].shares) == (0, 0, []) for i in (10, 11, 12))
+    assert [(r.target, r.taken, r.shares) for r in mixing.mix(make(blank)).collect()] == [(0, 0, [])] * 3
+
+
 def test_mix_schedule_inverts(spark):
     rows = [(i, prose(50, i)) for i in range(300)]
     df = spark.createDataFrame([(d, t, s) for (d, t), s in zip(rows, "ab" * 150)], "doc_id bigint, text string, source string")
