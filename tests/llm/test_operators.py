@@ -332,6 +332,13 @@ def test_a_leaf_links_each_pair_once():
         assert (i != j).all() and len(np.unique(np.minimum(i, j) * 3000 + np.maximum(i, j))) == len(i)
 
 
+def test_paths_stay_within_64_bits(spark):
+    """Vectors of one direction are never parted, so the split goes as deep as it may."""
+    df = spark.createDataFrame([(i, 1, [3.0 * 2.0 ** i, 2.0 ** i]) for i in range(40)], "node bigint, copies bigint, v array<double>")
+    rows, nodes = covertree._split(df, 25)
+    assert {r.path for r in rows.collect()} == {sum(64 ** k for k in range(10))} and nodes.count() == 10
+
+
 def test_toxicity(spark, none):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
