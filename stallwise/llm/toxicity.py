@@ -197,10 +197,11 @@ def _featured(rows: DataFrame, carry: list[str], lexicon) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            found = [features(data, offsets, words, odds) for _, _, data, offsets in S.chunks(b.column(column))]
-            flat = np.concatenate(found).ravel() if found else np.zeros(0)
-            f = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * N_FEATURES, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), f], [*carry, "__features"])
+            for lo, hi, data, offsets in S.chunks(b.column(column), 1 << 18):
+                flat = features(data, offsets, words, odds).ravel()
+                f = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * N_FEATURES, pa.int32()), pa.array(flat))
+                own = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in carry), f], [*carry, "__features"])
     fields = [*(rows.schema[c] for c in carry), T.StructField("__features", T.ArrayType(T.DoubleType()))]
     rows = rows.select(*carry) if "text" in carry else rows.select(*carry, F.col("text").alias("__text"))
     return rows.mapInArrow(work, T.StructType(fields))
