@@ -47,6 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.where("doc_id is not null")  # before the targets are set, so that others make up for them
     shares = (mixing.mix(docs).where("taken > 0").select("doc_id", "size", F.explode("shares").alias("share"))
               .select("doc_id", "size", "share.words", "share.position"))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
