@@ -176,7 +176,7 @@ def _(spark, sf):
     return stats.changes_by_day_of_profile(snapshots.price_history(folded(spark, sf)), b.ads(spark, sf), ts="run")
 
 
-@query("snapshot_state", b.with_(_snap(), _fold(), recursive=True) + """,
+LISTING_STATE = b.with_(_snap(), _fold(), recursive=True) + """,
   full_log AS (SELECT user_id AS id, ts::date AS run, event_type, event_id, props, value FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, ts::date ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1),
   runs AS (SELECT run AS last_seen, lead(run) OVER (ORDER BY run) AS gone_at FROM (SELECT DISTINCT run FROM snap)),
@@ -188,7 +188,10 @@ def _(spark, sf):
     round(l.event_id / 1000.0, 4) AS lat, CASE WHEN l.event_id % 3 > 0 THEN round(l.event_id / 500.0, 4) END AS lon, first_seen::varchar AS first_seen,
     last_seen::varchar AS last_seen, gone_at::varchar AS gone_at, first_price, prev_price, price_changed_at::varchar AS price_changed_at
   FROM ends JOIN runs USING (last_seen) JOIN prices USING (id) JOIN full_log f ON f.id = ends.id AND f.run = first_seen
-    JOIN full_log l ON l.id = ends.id AND l.run = last_seen""")
+    JOIN full_log l ON l.id = ends.id AND l.run = last_seen"""
+
+
+@query("snapshot_state", LISTING_STATE)
 def _(spark, sf):
     """Every column of the listing table from snapshots, replayed in two pieces."""
     log = full_log(spark, sf)

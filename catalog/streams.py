@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import bindings as b
-from catalog.changes import FOLD, _audit_sql
+from catalog.changes import FOLD, LISTING_STATE, _audit_sql, full_log
 from catalog.registry import query
+from stallwise.operators import snapshots
 from stallwise.session import work_dir
 from stallwise.streaming import cycle, daily, price_changes, rate_limit, runner
 
@@ -28,7 +29,7 @@ def micros(ts="ts"):
 def _(spark, sf):
     seen = events(spark, sf).select(F.col("user_id").alias("id"), micros().alias("run_us"), "event_id",
                                     F.col("value").alias("price"), F.lit("EUR").alias("currency"))
-    points = runner.drain(price_changes.price_changes(seen, tie="event_id"), "price-changes")
+    points = price_changes.price_changes(seen, work_dir(spark, "price-changes"), tie="event_id")
     return points.select("id", "run_us", "price", "prev_price", "change")
 
 
@@ -43,18 +44,21 @@ def _(spark, sf):
     return runner.drain(daily.snapshot_dedup(keyed, ["id", "run"], "2 days").select("id", "run"), "dedup")
 
 
-def cycle_tables(spark, sf, stream=None):
-    def cards(ids):
-        """Details of the wanted ids: one card row per user, dated by the user's first event."""
+def cards(spark, sf):
+    """Details of wanted ids: one card row per user, dated by the user's first event."""
+    def of(ids):
         source = b.table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(
             F.min("ts").cast("date").alias("fetched_at"), F.max("value").alias("top_value"))
         return source.join(ids, "id", "left_semi")
+    return of
+
 
+def cycle_tables(spark, sf, stream=None):
     def prepare(batch):
         log = batch.groupBy(F.col("user_id").alias("id"), F.col("ts").cast("date").alias("run")).agg(
             F.max_by("value", F.struct("ts", "event_id")).alias("price"))
         return log.withColumns({"currency": F.lit("EUR"), "profile": F.lit("market")})
-    return cycle.run_cycles(stream if stream is not None else events(spark, sf), work_dir(spark, "cycle"), cards, prepare)
+    return cycle.run_cycles(stream if stream is not None else events(spark, sf), work_dir(spark, "cycle"), cards(spark, sf), prepare)
 
 
 @query("stream_cycle", _audit_sql(FOLD, False))
@@ -62,6 +66,29 @@ def _(spark, sf):
     return cycle_tables(spark, sf)["audit"].drop("profile")
 
 
+def cycles_of_parts(spark, sf, parts=3):
+    """The whole log as cycles over ``parts`` stretches of its runs, every listing column carried."""
+    log = full_log(spark, sf)
+    ends = log.agg(F.percentile("run_no", F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("p")).first()["p"]
+    cuts = [float("-inf"), *(ends or [0.0] * (parts - 1)), float("inf")]
+    tables = cycle.CycleTables(spark, work_dir(spark, "cycle"))
+    for epoch, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        part = log.where((F.col("run_no") > low) & (F.col("run_no") <= high)).drop("run_no")
+        cycle.cycle_step(part, epoch, tables, cards(spark, sf), latest=snapshots.LATEST, first=snapshots.FIRST)
+    return cycle.results(tables)
+
+
+@query("stream_cycle_state", LISTING_STATE)
+def _(spark, sf):
+    """Every column of the listing table after several cycles."""
+    return cycles_of_parts(spark, sf)["state"]
+
+
+@query("stream_cycle_details", """SELECT user_id AS id, min(ts::date)::varchar AS fetched_at, round(max(value), 4) AS top_value FROM events GROUP BY 1""")
+def _(spark, sf):
+    return cycles_of_parts(spark, sf)["details"]
+
+
 @query("rate_limit", f"""WITH RECURSIVE seq AS (SELECT user_id, event_id, {MICROS} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
   st AS (SELECT user_id, k, event_id, true AS ok, [t] AS acc FROM seq WHERE k = 1
     UNION ALL SELECT s.user_id, s.k, s.event_id, len(list_filter(st.acc, lambda x: x > s.t - 86400000000)) < 2,
@@ -70,8 +97,8 @@ def _(spark, sf):
   SELECT event_id AS id, user_id, ok::bigint AS accepted FROM st""")
 def _(spark, sf):
     tries = events(spark, sf).select("event_id", "user_id", micros().alias("ts_us"))
-    verdicts = rate_limit.rate_limit(tries, "user_id", "ts_us", "event_id", limit=2, window_seconds=86400)
-    return runner.drain(verdicts, "rate-limit").select("id", "user_id", "accepted")
+    verdicts = rate_limit.rate_limit(tries, work_dir(spark, "rate-limit"), "user_id", "ts_us", "event_id", limit=2, window_seconds=86400)
+    return verdicts.select("id", "user_id", "accepted")
 
 
 @query("rate_attempts", f"""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY {MICROS} RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS recent FROM events""")

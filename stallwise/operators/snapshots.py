@@ -62,60 +62,73 @@ def diff(known: DataFrame, snapshot: DataFrame, keys: Sequence[str] = ("id",),
     return both.withColumns({"status": status, "back": back}).drop("__known", "__seen")
 
 
-def _fold(points: Column, known: Column, tol: float) -> Column:
-    """Run through the price points of one listing; the stored price moves only on a change."""
-    first = points[0]
-    start_type = "array<struct<run:{run},price:double,currency:string,prev_price:double>>"
-
-    def entry(run, price, currency, prev):
-        return F.struct(run.alias("run"), price.alias("price"), currency.alias("currency"), prev.alias("prev_price"))
-    nothing = F.lit(None).cast("double")
-    opening = F.array(entry(first["run"], first["price"], first["currency"], nothing))
-    start = F.struct(first["price"].alias("price"), first["currency"].alias("currency"),
-                     F.when(known, F.slice(opening, 1, 0)).otherwise(opening).alias("points"))
+_CHUNK = 64
+
+
+def _fold(drift: Column, start: Column, tol: float, run: str) -> Column:
+    """The changes among prices that drift by small steps, from a stored price on.
+
+    The array is folded in chunks, each with a short list of its own, so that appending does not copy all
+    earlier changes.
+    """
+    kind = f"array<struct<run:{run},price:double,prev_price:double>>"
 
     def step(acc, x):
-        changed = price_changed(x["price"], x["currency"], acc["price"], acc["currency"], tol)
-        moved = F.struct(x["price"].alias("price"), x["currency"].alias("currency"),
-                         F.concat(acc["points"], F.array(entry(x["run"], x["price"], x["currency"], acc["price"])))
-                         .alias("points"))
-        return F.when(changed, moved).otherwise(acc)
-    return F.aggregate(F.slice(points, 2, F.size(points)), start, step)
+        moved = F.struct(x["price"].alias("price"), F.concat(acc["moves"], F.array(
+            F.struct(x["run"].alias("run"), x["price"].alias("price"), acc["price"].alias("prev_price")))).alias("moves"))
+        return F.when(F.abs(x["price"] - acc["price"]) > F.lit(float(tol)), moved).otherwise(acc)
+
+    def chunk(acc, i):
+        opening = F.struct(acc["price"].alias("price"), F.array().cast(kind).alias("moves"))
+        inner = F.aggregate(F.slice(drift, i * _CHUNK + 1, F.lit(_CHUNK)), opening, step)
+        return F.struct(inner["price"].alias("price"), F.concat(acc["parts"], F.array(inner["moves"])).alias("parts"))
+    opening = F.struct(start.alias("price"), F.array().cast(f"array<{kind}>").alias("parts"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(drift) - 1) / _CHUNK).cast("int"))
+    folded = F.flatten(F.aggregate(chunks, opening, chunk)["parts"])
+    return F.when(F.size(drift) > 0, folded).otherwise(F.array().cast(kind))
 
 
 def fold_prices(log: DataFrame, keys: Sequence[str] = ("id",), tol=vocab.PRICE_TOLERANCE,
                 state: DataFrame | None = None) -> DataFrame:
-    """Per listing: final price and currency, the change points, first and last run seen.
+    """Per listing and segment: its change points, the price it ends with, first and last run.
 
-    Only rows that differ from the previous known row are collected, since an equal row can
-    never be a change; the window and the grouping share one shuffle on the keys.
+    The stored price is never further than the tolerance from the last price seen. So a step of well over twice the tolerance,
+    or another currency, is a change whatever came before: a window finds it without folding, and it starts a
+    segment. Only smaller steps, collected within their segment, are folded one by one from the segment's price on.
+    A listing without a first price keeps none. Windows and groupings share one shuffle on the keys.
     """
+    keys, run = list(keys), log.schema["run"].dataType
     obs = log.select(*keys, "run", F.col("price").cast("double").alias("price"),
                      F.coalesce("currency", F.lit("")).alias("currency"), F.lit(False).alias("known"))
     if state is not None:
         obs = obs.unionByName(state.select(
-            *keys, F.lit(None).cast(log.schema["run"].dataType).alias("run"), "price", "currency",
-            F.lit(True).alias("known")))
+            *keys, F.lit(None).cast(run).alias("run"), "price", "currency", F.lit(True).alias("known")))
     in_order = Window.partitionBy(*keys).orderBy(F.col("run").asc_nulls_first())
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     priced = F.when(F.col("price").isNotNull(), F.struct("price", "currency"))
-    prev = F.last(priced, ignorenulls=True).over(earlier)
-    marked = obs.withColumns({"__first": F.row_number().over(in_order) == 1, "__prev": prev})
-    differs = F.col("price").isNotNull() & (
-        F.col("__prev").isNull() | (F.col("__prev.price") != F.col("price"))
-        | (F.col("__prev.currency") != F.col("currency")))
-    keep = F.when(F.col("__first") | differs, F.struct("run", "price", "currency"))
-    grouped = marked.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(keep)).alias("points"), F.bool_or("known").alias("known"),
+    marked = obs.withColumns({
+        "__first": F.row_number().over(in_order) == 1,
+        "__prev": F.last(priced, ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)),
+        "__none": F.first("price").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).isNull()})
+    later = ~F.col("__first") & ~F.col("__none") & F.col("price").isNotNull()
+    step = price_changed(F.col("price"), F.col("currency"), F.col("__prev.price"), F.col("__prev.currency"), 2.5 * float(tol))
+    marked = marked.withColumn("__head", F.col("__first") | (later & step))
+    drift = later & ~F.col("__head") & (F.col("price") != F.col("__prev.price"))
+    marked = marked.withColumns({"segment": F.count_if("__head").over(in_order.rowsBetween(Window.unboundedPreceding, 0)), "__drift": drift})
+    segments = marked.groupBy(*keys, "segment").agg(
+        F.max(F.when(F.col("__head"), F.struct("run", "price", "currency", "known"))).alias("head"),
+        F.array_sort(F.collect_list(F.when(F.col("__drift"), F.struct("run", "price")))).alias("drift"),
         F.min("run").alias("first_run"), F.max("run").alias("last_run"))
-    # a stored row has no run; array_sort places it by NULLs last, so order it explicitly
-    ordered = F.when(F.col("known"), F.concat(F.filter("points", lambda p: p["run"].isNull()),
-                                              F.filter("points", lambda p: p["run"].isNotNull()))
-                     ).otherwise(F.col("points"))
-    folded = grouped.withColumn("points", ordered)
-    folded = folded.withColumn("f", _fold(F.col("points"), F.col("known"), tol))
-    return folded.select(*keys, "known", "first_run", "last_run", F.col("f.price").alias("price"),
-                         F.col("f.currency").alias("currency"), F.col("f.points").alias("points"))
+    segments = segments.withColumn("moves", _fold(F.col("drift"), F.col("head.price"), tol, run.simpleString()))
+    last = F.coalesce(F.try_element_at("moves", F.lit(-1))["price"], F.col("head.price"))
+    before = F.lag("price").over(Window.partitionBy(*keys).orderBy("segment"))
+    entry = lambda run, price, prev: F.struct(run.alias("run"), price.alias("price"), F.col("head.currency").alias("currency"),
+                                              prev.alias("prev_price"))
+    own = F.when(F.col("head.known"), F.lit(0)).otherwise(F.lit(1))
+    points = F.concat(F.slice(F.array(entry(F.col("head.run"), F.col("head.price"), F.col("__before"))), F.lit(1), own),
+                      F.transform("moves", lambda m: entry(m["run"], m["price"], m["prev_price"])))
+    return (segments.withColumn("price", last).withColumn("__before", before).withColumn("points", points)
+            .select(*keys, "segment", "first_run", "last_run", F.col("head.known").alias("known"), F.col("head.price").alias("first_price"),
+                    "price", F.col("head.currency").alias("currency"), "points"))
 
 
 def price_history(folded: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
@@ -123,6 +136,16 @@ def price_history(folded: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame
     return folded.select(*keys, F.inline("points"))
 
 
+def listing_prices(folded: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Per listing: first and last price, the last change, first and last run, whether it was known before."""
+    change = F.try_element_at(F.filter("points", lambda p: p["prev_price"].isNotNull()), F.lit(-1))
+    each = folded.withColumn("change", F.when(change.isNotNull(), F.struct(change["run"].alias("run"), change["prev_price"].alias("prev_price"))))
+    return each.groupBy(*keys).agg(
+        F.max_by("price", "segment").alias("price"), F.max_by("currency", "segment").alias("currency"),
+        F.min_by("first_price", "segment").alias("first_price"), F.max("change").alias("change"),
+        F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run"), F.bool_or("known").alias("known"))
+
+
 def price_series(history: DataFrame, keys: Sequence[str] = ("id",), ts="run") -> DataFrame:
     """Ordered (time, price) array of listings with more than one point."""
     series = history.groupBy(*keys).agg(
@@ -203,7 +226,7 @@ def replay(log: DataFrame, keys: Sequence[str] = ("id",), scope: Sequence[str] =
     history = price_history(folded, keys)
 
     sightings = log.select(*keys, "run")
-    spans = folded.select(*keys, "price", "currency", "points", "first_run", "last_run")
+    spans = listing_prices(folded, keys)
     if state is None:
         calendar = run_calendar(sightings, scope)
     else:
@@ -217,22 +240,19 @@ def replay(log: DataFrame, keys: Sequence[str] = ("id",), scope: Sequence[str] =
                                         F.col("price_changed_at").alias("o_price_changed_at")), keys, "left")
         sightings = sightings.unionByName(before)
 
-    changes = F.filter("points", lambda p: p["prev_price"].isNotNull())
-    last_change = F.try_element_at(changes, F.lit(-1))
     after = calendar.select(*scope, F.col("run").alias("last_seen"), F.col("next_run").alias("gone_at"))
     if state is None:
-        rows = spans.select(*keys, "price", "currency", F.col("points")[0]["price"].alias("first_price"),
-                            last_change["prev_price"].alias("prev_price"),
-                            last_change["run"].alias("price_changed_at"),
+        rows = spans.select(*keys, "price", "currency", "first_price", F.col("change.prev_price").alias("prev_price"),
+                            F.col("change.run").alias("price_changed_at"),
                             F.col("first_run").alias("first_seen"), F.col("last_run").alias("last_seen"))
         new_state = rows.join(after, [*scope, "last_seen"], "left")
     else:
         rows = spans.select(
             *keys, "price", "currency",
-            F.when(F.col("o_first_seen").isNull(), F.get("points", F.lit(0))["price"])
+            F.when(F.col("o_first_seen").isNull(), F.col("first_price"))
             .otherwise(F.col("o_first_price")).alias("first_price"),
-            F.coalesce(last_change["prev_price"], F.col("o_prev_price")).alias("prev_price"),
-            F.coalesce(last_change["run"], F.col("o_price_changed_at")).alias("price_changed_at"),
+            F.coalesce(F.col("change.prev_price"), F.col("o_prev_price")).alias("prev_price"),
+            F.coalesce(F.col("change.run"), F.col("o_price_changed_at")).alias("price_changed_at"),
             F.coalesce("o_first_seen", "first_run").alias("first_seen"),
             F.coalesce("last_run", "o_last_seen").alias("last_seen"),
             F.when(F.col("last_run").isNull(), F.col("o_gone_at")).alias("o_gone_at"))

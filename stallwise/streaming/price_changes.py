@@ -1,58 +1,41 @@
-"""Price changes as keyed state over a stream of observations."""
+"""Price changes of a stream of observations, folded batch by batch onto stored prices."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import os
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stallwise import vocab
+from stallwise.operators import snapshots
+from stallwise.streaming.runner import each_batch
+from stallwise.streaming.versioned import VersionedTable
 
-STATE = "price double, currency string"
-POINTS = "run_us long, price double, currency string, prev_price double, change string"
 
+def price_changes(stream: DataFrame, root: str, keys: Sequence[str] = ("id",), run="run_us", tie: str | None = None,
+                  tol=vocab.PRICE_TOLERANCE, buckets: int = 16) -> DataFrame:
+    """First price and every change of every listing: keys, run_us, price, currency, prev_price, change.
 
-def _fold_batch(pieces: Iterator[pd.DataFrame], stored: tuple | None, tol: float):
-    """Apply the observations of one key in time order to the stored price; returns points and state."""
-    rows = pd.concat(list(pieces)).sort_values(["run_us", "tie"], kind="stable")
-    out = []
-    for run_us, price, currency in zip(rows["run_us"], rows["price"], rows["currency"]):
-        price = None if pd.isna(price) else float(price)
-        if stored is None:
-            stored = (price, currency)
-            out.append((run_us, price, currency, None, "new"))
-            continue
-        was, was_currency = stored
-        if price is None or was is None or not (abs(price - was) > tol or currency != was_currency):
-            continue
-        stored = (price, currency)
-        out.append((run_us, price, currency, was, "down" if price < was else "up"))
-    return out, stored
-
-
-def price_changes(stream: DataFrame, keys: Sequence[str] = ("id",), run="run_us", tie: str | None = None,
-                  tol=vocab.PRICE_TOLERANCE) -> DataFrame:
-    """First price and every change of every listing, as the observations arrive.
-
-    The state is one price per listing. A micro-batch is sorted per listing, so the rows of one
-    listing in one trigger are held at once; the trigger size bounds that.
+    All available input is processed. A micro-batch is folded by windows over its rows and the stored prices of its
+    listings, which sort and spill; no listing's rows are held in a Python frame. The state is one row a
+    listing, and a batch writes only the prices it moves. Points of an epoch go to a folder of their own, so a
+    repeated batch changes nothing.
     """
-    keys = list(keys)
-    names = [c.strip().split(" ")[0] for c in POINTS.split(",")]
-
-    def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState):
-        stored = state.get if state.exists else None
-        points, after = _fold_batch(pieces, stored, tol)
-        state.update(after)
-        if points:
-            frame = pd.DataFrame(points, columns=names)
-            for i, k in enumerate(keys):
-                frame.insert(i, k, key[i])
-            yield frame
-    shaped = stream.select(*keys, F.col(run).alias("run_us"), F.col(tie or run).alias("tie"),
-                           F.col("price").cast("double").alias("price"),
-                           F.coalesce("currency", F.lit("")).alias("currency"))
-    types = dict(shaped.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + POINTS
-    return shaped.groupBy(*keys).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    keys, spark = list(keys), stream.sparkSession
+    prices = VersionedTable(spark, os.path.join(root, "prices"), keys, buckets)
+    order = F.struct(F.col(run).alias("at"), F.col(tie or run).alias("tie"))
+    shaped = stream.select(*keys, order.alias("run"), F.col("price").cast("double").alias("price"), "currency")
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        known = prices.read(epoch - 1)
+        if known is not None:
+            known = known.join(batch.select(*keys).distinct(), keys, "left_semi")
+        points = snapshots.price_history(snapshots.fold_prices(batch, keys, tol, known), keys)
+        change = F.when(F.col("prev_price").isNull(), "new").otherwise(snapshots.change_class(F.col("price"), F.col("prev_price")))
+        out = os.path.join(root, "points", f"epoch={epoch}")
+        points.withColumn("change", change).write.mode("overwrite").parquet(out)
+        last = spark.read.parquet(out).groupBy(*keys).agg(F.max_by(F.struct("price", "currency"), "run").alias("p"))
+        prices.apply(epoch, last.select(*keys, "p.price", "p.currency"))
+    each_batch(shaped, step, root)
+    points = spark.read.parquet(os.path.join(root, "points"))
+    return points.select(*keys, F.col("run.at").alias("run_us"), "price", "currency", "prev_price", "change")

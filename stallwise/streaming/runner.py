@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,6 +20,13 @@ def file_stream(spark: SparkSession, folder: str, glob: str | None = None, files
     return reader.parquet(folder)
 
 
+def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], root: str) -> None:
+    """Process all available input, one micro-batch after another; a batch that failed is repeated with its epoch."""
+    query = (stream.writeStream.foreachBatch(step).option("checkpointLocation", os.path.join(root, "checkpoint"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def drain(stream: DataFrame, purpose: str, root: str | None = None) -> DataFrame:
     """Process all available input in append mode into a Parquet table and read it."""
     spark = stream.sparkSession

@@ -123,8 +123,9 @@ def test_full_text_variants(spark):
 
 def test_seven_attempts_accept_five():
     minute = 60_000_000
-    accepted, recent = rl._admit([i * minute for i in range(7)] + [61 * minute], [], 5, 3600_000_000)
-    assert accepted == [True] * 5 + [False, False, True] and recent == [i * minute for i in (2, 3, 4)] + [61 * minute]
+    ring = rl.Ring(5, 3600_000_000)
+    accepted = [ring.admit(t) for t in [i * minute for i in range(7)] + [61 * minute]]
+    assert accepted == [True] * 5 + [False, False, True] and list(ring.times) == [i * minute for i in (1, 2, 3, 4)] + [61 * minute]
 
 
 def test_recent_attempts_across_slots(spark):

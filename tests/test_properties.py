@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import changes, streams
 from stallwise.operators import snapshots
+from stallwise.session import work_dir
 from stallwise.streaming import daily, price_changes, runner
 
 SF = "/root/testdata/sf0.001"
@@ -73,7 +74,7 @@ def test_price_changes_do_not_depend_on_the_split(spark, split_events):
     def run(df):
         seen = df.select(F.col("user_id").alias("id"), streams.micros().alias("run_us"), "event_id",
                          F.col("value").alias("price"), F.lit("EUR").alias("currency"))
-        return runner.drain(price_changes.price_changes(seen, tie="event_id"), "t1")
+        return price_changes.price_changes(seen, work_dir(spark, "t1"), tie="event_id")
     one = run(streams.events(spark, SF))
     many = run(stream(spark, split_events))
     names = ["id", "run_us", "price", "prev_price", "change"]
