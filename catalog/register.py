@@ -1,6 +1,8 @@
 """Queries linking listings to register units and buildings."""
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from catalog import bindings as b
@@ -94,22 +96,6 @@ def _(spark, sf):
 
 # ---- addresses ---------------------------------------------------------------------------
 
-def addresses(spark, sf, status):
-    """Full address texts of the lines of one status."""
-    lines = b.table(spark, sf, "lineitem").where(F.col("l_linestatus") == status)
-    joined = (lines.join(b.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-              .join(b.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-              .join(b.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")))
-    text = F.concat_ws(", ", "n_name", F.concat(F.lit("str. "), F.col("p_name")), F.col("p_size").cast("string"))
-    return joined.select(F.col("n_name").alias("district"), text.alias("address"), "l_partkey").distinct()
-
-
-def sql_addresses(name, status):
-    return f"""{name} AS (SELECT DISTINCT n_name AS district, concat_ws(', ', n_name, 'str. ' || p_name, p_size::varchar) AS address, l_partkey
-    FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
-    WHERE l_linestatus = '{status}')"""
-
-
 _PARTS = """list_filter(list_transform(string_split(address, ','), lambda x: trim(x)), lambda x: x <> '')"""
 _SPLIT = f"""SELECT *, CASE WHEN len(parts) >= 2 AND regexp_full_match(parts[-1], '\\d[\\w/-]*') THEN parts[-2]
       WHEN regexp_matches(parts[-1], '^(.*?)\\s+(\\d[\\w/-]*)$') THEN regexp_extract(parts[-1], '^(.*?)\\s+(\\d[\\w/-]*)$', 1) ELSE parts[-1] END AS street,
@@ -180,33 +166,88 @@ def _(spark, sf):
     return linkage.score_streets(street_names(spark, sf)).select("street", "b_street", "score")
 
 
-@query("street_similarity_ratio")
+#: The longest run of x that y holds, the earliest in x, and its first place in y; both sides of it are searched next.
+_BLOCKS = """w AS (SELECT ka, kb, ka AS x, kb AS y FROM kp
+    UNION ALL SELECT ka, kb, s.x, s.y FROM (
+      SELECT ka, kb, unnest([{{'x': x[:i - 1], 'y': y[:j - 1]}}, {{'x': x[i + l:], 'y': y[j + l:]}}]) AS s FROM (SELECT *, position(x[i:i + l - 1] IN y) AS j FROM (
+        SELECT ka, kb, x, y, m.l AS l, -m.i AS i FROM (SELECT *, {best} AS m FROM w WHERE x <> '' AND y <> ''))) WHERE l > 0)),
+  blocks AS (SELECT ka, kb, sum(coalesce({best}.l, 0)) AS hit FROM w GROUP BY ALL),
+  ratio AS (SELECT ka, kb, CASE WHEN ka = '' OR kb = '' THEN 0 WHEN contains(ka, kb) OR contains(kb, ka) THEN 1 ELSE 2.0::double * hit / (length(ka) + length(kb)) END AS score FROM blocks)""".format(
+    best="""list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(list_filter(range(1, length(x) - i + 2), lambda l: contains(y, x[i:i + l - 1])),
+          lambda l: {'l': l, 'i': -i}))))""")
+
+
+@query("street_similarity_ratio", b.with_("s AS (SELECT p_name AS street, p_type || ' ' || p_name AS b_street FROM part UNION SELECT p_name, p_name || ' ' || p_brand FROM part UNION SELECT p_type || ' ' || p_brand, p_name FROM part)",
+        f"k AS (SELECT *, {sql_street_key('street')} AS ka, {sql_street_key('b_street')} AS kb FROM s)", "kp AS (SELECT DISTINCT ka, kb FROM k)", _BLOCKS, recursive=True)
+       + "SELECT street, b_street, round(score, 8) AS score FROM k JOIN ratio USING (ka, kb)", digits=8)
 def _(spark, sf):
     return linkage.score_streets(street_names(spark, sf), address.ratio_similarity).select("street", "b_street", "score")
 
 
-def best_matches(spark, sf, score):
-    listings = linkage.address_parts(addresses(spark, sf, "O").select("district", "address").distinct(), "address")
-    buildings = linkage.address_parts(addresses(spark, sf, "F").withColumnRenamed("l_partkey", "code"), "address")
-    return linkage.match_addresses(listings, buildings, score=score).select(
-        "district", "street", "house_key", "b_street", "code", "score")
+def listings_to_match(spark, sf):
+    """Active apartments with an address, and a register of buildings a few metres away, their streets spelled in three ways."""
+    view = b.listings(spark, sf, False).where(F.col("house") != "").select(
+        "id", "profile", "gone_at", "lat", "lon", "street", "house", "floor", "area", "housing_stock", "subcategory", F.col("views_total").alias("code"))
+    view = stored(view, "addresses")
+    listings = view.where((F.col("profile") == "apartments") & F.col("gone_at").isNull()).withColumn("all_new", F.col("housing_stock") == "O")
+    spelled = (F.when(F.col("code") % 3 == 0, F.concat(F.lit("str. "), F.col("street")))
+               .when(F.col("code") % 3 == 1, F.concat_ws(" ", "street", "subcategory")).otherwise(F.col("street")))
+    return listings, view.withColumns({"street": spelled, "lat": F.col("lat") + (F.col("code") % 3) * F.lit(0.0001),
+                                       "lon": F.col("lon") + (F.col("code") % 5 - 2) * F.lit(0.0001)})
 
 
-@query("best_match_building", b.with_(sql_addresses("ao", "O"), sql_addresses("af", "F"),
-        f"l AS (SELECT DISTINCT district, street, lower(house) AS house_key FROM ({_SPLIT.format(src='ao')}) WHERE house <> '')",
-        f"r AS (SELECT district, street AS b_street, lower(house) AS house_key, min(l_partkey) AS code FROM ({_SPLIT.format(src='af')}) GROUP BY ALL)",
-        "names AS (SELECT street AS nm FROM l UNION SELECT b_street FROM r)",
-        "keyed AS (SELECT nm, " + sql_street_key("nm") + " AS k FROM names)",
-        f"sc AS (SELECT l.*, b_street, code, a.k AS ka, c.k AS kb FROM l JOIN r USING (district, house_key) JOIN keyed a ON a.nm = l.street JOIN keyed c ON c.nm = r.b_street)",
-        f"g AS (SELECT *, {_SIM} AS score FROM sc)") + """SELECT district, street, house_key, b_street, code, round(score, 4) AS score
-  FROM (SELECT *, row_number() OVER (PARTITION BY district, street, house_key ORDER BY score DESC, code) AS rn FROM g WHERE score >= 0.6) WHERE rn = 1""")
+#: Addresses at points (pt), places around them (pl), both in Mercator metres, and the place each address takes (best).
+_MATCHED = b.W_LIST.rstrip("\n") + f""", ls AS (SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, street, lower(house) AS house_key, area, floor, housing_stock = 'O' AS fresh
+      FROM listings WHERE profile = 'apartments' AND gone_at IS NULL AND house <> ''),
+  pn AS (SELECT lat, lon, bool_and(fresh) AS all_new FROM ls GROUP BY ALL),
+  pt AS (SELECT DISTINCT lat, lon, street, house_key, all_new FROM ls JOIN pn USING (lat, lon)),
+  pl AS (SELECT round(lat + (views_total % 3) * 0.0001::double, 6) AS plat, round(lon + (views_total % 5 - 2) * 0.0001::double, 6) AS plon,
+      CASE views_total % 3 WHEN 0 THEN 'str. ' || street WHEN 1 THEN street || ' ' || subcategory ELSE street END AS b_street,
+      lower(house) AS b_house, min(views_total) AS code FROM listings WHERE house <> '' GROUP BY ALL),
+  names AS (SELECT street AS nm FROM pt UNION SELECT b_street FROM pl), keyed AS (SELECT nm, {sql_street_key("nm")} AS k FROM names),
+  pr AS (SELECT pt.*, pl.*, radians(plon - lon) * 6378137 * cos(radians(lat)) AS e,
+      6378137 * (ln(tan(pi() / 4 + radians(plat) / 2)) - ln(tan(pi() / 4 + radians(lat) / 2))) * cos(radians(lat)) AS n
+    FROM pt JOIN pl ON house_key = b_house AND pl.plon BETWEEN pt.lon - 0.0005 AND pt.lon + 0.0005 AND pl.plat BETWEEN pt.lat - 0.0005 AND pt.lat + 0.0005),
+  near AS (SELECT *, CASE WHEN sqrt(e * e + n * n) <= 0 THEN 0 WHEN sqrt(e * e + n * n) <= 12 THEN 12 ELSE 25 END AS ring FROM pr WHERE sqrt(e * e + n * n) <= 25),
+  sided AS (SELECT near.*, CASE WHEN ring = 0 THEN 0 ELSE (round(atan2(n, e) * 8 / (2 * pi()))::int + 8) % 8 END AS direction, a.k AS ka, c.k AS kb
+    FROM near JOIN keyed a ON a.nm = street JOIN keyed c ON c.nm = b_street WHERE NOT all_new OR ring <= 12),
+  {{good}},
+  met AS (SELECT *, min(ring * 8 + direction) OVER (PARTITION BY lat, lon) AS stop FROM good),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon, street, house_key ORDER BY score DESC, ring, direction, code) AS rn
+    FROM met WHERE ring * 8 + direction <= stop) WHERE rn = 1)"""
+_MATCHED_BY_EDITS = _MATCHED.replace("{good}", f"good AS (SELECT * FROM (SELECT *, {_SIM} AS score FROM sided) WHERE score >= 0.6)")
+_MATCHED_BY_BLOCKS = _MATCHED.replace("{good}", f"kp AS (SELECT DISTINCT ka, kb FROM sided), {_BLOCKS}, good AS (SELECT sided.*, score FROM sided JOIN ratio USING (ka, kb) WHERE score >= 0.6)").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("best_match_building", _MATCHED_BY_EDITS + "SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, street, house_key, b_street, code, round(score, 6) AS score FROM best", digits=6)
 def _(spark, sf):
-    return best_matches(spark, sf, address.edit_similarity)
+    return linkage.match_points(*listings_to_match(spark, sf))
 
 
-@query("best_match_building_ratio")
+@query("best_match_building_ratio", _MATCHED_BY_BLOCKS + "SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, street, house_key, b_street, code, round(score, 6) AS score FROM best", digits=6)
+def _(spark, sf):
+    return linkage.match_points(*listings_to_match(spark, sf), score=partial(address.ratio_similarity, at_least=vocab.STREET_SCORE_MIN))
+
+
+@query("rematch", _MATCHED_BY_EDITS + f""", {sql_side('f', 'F')},
+  u AS (SELECT l_partkey AS building, l_linenumber AS floor, l_quantity AS unit_area, round(l_extendedprice)::bigint AS value FROM f),
+  placed AS (SELECT ls.id, code AS building, ls.floor, ls.area FROM ls JOIN best USING (lat, lon, street, house_key)),
+  p AS (SELECT x.id, x.building, u.value, CASE WHEN unit_area BETWEEN area * 0.95::double AND area * 1.05::double THEN 0.05 ELSE 0.1 END AS tier
+    FROM placed x JOIN u ON u.building = x.building AND u.floor = x.floor AND u.value > 0 AND unit_area BETWEEN area * (1 - 0.1::double) AND area * (1 + 0.1::double)),
+  t AS (SELECT id, min(tier) AS tolerance FROM p GROUP BY id),
+  fresh AS (SELECT p.id, any_value(building) AS building, any_value(tolerance)::double AS tolerance, count(*) AS n, min(value) AS value_min,
+    round_even(quantile_cont(value, 0.5), 0)::bigint AS value_med, max(value) AS value_max FROM p JOIN t ON t.id = p.id AND p.tier = t.tolerance GROUP BY p.id)
+  SELECT id, building, tolerance, n, value_min, value_med, value_max FROM fresh
+  UNION ALL SELECT id, views_total, 0.05::double, 1, 0, 0, 0 FROM listings WHERE profile = 'apartments' AND gone_at IS NOT NULL""")
 def _(spark, sf):
-    return best_matches(spark, sf, address.ratio_similarity)
+    """All active apartments matched anew from coordinates to units; gone ones keep the match they had."""
+    view, (listings, places) = b.listings(spark, sf, False), listings_to_match(spark, sf)
+    old = view.where(F.col("profile") == "apartments").select(
+        "id", F.col("views_total").alias("building"), F.lit(0.05).alias("tolerance"), F.lit(1).cast("bigint").alias("n"),
+        *[F.lit(0).cast("bigint").alias(c) for c in ("value_min", "value_med", "value_max")])
+    fresh = linkage.rematch(listings, places, units(spark, sf))
+    touched = view.where((F.col("profile") == "apartments") & F.col("gone_at").isNull())
+    return linkage.rematch_merge(old, touched, fresh)
 
 
 def points_and_places(spark, sf):
@@ -217,7 +258,7 @@ def points_and_places(spark, sf):
     return points, places
 
 
-@query("probe_candidates", b.W_LIST.rstrip("\n") + f""", pt AS (SELECT DISTINCT round(lat, 6) AS lat, round(lon, 6) AS lon, street, lower(house) AS house
+_SURVEY = b.W_LIST.rstrip("\n") + f""", pt AS (SELECT DISTINCT round(lat, 6) AS lat, round(lon, 6) AS lon, street, lower(house) AS house
       FROM listings WHERE profile = 'apartments' AND gone_at IS NULL AND house <> ''),
   pl AS (SELECT DISTINCT round(lat + (floor % 3) * 0.0001::double, 6) AS plat, round(lon, 6) AS plon, street AS b_street, lower(house) AS b_house FROM listings WHERE gone_at IS NOT NULL AND house <> ''),
   names AS (SELECT street AS nm FROM pt UNION SELECT b_street FROM pl), keyed AS (SELECT nm, {sql_street_key("nm")} AS k FROM names),
@@ -228,11 +269,19 @@ def points_and_places(spark, sf):
   sc AS (SELECT n.*, a.k AS ka, c.k AS kb FROM near n JOIN keyed a ON a.nm = n.street JOIN keyed c ON c.nm = n.b_street WHERE house = b_house),
   fnd AS (SELECT lat, lon, min(ring) AS ring FROM (SELECT *, {_SIM} AS score FROM sc) WHERE score >= 0.6 GROUP BY ALL)
   SELECT lat, lon, coalesce(places, 0) AS places, ring::double AS ring, CASE WHEN ring IS NOT NULL THEN 'found' WHEN places IS NOT NULL THEN 'nomatch' ELSE 'empty' END AS status
-  FROM (SELECT DISTINCT lat, lon FROM pt) LEFT JOIN cnt USING (lat, lon) LEFT JOIN fnd USING (lat, lon)""", digits=6)
+  FROM (SELECT DISTINCT lat, lon FROM pt) LEFT JOIN cnt USING (lat, lon) LEFT JOIN fnd USING (lat, lon)"""
+
+
+@query("probe_candidates", _SURVEY, digits=6)
 def _(spark, sf):
     return linkage.probe_candidates(*points_and_places(spark, sf)).select("lat", "lon", "places", "ring", "status")
 
 
+@query("survey_coverage", "SELECT status, ring, count(*) AS points, sum(places)::bigint AS places FROM (" + _SURVEY + ") GROUP BY ALL", digits=6)
+def _(spark, sf):
+    return linkage.survey_coverage(linkage.probe_candidates(*points_and_places(spark, sf)))
+
+
 @query("web_mercator", b.W_ADS + """SELECT id, round(radians(lon) * 6378137, 4) AS x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 4) AS y FROM ads""")
 def _(spark, sf):
     return b.ads(spark, sf).select("id", geo.mercator_x("lon").alias("x"), geo.mercator_y("lat").alias("y"))

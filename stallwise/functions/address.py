@@ -1,6 +1,7 @@
 """Addresses: splitting, normalising and sound-alike street keys."""
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
@@ -80,14 +81,61 @@ def edit_similarity(a, b) -> Column:
             .otherwise(1.0 - F.try_divide(F.levenshtein(a, b).cast("double"), longer)))
 
 
+def _codes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, padded to one width with 0, and their lengths."""
+    wide = np.array(texts, dtype=np.str_)
+    size = np.char.str_len(wide)
+    return wide.view(np.uint32).reshape(len(wide), -1), size
+
+
+def _longest_blocks(a, b, lo_a, hi_a, lo_b, hi_b):
+    """Start in a, start in b and length of the longest equal run within each pair's ranges, the earliest in a, then in b."""
+    n, width = len(a), b.shape[1]
+    place = np.arange(width)
+    inside = (place >= lo_b[:, None]) & (place < hi_b[:, None])
+    run = np.zeros((n, width + 1), np.int32)  # equal characters up to the one before
+    size, start_a, start_b = (np.zeros(n, np.int32) for _ in range(3))
+    for i in range(int(hi_a.max(initial=0))):
+        equal = inside & (a[:, i: i + 1] == b) & ((lo_a <= i) & (i < hi_a))[:, None]
+        run[:, 1:] = np.where(equal, run[:, :-1] + 1, 0)
+        j = run.argmax(axis=1)
+        k = run[np.arange(n), j]
+        better = k > size
+        size[better], start_a[better], start_b[better] = k[better], i + 1 - k[better], j[better] - k[better]
+    return start_a, start_b, size
+
+
+def matching_ratio(first: pd.Series, second: pd.Series) -> np.ndarray:
+    """Twice the characters in matching blocks over all characters, for many pairs at once.
+
+    The longest common run of a pair is a block; what lies left and what lies right of it in both texts are two
+    new pairs. All open pairs of a round are searched together.
+    """
+    (a, size_a), (b, size_b) = _codes(first), _codes(second)
+    matched = np.zeros(len(a), np.int64)
+    pair, lo_a, hi_a, lo_b, hi_b = np.arange(len(a)), np.zeros(len(a), np.int64), size_a, np.zeros(len(a), np.int64), size_b
+    while len(pair):
+        at_a, at_b, k = _longest_blocks(a[pair], b[pair], lo_a, hi_a, lo_b, hi_b)
+        np.add.at(matched, pair, k)
+        sides = [np.concatenate(x) for x in ((pair, pair), (lo_a, at_a + k), (at_a, hi_a), (lo_b, at_b + k), (at_b, hi_b))]
+        open_ = np.tile(k > 0, 2) & (sides[1] < sides[2]) & (sides[3] < sides[4])
+        pair, lo_a, hi_a, lo_b, hi_b = (x[open_] for x in sides)
+    return 2.0 * matched / np.maximum(size_a + size_b, 1)
+
+
 @F.pandas_udf(DoubleType())
 def _matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    import difflib
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    out = pd.Series(np.zeros(len(a)))
+    todo = (a.notna() & b.notna()).to_numpy()
+    if todo.any():
+        out[todo] = matching_ratio(a[todo], b[todo])
+    return out
 
 
-def ratio_similarity(a, b) -> Column:
-    """Containment 1, else the matching-blocks ratio; meant for distinct, already blocked pairs."""
+def ratio_similarity(a, b, at_least: float = 0.0) -> Column:
+    """Containment 1, else the matching-blocks ratio; 0 where the lengths alone keep it below ``at_least``."""
     a, b = _c(a), _c(b)
-    return (F.when((a == "") | (b == ""), F.lit(0.0)).when(contained(a, b), F.lit(1.0))
-            .otherwise(_matching_ratio(a, b)))
+    shorter, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    open_ = (a != "") & (b != "") & ~contained(a, b) & (2.0 * shorter >= F.lit(float(at_least)) * both)
+    ratio = _matching_ratio(F.when(open_, a), F.when(open_, b))
+    return F.when((a == "") | (b == ""), F.lit(0.0)).when(contained(a, b), F.lit(1.0)).otherwise(ratio)

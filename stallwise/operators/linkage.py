@@ -110,15 +110,6 @@ def address_parts(df: DataFrame, column: str) -> DataFrame:
             .withColumns({"street": street, "house": house}).drop("__parts"))
 
 
-def _address_sides(listings: DataFrame, buildings: DataFrame, block: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Distinct listing addresses, and distinct building addresses with their earliest code."""
-    house = address.norm_house("house").alias("house_key")
-    left = listings.select(*block, "street", house).where(F.col("house_key") != "").distinct()
-    right = (buildings.select(*block, F.col("street").alias("b_street"), house, "code")
-             .groupBy(*block, "b_street", "house_key").agg(F.min("code").alias("code")))
-    return left, right
-
-
 def score_names(names: DataFrame, score: Callable[[Column, Column], Column] = address.edit_similarity) -> DataFrame:
     """Similarity of distinct (street, b_street) pairs.
 
@@ -138,58 +129,92 @@ def score_streets(pairs: DataFrame, score: Callable[[Column, Column], Column] =
     return pairs.join(score_names(pairs.select("street", "b_street").distinct(), score), ["street", "b_street"])
 
 
-def best_candidate(pairs: DataFrame, block: Sequence[str] = ("district",), min_score=vocab.STREET_SCORE_MIN) -> DataFrame:
-    """Per listing address the best-scoring building, the earliest code on ties."""
-    good = pairs.where(F.col("score") >= min_score)
-    return first_per_key(good, [*block, "street", "house_key"], [F.col("score").desc(), F.col("code").asc()])
-
-
-def match_addresses(listings: DataFrame, buildings: DataFrame, block: Sequence[str] = ("district",),
-                    min_score=vocab.STREET_SCORE_MIN,
-                    score: Callable[[Column, Column], Column] = address.edit_similarity) -> DataFrame:
-    """The best building of every distinct listing address in the same block with the same house number.
-
-    First the pairs of street names that occur together are reduced to distinct names and scored;
-    then addresses meet only through similar names, by equality on block, house and both names.
-    """
-    block = list(block)
-    left, right = _address_sides(listings, buildings, block)
-    left, right = stored(left, "listing-addresses"), stored(right, "building-addresses")
-    together = left.join(right, [*block, "house_key"]).select("street", "b_street").distinct()
-    similar = stored(score_names(together, score).where(F.col("score") >= min_score), "similar-streets")
-    pairs = left.join(similar, "street").join(right, [*block, "house_key", "b_street"])
-    return best_candidate(pairs, block, min_score)
+# ---- survey of points --------------------------------------------------------------------
 
+def _band_of_latitude(lat: Column) -> Column:
+    """How often the scale of the projection has doubled from the equator to a latitude."""
+    return F.floor(-F.log2(F.greatest(F.cos(F.radians(lat)), F.lit(2.0 ** -40)))).cast("int")
 
-# ---- survey of points --------------------------------------------------------------------
 
-def _grid(df: DataFrame, cell: Column) -> DataFrame:
-    df = df.withColumns({"__x": geo.mercator_x("lon"), "__y": geo.mercator_y("lat")})
-    return df.withColumns({"__cx": F.floor(F.col("__x") / cell), "__cy": F.floor(F.col("__y") / cell)})
+def _cells(df: DataFrame, size: Column) -> DataFrame:
+    return df.withColumns({"__cx": F.floor(F.col("__x") / size), "__cy": F.floor(F.col("__y") / size)})
 
 
 def near_places(points: DataFrame, places: DataFrame, radii: Sequence[float] = (0.0, *vocab.RING_METRES),
-                extra_keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs of distinct points and places within the widest radius, with the ring they fall in.
-
-    Both sides are put on a square grid in projected metres, sized for the points' largest absolute
-    latitude; a point looks into its own and the eight neighbouring cells. Callers pass distinct coordinates.
+                extra_keys: Sequence[str] = (), directions=vocab.RING_DIRECTIONS) -> DataFrame:
+    """Pairs of points and places within the widest radius, with the ring and the direction the place lies in.
+
+    Points look into their own and the eight neighbouring cells of a square grid in projected metres. Cells are nested
+    by band of latitude: each band in which the projection's scale doubles has cells of its own size, so cells
+    follow the latitude of their point and no other. A place is filed in the bands of all points that may see it,
+    which are two only at a border. ``direction`` is the nearest of the probe directions, 0 at the centre. Callers pass distinct
+    rows.
     """
-    highest = points.agg(F.max(F.abs(F.col("lat"))).alias("lat")).scalar()
-    cell = F.lit(1.01 * max(radii)) / F.cos(F.radians(F.least(F.coalesce(highest, F.lit(0.0)), F.lit(89.9))))
+    reach = 1.01 * max(radii)
+    size = F.lit(reach) * F.pow(F.lit(2.0), F.col("__band") + 1)
+    margin = reach / 110_000.0
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    left = _grid(points, cell).withColumnRenamed("__x", "__px").withColumnRenamed("__y", "__py")
-    left = left.withColumn("__dx", F.explode(steps)).withColumn("__dy", F.explode(steps))
+    at = lambda df: df.withColumns({"__x": geo.mercator_x("lon"), "__y": geo.mercator_y("lat")})
+    left = _cells(at(points).withColumn("__band", _band_of_latitude(F.col("lat"))), size)
+    left = left.withColumnsRenamed({"__x": "__px", "__y": "__py"}).withColumn("__dx", F.explode(steps)).withColumn("__dy", F.explode(steps))
     left = left.withColumns({"__cx": F.col("__cx") + F.col("__dx"), "__cy": F.col("__cy") + F.col("__dy")})
-    right = _grid(places.withColumnsRenamed({c: f"place_{c}" for c in ("lat", "lon")})
-                  .withColumns({"lat": F.col("place_lat"), "lon": F.col("place_lon")}), cell).drop("lat", "lon")
-    pairs = left.join(right, ["__cx", "__cy", *extra_keys])
+    bands = F.array_distinct(F.array(*[_band_of_latitude(F.col("lat") + d) for d in (-margin, 0.0, margin)]))
+    right = _cells(at(places).withColumn("__band", F.explode(bands)), size).withColumnsRenamed({c: f"place_{c}" for c in ("lat", "lon")})
+    pairs = left.join(right, ["__band", "__cx", "__cy", *extra_keys])
     scale = F.cos(F.radians("lat"))
-    metres = F.sqrt(F.pow((F.col("__x") - F.col("__px")) * scale, F.lit(2))
-                    + F.pow((F.col("__y") - F.col("__py")) * scale, F.lit(2)))
+    east, north = (F.col("__x") - F.col("__px")) * scale, (F.col("__y") - F.col("__py")) * scale
+    metres = F.sqrt(F.pow(east, F.lit(2)) + F.pow(north, F.lit(2)))
     ring = F.coalesce(*[F.when(metres <= r, F.lit(float(r))) for r in sorted(radii)])
-    return (pairs.withColumn("ring", ring).where(F.col("ring").isNotNull())
-            .drop("__cx", "__cy", "__dx", "__dy", "__px", "__py", "__x", "__y"))
+    turn = F.pmod(F.round(F.atan2(north, east) * F.lit(directions / (2 * math.pi))).cast("int"), F.lit(directions))
+    return (pairs.withColumn("ring", ring).where(F.col("ring").isNotNull()).withColumn("direction", F.when(F.col("ring") > 0, turn).otherwise(F.lit(0)))
+            .drop("__band", "__cx", "__cy", "__dx", "__dy", "__px", "__py", "__x", "__y"))
+
+
+POINT = ("lat", "lon")
+
+
+def _spot(df: DataFrame) -> DataFrame:
+    """Coordinates to six decimals, the street, and the house number as it is compared."""
+    return df.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6), "street": F.coalesce("street", F.lit("")),
+                           "house_key": address.norm_house("house")})
+
+
+def match_points(listings: DataFrame, places: DataFrame, radii: Sequence[float] = (0.0, *vocab.RING_METRES),
+                 min_score=vocab.STREET_SCORE_MIN, score: Callable[[Column, Column], Column] = address.edit_similarity) -> DataFrame:
+    """The building of every distinct address at a point: lat, lon, street, house_key, b_street, code, score.
+
+    ``listings`` carry lat, lon, street, house and all_new; ``places`` lat, lon, street, house and code. A survey of a point
+    meets places ring by ring and direction by direction, of equal ones by code, and stops at the first that suits an
+    address of the point; points of new builds only are surveyed in the inner ring. Among the places met by
+    then, an address takes the best street of its house number, the earliest one on ties.
+
+    Addresses and places meet by cell and house number, so the work follows what stands around a point. Places of
+    one spot, street and number count once, and street names are scored once per distinct pair.
+    """
+    spots = _spot(listings).where(F.col("house_key") != "").select(*POINT, "street", "house_key", "all_new")
+    fresh = stored(spots.groupBy(*POINT).agg(F.bool_and("all_new").alias("__new")).where("__new"), "new-points")
+    here = spots.select(*POINT, "street", "house_key").distinct()
+    there = _spot(places).groupBy(*POINT, F.col("street").alias("b_street"), "house_key").agg(F.min("code").alias("code"))
+    inner = sorted(radii)[1] if len(radii) > 1 else max(radii)
+    near = near_places(here, there, radii, ["house_key"]).join(fresh, list(POINT), "left").where(F.col("__new").isNull() | (F.col("ring") <= inner))
+    good = stored(score_streets(stored(near.drop("__new"), "near-places"), score).where(F.col("score") >= min_score), "similar-places")
+    order = F.struct("ring", "direction")
+    stops = stored(good.groupBy(*POINT).agg(F.min(order).alias("__stop")), "stops")
+    met = good.join(stops, list(POINT)).where(order <= F.col("__stop"))
+    best = first_per_key(met, [*POINT, "street", "house_key"], [F.col("score").desc(), "ring", "direction", "code"])
+    return best.select(*POINT, "street", "house_key", "b_street", "code", "score")
+
+
+def rematch(listings: DataFrame, places: DataFrame, units: DataFrame, **options) -> DataFrame:
+    """Register matches of listings from their coordinates on: id, building, tolerance, n and values.
+
+    ``listings`` carry id, lat, lon, street, house, area, floor and all_new; ``units`` building, floor, area, value. Listings
+    without a house, a building, an area or a floor have no match and are absent.
+    """
+    found = match_points(listings, places, **options).select(*POINT, "street", "house_key", F.col("code").alias("building"))
+    placed = _spot(listings).join(found, [*POINT, "street", "house_key"]).where("area <> 0 and floor is not null")
+    matched = match_listings(placed.select("id", "building", "floor", "area"), units)
+    return matched.select("id", "building", "tolerance", "n", "value_min", "value_med", "value_max")
 
 
 def probe_candidates(points: DataFrame, places: DataFrame, radii: Sequence[float] = (0.0, *vocab.RING_METRES),
@@ -216,6 +241,11 @@ def probe_candidates(points: DataFrame, places: DataFrame, radii: Sequence[float
     return joined.withColumns({"status": status, "places": F.coalesce("places", F.lit(0).cast("bigint"))})
 
 
+def survey_coverage(survey: DataFrame) -> DataFrame:
+    """How many surveyed points ended in each status, and at which ring those found were."""
+    return survey.groupBy("status", "ring").agg(F.count(F.lit(1)).alias("points"), F.sum("places").alias("places"))
+
+
 def probe_points(points: DataFrame, all_new: Column | None = None) -> DataFrame:
     """The probe positions of every survey point: centre, then rings."""
     rings = geo.rings_for(F.lit(False) if all_new is None else all_new)

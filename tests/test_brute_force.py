@@ -7,6 +7,7 @@ import re
 import statistics
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from stallwise import vocab
@@ -135,3 +136,11 @@ def test_recent_attempts_across_slots(spark):
     got = {r.id: r.recent for r in rl.recent_attempts(df, "k", "t", 60).collect()}
     for k, t, i in rows:
         assert got[i] == sum(1 for k2, t2, _ in rows if k2 == k and t - 60_000_000 <= t2 < t)
+
+
+def test_matching_blocks_equal_difflib():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(15))) for _ in range(800)] + ["", "aXb\u0219", "\U0001f600ab"]
+    first, second = pd.Series(texts), pd.Series(rng.sample(texts, len(texts)))
+    got = address.matching_ratio(first, second)
+    assert got.tolist() == [difflib.SequenceMatcher(None, a, b).ratio() if a or b else 0.0 for a, b in zip(first, second)]

@@ -1,4 +1,5 @@
 """Hand-computed answers for the semantics that are easy to get wrong. All values are invented."""
+import math
 from datetime import datetime
 
 import pytest
@@ -146,10 +147,29 @@ def test_matched_median_rounds_half_to_even(spark):
     assert m.value_med == 2
 
 
-def test_equal_scores_take_the_first_candidate(spark):
-    pairs = spark.createDataFrame([("d", "s", "1", "b2", 7, 0.9), ("d", "s", "1", "b1", 3, 0.9), ("d", "s", "1", "b0", 1, 0.5)],
-                                  "district string, street string, house_key string, b_street string, code int, score double")
-    assert linkage.best_candidate(pairs).first().code == 3
+def test_a_point_takes_the_first_of_equal_candidates(spark):
+    """Ring before direction before code; the survey stops where any address of the point is found."""
+    metre = 1 / 111_319.49
+    at = lambda east, north: (47.0 + north * metre, 28.0 + east * metre / math.cos(math.radians(47)))
+    listings = spark.createDataFrame([(47.0, 28.0, "Lunga", "5", False), (47.0, 28.0, "Scurta", "9", False), (46.0, 28.0, "Lunga", "5", True)],
+                                     "lat double, lon double, street string, house string, all_new boolean")
+    spots = [(*at(0, -11), "str. Lunga", "5", 2), (*at(0, 11), "Lunga", "5", 9), (*at(0, 11), "Lunga", "5", 7), (*at(10, 0), "Alta", "5", 1),
+             (*at(20, 0), "Scurta", "9", 4), (46.0 + 20 * metre, 28.0, "Lunga", "5", 3)]
+    places = spark.createDataFrame(spots, "lat double, lon double, street string, house string, code int")
+    got = linkage.match_points(listings, places).collect()
+    assert [(r.lat, r.street, r.house_key, r.code, r.score) for r in got] == [(47.0, "Lunga", "5", 7, 1.0)]  # north is met before south; 9 lies beyond the stop
+
+
+def test_a_stray_point_leaves_the_cells_of_a_city_alone(spark):
+    rows = [(47.0 + i * 0.0005, 28.0 + j * 0.0005) for i in range(30) for j in range(30)]
+    city = spark.createDataFrame(rows, "lat double, lon double")
+    far = city.unionByName(spark.createDataFrame([(89.0, 10.0), (90.0, 0.0), (-89.999, 0.0)], "lat double, lon double"))
+    for points in (city, far):
+        pairs = linkage.near_places(points, far.withColumn("lat", F.col("lat") + 1e-5))
+        assert pairs.where("lat < 48 and lat > 40").count() == 900
+        looked = pairs.sparkSession.createDataFrame(rows, "lat double, lon double")
+        assert looked.select(linkage._band_of_latitude(F.col("lat")).alias("b")).distinct().count() == 1
+    assert linkage.near_places(far.where("lat > 88"), far.where("lat > 88").withColumn("lat", F.col("lat") - 1e-5)).where("lat = 89").count() == 1
 
 
 def test_upper_median_of_a_cell(spark):
