@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from catalog import bindings as b
 from catalog.registry import query
 from stallwise import vocab
-from stallwise.functions import address, geo
-from stallwise.operators import linkage
+from stallwise.functions import address, geo, maps
+from stallwise.operators import linkage, pages
 from stallwise.operators.skew import first_per_key
 from stallwise.sources.sinks import stored
 
@@ -296,3 +296,52 @@ def _(spark, sf):
 def _(spark, sf):
     points = b.ads(spark, sf).groupBy("lat", "lon").agg(F.bool_and(F.col("profile") == "garages").alias("all_new"))
     return linkage.probe_points(points, F.col("all_new")).select("lat", "lon", "probe", "x", "y")
+
+
+# ---- register pages ----------------------------------------------------------------------
+
+def register_pages(spark, sf):
+    """A page per part as the register prints it: the building, then a segment for each of its lines."""
+    text = lambda c: F.col(c).cast("string")
+    field = lambda label, *value: F.concat(F.lit(f"<li>{label}: <strong>"), *value, F.lit("</strong></li>"))
+    part = b.table(spark, sf, "part")
+    lines = b.table(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(
+        F.max("l_quantity").alias("area"), F.max("l_extendedprice").cast("bigint").alias("lei")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    last = F.when(F.col("l_linenumber") == 7, "Da").when(F.col("l_linenumber") == 6, "?").otherwise("Nu")
+    unit = F.concat(
+        F.lit("<summary>U <strong> 01."), text("l_partkey"), F.lit("."), text("l_orderkey"), F.lit("."), text("l_linenumber"), F.lit("</strong></summary>"),
+        field("Adresa", F.lit("str. "), F.col("p_name"), F.lit(" "), text("p_size"), F.lit(" ap. "), (F.col("l_orderkey") % 100).cast("string")),
+        field("Suprafața ", F.replace(text("area"), F.lit("."), F.lit(","))), field("Tipul", F.lit("<b>"), F.col("p_type"), F.lit("</b>")),
+        field("Etajul", text("l_linenumber")), field("Veceu", F.lit("da")), field("Baie", F.lit("nu")), field("Ultimul etaj", last),
+        field("Valoarea estimată", (F.col("lei") / 1000).cast("int").cast("string"), F.lit(" "), F.lpad((F.col("lei") % 1000).cast("string"), 3, "0"), F.lit(" lei")))
+    units = (lines.select("l_partkey", F.struct("l_orderkey", "l_linenumber", unit.alias("html")).alias("u")).groupBy("l_partkey")
+             .agg(F.array_join(F.array_sort(F.collect_list("u"))["html"], "").alias("units")))  # a page is a text of one building
+    head = F.concat(
+        F.lit("<div><summary class='x'>Cod <strong> 01."), text("p_partkey"), F.lit(" </strong></summary><ul>"),
+        field("Adresa", F.lit("mun. Oraș, sect. Centru str. "), F.col("p_name"), F.lit(", "), text("p_size"), F.lit("/A")),
+        field("Clasificator", F.col("p_type")), field("Anul construcției", (F.col("p_size") + 1950).cast("string")),
+        field("Numărul de etaje ", (F.col("p_size") % 10).cast("string"), F.lit(" etaje")), field("Starea", F.lit("bun&abreve;")),
+        field("Materialul pereților", F.col("p_brand")), field("Apă", F.lit("da")), field("Apa caldă", F.lit("nu")), field("Gaz", F.lit("da")),
+        field("Canalizare", F.lit("da")), field("Complet electrificat", F.lit("da")), field("Alt câmp", F.col("p_brand"), F.lit(" &amp; altele")),
+        field("Valoarea estimată", F.lit("1 "), F.lpad(text("p_size"), 3, "0"), F.lit(" 000 lei")), F.lit("</ul>"))
+    day = F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0")
+    html = F.concat(head, F.coalesce("units", F.lit("")), F.lit("Data actualizării: "), day, F.lit(".06.2024</div>"))
+    return part.join(units, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+        html.alias("html"), F.concat(F.lit('{"id": '), text("p_partkey"), F.lit("}")).alias("geometry"))
+
+
+@query("register_buildings", """SELECT '01.' || p_partkey AS code, 'mun. Oraș, sect. Centru str. ' || p_name || ', ' || p_size || '/A' AS address, 'str. ' || p_name AS street, p_size || '/A' AS house,
+    p_type AS classifier, p_size + 1950 AS year_built, p_size % 10 AS floors, 'bună' AS condition, p_brand AS walls, 'da' AS gas, 'da' AS water, 'da' AS sewer, 'da' AS electrified,
+    (1000 + p_size) * 1000 AS value_lei, lpad((p_size % 28 + 1)::varchar, 2, '0') || '.06.2024' AS updated, 'Alt câmp=' || p_brand || ' & altele|Apa caldă=nu' AS props,
+    '{"id": ' || p_partkey || '}' AS geometry FROM part""")
+def _(spark, sf):
+    found = pages.parse_buildings(register_pages(spark, sf))
+    return found.withColumn("props", maps.as_text(F.col("props")))
+
+
+@query("register_units", """SELECT '01.' || l_partkey || '.' || l_orderkey || '.' || l_linenumber AS code, '01.' || l_partkey AS building,
+    'str. ' || p_name || ' ' || p_size || ' ap. ' || l_orderkey % 100 AS address, (l_orderkey % 100)::varchar AS apt, round(max(l_quantity), 4) AS area, p_type AS kind,
+    l_linenumber::bigint AS floor, 'da' AS wc, 'nu' AS bath, CASE l_linenumber WHEN 7 THEN 1 WHEN 6 THEN NULL ELSE 0 END::bigint AS last_floor, trunc(max(l_extendedprice))::bigint AS value_lei
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey, l_orderkey, l_linenumber, p_name, p_size, p_type""")
+def _(spark, sf):
+    return pages.parse_units(register_pages(spark, sf))

@@ -101,7 +101,7 @@ def _(spark, sf):
 
 def raw_cards(spark, sf):
     """Cards in the payload schema, built from listings and details."""
-    d = b.ads(spark, sf).drop("lat", "lon").join(b.details(spark, sf), "id")
+    d = b.ads(spark, sf).join(b.details(spark, sf), "id")
 
     def control(fid, title, value):
         return F.struct(F.lit("text").alias("type"), F.lit(title).alias("title"), F.struct(
@@ -124,6 +124,9 @@ def raw_cards(spark, sf):
         control(9, vocab.DISTRICT_FEATURE, translated(F.when(F.col("district") == "NATION_3", "Окраина").otherwise(F.col("district")))),
         control(10, "Street", translated(F.col("street"))), control(11, "House", translated(F.col("house"))),
         control(13, "", F.to_json(F.struct(F.concat(F.col("title"), F.when(F.col("terms_flag"), " avans").otherwise("")).alias("translated")))),
+        control(3, "Map", F.to_json(F.struct("lat", "lon"))), control(7, "Region", translated(F.concat(F.lit("r "), "district"))),
+        control(8, "City", translated(F.concat(F.lit("c "), "district"))), control(2199, "Living", translated(F.col("street"))),
+        control(1640, "Old price", F.when(F.col("old_price").isNotNull(), F.to_json(F.struct(F.col("old_price").alias("value"), F.lit("UNIT_USD").alias("unit"))))),
         control(14, "Photos", F.when(F.col("photos_count") > 0, F.to_json(photos)).otherwise("[]")),
         control(16, "Contacts", F.to_json(F.struct(F.array(F.concat(F.lit("tel "), F.col("id").cast("string")), F.lit("tel 2")).alias("phone_numbers")))))
     sub = F.from_json(F.to_json(F.struct(F.lit(1404).alias("id"), F.struct(F.col("subcategory").alias("translated")).alias("title"), F.struct(
@@ -131,10 +134,10 @@ def raw_cards(spark, sf):
         "struct<id:int,title:struct<translated:string>,parent:struct<id:int,title:struct<translated:string>,parent:struct<id:int,title:struct<translated:string>>>>")
     return d.select(
         F.col("id").cast("string").alias("id"), F.lit("open").alias("state"), "title", F.lit(False).alias("isExpired"),
-        F.date_format("posted", "yyyy-MM-dd HH:mm:ss").alias("posted"), F.lit(None).cast("string").alias("reseted"),
-        F.lit(None).cast("string").alias("expire"), sub.alias("subCategory"), owner_struct(F.col("views_total"), F.col("owner_is_business")).alias("owner"),
+        F.date_format("posted", "yyyy-MM-dd HH:mm:ss").alias("posted"), F.date_format("first_seen", "yyyy-MM-dd").alias("reseted"),
+        F.date_format("gone_at", "yyyy-MM-dd").alias("expire"), sub.alias("subCategory"), owner_struct(F.col("views_total"), F.col("owner_is_business")).alias("owner"),
         F.array(F.struct(F.lit("Main").alias("title"), main.alias("controls")), F.struct(F.lit("More").alias("title"), rest.alias("controls"))).alias("groups"),
-        F.struct(F.col("views_total").cast("int").alias("total"), F.lit(0).alias("today"), F.lit(0).alias("sinceRepublish")).alias("views"))
+        F.struct(F.col("views_total").cast("int").alias("total"), (F.col("views_total") % 7).cast("int").alias("today"), (F.col("views_total") % 5).cast("int").alias("sinceRepublish")).alias("views"))
 
 
 def owner_struct(key, business):
@@ -155,27 +158,38 @@ def _(spark, sf):
 _DET = b.with_(b.SQL_ADS, b.SQL_DET)
 
 
-@query("typed_details", _DET + """SELECT id::varchar AS id, strftime(posted, '%Y-%m-%d %H:%M:%S') AS posted, views_total,
-    rooms_n::bigint AS rooms_n, round(area, 8) AS area, 'm²' AS area_unit, floor::bigint AS floor, floors_total::bigint AS floors_total, coalesce(author_type, '') AS author_type,
-    housing_stock, developer, round(price_per_m2, 8) AS price_per_m2, CASE WHEN district = 'NATION_3' THEN 'Пригород' ELSE district END AS district,
-    street, house, owner_is_business::bigint AS owner_is_business, 'tel ' || id || ', tel 2' AS phones, photos_count,
-    title || CASE WHEN terms_flag = 1 THEN ' avans' ELSE '' END AS description, terms_flag::bigint AS terms_flag
+_ROOMS = "CASE WHEN rooms_n = 0 THEN 'Студия' WHEN rooms_n IS NULL THEN '' ELSE rooms_n || ' rooms' END"
+_DISTRICT = "CASE WHEN district = 'NATION_3' THEN 'Пригород' ELSE district END"
+_PHOTOS = "list_transform(range(1, photos_count + 1), lambda i: 'https://media.example/900x900/' || id || '-' || i || '.jpg')"
+#: The columns that typed details and export rows share.
+_CARD_SQL = f"""id::varchar AS id, 'open' AS state, strftime(posted, '%Y-%m-%d %H:%M:%S') AS posted, strftime(first_seen, '%Y-%m-%d') AS reseted,
+    coalesce(strftime(gone_at, '%Y-%m-%d'), '') AS expire, views_total, views_total % 7 AS views_today, 'Sell' AS offer_type, coalesce(author_type, '') AS author_type, {_ROOMS} AS rooms,
+    housing_stock, street AS living_room, developer, 'r ' || district AS region, 'c ' || district AS city, {_DISTRICT} AS district, street, house,
+    'user' || views_total AS owner_login, views_total::varchar AS owner_id, '2020-01-01' AS owner_registered, owner_is_business::bigint AS owner_is_business,
+    (views_total % 2 = 0)::bigint AS owner_verified, 'tel ' || id || ', tel 2' AS phones, photos_count,
+    title || CASE WHEN terms_flag = 1 THEN ' avans' ELSE '' END AS description"""
+
+
+@query("typed_details", _DET + f"""SELECT {_CARD_SQL}, '{b.AS_OF_TEXT}' AS fetched_at, rooms_n::bigint AS rooms_n, round(area, 8) AS area, 'm²' AS area_unit,
+    floor::bigint AS floor, floors_total::bigint AS floors_total, round(price_per_m2, 8) AS price_per_m2, array_to_string({_PHOTOS}, ' ') AS photos,
+    17 + 3 AS features, terms_flag::bigint AS terms_flag
   FROM ads JOIN det USING (id)""", digits=8)
 def _(spark, sf):
-    typed = cards.typed_details(cards.parse_cards(raw_cards(spark, sf)), b.as_of())
-    return typed.select("id", "posted", "views_total", "rooms_n", "area", "area_unit", "floor", "floors_total", "author_type", "housing_stock",
-                        "developer", "price_per_m2", "district", "street", "house", "owner_is_business", "phones",
-                        "photos_count", "description", "terms_flag")
+    """All 36 columns; photos joined, of the attributes their number."""
+    typed = cards.typed_details(cards.parse_cards(raw_cards(spark, sf), "https://media.example"), b.as_of())
+    return typed.withColumns({"photos": F.array_join("photos", " "), "features": F.size("features")})
 
 
-@query("csv_row_projection", _DET + """SELECT id::varchar AS id, 'https://listings.example/' || id AS url, 'Homes / ' || subcategory AS category, round(price, 8) AS price, 'EUR' AS currency,
-    'False' AS bargain, area::varchar || ' m²' AS area, CASE WHEN rooms_n = 0 THEN 'Студия' WHEN rooms_n IS NULL THEN '' ELSE rooms_n || ' rooms' END AS rooms,
-    'tel ' || id || ', tel 2' AS phones, photos_count, CASE WHEN photos_count > 0 THEN array_to_string(list_transform(range(1, photos_count + 1), lambda i: 'https://media.example/900x900/' || id || '-' || i || '.jpg'), ' ') ELSE '' END AS photos
+@query("csv_row_projection", _DET + f"""SELECT {_CARD_SQL}, 'https://listings.example/' || id AS url, title, 'False' AS is_expired, views_total % 5 AS views_since_republish,
+    'Homes / ' || subcategory AS category, subcategory, 1404 AS subcategory_id, round(price, 8) AS price, 'EUR' AS currency, 'False' AS bargain,
+    round(price_per_m2, 8) AS price_per_m2, round(old_price, 8) AS old_price, CASE WHEN old_price IS NOT NULL THEN 'USD' ELSE '' END AS old_currency,
+    area::varchar || ' m²' AS area, floor::varchar AS floor, coalesce(floors_total::varchar, '') AS floors_total, round(lat, 8) AS lat, round(lon, 8) AS lon,
+    'pro' AS owner_business_plan, array_to_string({_PHOTOS}, ' ') AS photos
   FROM ads JOIN det USING (id)""", digits=8)
 def _(spark, sf):
+    """All 46 columns of an export row."""
     parsed = cards.parse_cards(raw_cards(spark, sf), "https://media.example")
-    return cards.export_rows(parsed, "https://listings.example/").select(
-        "id", "url", "category", "price", "currency", "bargain", "area", "rooms", "phones", "photos_count", "photos")
+    return cards.export_rows(parsed, "https://listings.example/").withColumn("price_per_m2", F.col("price_per_m2").cast("double"))
 
 
 _SWITCHES = [k for k, (_, test, _) in vocab.AMENITIES.items() if test == "true"]

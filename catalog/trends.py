@@ -135,11 +135,12 @@ def _(spark, sf):
 
 @query("trend_kpis", BY_DISTRICT + """, l AS (SELECT *, lag(v, 3) OVER w AS p3, lag(v, 12) OVER w AS p12, max(i) FILTER (v IS NOT NULL) OVER (PARTITION BY series) AS last,
     min(i) FILTER (v IS NOT NULL) OVER (PARTITION BY series) AS first FROM vals WINDOW w AS (PARTITION BY series ORDER BY month)),
-  f AS (SELECT series, v AS fv FROM l WHERE i = first)
+  f AS (SELECT series, v AS fv FROM l WHERE i = first),
+  s AS (SELECT series, round(CASE WHEN count(v) >= 3 THEN regr_slope(v, i) / avg(v) * 100 END, 5) AS slope_pct FROM vals GROUP BY series)
   SELECT l.series, month, n, round(v, 5) AS value, round((v - p3) * 100 / p3, 5) AS d3, round((v - p12) * 100 / p12, 5) AS d12,
-    round((v - fv) * 100 / fv, 5) AS span FROM l JOIN f USING (series) WHERE i = last""", digits=5)
+    round((v - fv) * 100 / fv, 5) AS span, slope_pct FROM l JOIN f USING (series) JOIN s USING (series) WHERE i = last""", digits=5)
 def _(spark, sf):
-    return trends.kpis(trends.fill(cells(spark, sf, "district")), "med_ppm", MIN_N).drop("slope_pct")
+    return trends.kpis(trends.fill(cells(spark, sf, "district")), "med_ppm", MIN_N)
 
 
 @query("trend_slope", BY_DISTRICT + """SELECT series, count(v) AS points,
