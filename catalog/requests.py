@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from catalog import bindings as b
 from catalog.changes import _fold, _snap, folded
 from catalog.listings import _GATE
-from catalog.register import sql_side, units
+from catalog.register import LADDER, sql_side, units, wanted
 from catalog.registry import query
 from stallwise import vocab
 from stallwise.operators import joins, linkage, snapshots
@@ -57,18 +57,32 @@ def _(spark, sf):
   p AS (SELECT l.id, u.value, CASE WHEN unit_area BETWEEN area * 0.95::double AND area * 1.05::double THEN 0.05 ELSE 0.1 END AS tier
     FROM listings l JOIN u ON u.building = l.views_total AND u.floor = l.floor AND u.value > 0 AND u.unit_area BETWEEN area * (1 - 0.1::double) AND area * (1 + 0.1::double)),
   best AS (SELECT id, min(tier) AS tolerance FROM p GROUP BY id),
-  m AS (SELECT p.id, any_value(tolerance)::double AS tolerance, count(*) AS n, round_even(quantile_cont(value, 0.5), 0)::bigint AS value_med FROM p JOIN best ON best.id = p.id AND p.tier = best.tolerance GROUP BY p.id),
-  h AS (SELECT id, string_agg(run || '=' || printf('%.2f', stored), ',' ORDER BY run) AS history FROM fold WHERE is_point GROUP BY id)
-  SELECT l.id, l.district, round(l.ppm, 8) AS ppm, round(l.med_ppm, 8) AS med_ppm, l.suspect::bigint AS suspect, h.history, m.tolerance, m.n, m.value_med,
-    NULL::varchar AS phones, 'call [номер скрыт] now' AS description
-  FROM priced l LEFT JOIN h ON h.id = l.id LEFT JOIN m ON m.id = l.id""", digits=8)
+  m AS (SELECT p.id, any_value(tolerance)::double AS tolerance, count(*) AS n, min(value) AS value_min, round_even(quantile_cont(value, 0.5), 0)::bigint AS value_med, max(value) AS value_max FROM p JOIN best ON best.id = p.id AND p.tier = best.tolerance GROUP BY p.id),
+  h AS (SELECT id, string_agg(run || '=' || printf('%.2f', stored) || ' EUR', ',' ORDER BY run) AS history FROM fold WHERE is_point GROUP BY id)
+  SELECT l.id, l.district, round(l.ppm, 8) AS ppm, round(l.med_ppm, 8) AS med_ppm, l.suspect::bigint AS suspect, h.history, m.tolerance, m.n, m.value_min, m.value_med, m.value_max,
+    CASE WHEN m.n IS NOT NULL THEN l.views_total END AS building, CASE WHEN m.n IS NOT NULL THEN p_name || ', ' || p_size END AS address, CASE WHEN m.n IS NOT NULL THEN p_type END AS classifier,
+    CASE WHEN m.n IS NOT NULL THEN p_size + 1950 END AS year_built, NULL::varchar AS phones, 'call [номер скрыт] now' AS description
+  FROM priced l LEFT JOIN h ON h.id = l.id LEFT JOIN m ON m.id = l.id LEFT JOIN part ON p_partkey = l.views_total""", digits=8)
 def _(spark, sf):
     view = b.priced(spark, sf, "views_total", "floor")
     view = view.withColumns({"phones": F.concat(F.lit("tel "), F.col("id").cast("string")),
                              "description": F.lit("call +373 (60) 123-456 now")})
     probes = view.select("id", F.col("views_total").alias("building"), "floor", "area")
     matches = linkage.match_listings(probes, units(spark, sf))
-    card = requests.listing_cards(view, snapshots.price_history(folded(spark, sf)), matches)
-    points = F.transform("history", lambda p: F.format_string("%s=%.2f", p["run"].cast("string"), p["price"]))
-    return card.select("id", "district", "ppm", "med_ppm", "suspect", F.array_join(points, ",").alias("history"),
-                       "register.tolerance", "register.n", "register.value_med", "phones", "description")
+    buildings = b.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("building"), F.concat_ws(", ", "p_name", "p_size").alias("address"), F.col("p_type").alias("classifier"),
+        (F.col("p_size") + 1950).alias("year_built"))
+    card = requests.listing_cards(view, snapshots.price_history(folded(spark, sf)), matches, buildings)
+    points = F.transform("history", lambda p: F.format_string("%s=%.2f %s", p["run"].cast("string"), p["price"], p["currency"]))
+    return card.select("id", "district", "ppm", "med_ppm", "suspect", F.array_join(points, ",").alias("history"), "register.building",
+                       "register.tolerance", "register.n", "register.value_min", "register.value_med", "register.value_max",
+                       "house.address", "house.classifier", "house.year_built", "phones", "description")
+
+
+@query("listing_units", LADDER + """SELECT id, row_number() OVER (PARTITION BY id ORDER BY unit_area, code) AS place, code, unit_area, value
+  FROM (SELECT m.id, p.code, p.unit_area, p.value FROM m JOIN p ON p.id = m.id AND p.tier <= m.tolerance)""")
+def _(spark, sf):
+    """Units of every matched listing as its card shows them."""
+    listings, u = wanted(spark, sf), units(spark, sf)
+    matches = linkage.match_listings(listings, u)
+    return requests.listing_units(listings, matches, u).select("id", "place", "code", "unit_area", "value")

@@ -1,9 +1,35 @@
 """Maps built from label and value arrays."""
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def bind(expression: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of an expression that is computed once, wherever it stands: inside a lambda nothing else shares it."""
+    return F.transform(F.array(expression), use)[0]
+
+
+def lookup(entries: Mapping[str, str], size: int = 4096) -> Callable[[Column], Column]:
+    """A function from a text column to the entry of that name, or NULL.
+
+    Map values of Spark are found by scanning the keys. Here the entries are dealt to an array of short lists by
+    the checksum of their names, so a name meets the few entries that share its place.
+    """
+    places: list[list[dict[str, str]]] = [[] for _ in range(size)]
+    for name, value in entries.items():
+        places[zlib.crc32(name.encode()) % size].append({"n": name, "v": value})
+    table = F.from_json(F.lit(json.dumps(places)), "array<array<struct<n:string,v:string>>>")
+
+    def find(name: Column) -> Column:
+        place = F.get(table, (F.crc32(name) % size).cast("int"))
+        return F.get(F.filter(place, lambda e: e["n"] == name), F.lit(0))["v"]
+    return find
+
+
 def with_last_wins(df: DataFrame, name: str, pairs: Column) -> DataFrame:
     """Add a map of an array of (label, value) structs; of equal labels the last one counts.
 

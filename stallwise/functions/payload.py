@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 from stallwise import vocab
+from stallwise.functions.maps import bind
 
 
 def _c(x) -> Column:
@@ -57,39 +58,75 @@ def unit_label(code, labels: Mapping[str, str] = vocab.UNITS, prefix=vocab.UNIT_
     return F.coalesce(known[code], F.replace(F.coalesce(code, F.lit("")), F.lit(prefix), F.lit("")))
 
 
-# the keys a feature value may carry, each read as text
-_VALUE = """translated string, phone_numbers array<string>, lat string, lon string, value string, unit string,
-  measurement string, bargain string"""
+def read_value(value) -> Column:
+    """A feature value given as JSON text, parsed once: the text, its first sign and the parsed value."""
+    return bind(_c(value), lambda v: F.struct(v.alias("value"), F.substring(F.ltrim(v), 1, 1).alias("first"), F.try_parse_json(v).alias("v")))
 
 
-def feature_text(value, labels: Mapping[str, str] = vocab.UNITS) -> Column:
-    """Readable text of a feature value given as JSON text.
+def key_of(read: Column, key: str, kind="string") -> Column:
+    """A key of a value that was read; NULL where the value is no object or lacks it."""
+    return F.when(read["first"] == "{", F.try_variant_get(read["v"], f"$.{key}", kind))
+
+
+def _amount(read: Column) -> Column:
+    """The amount of an object as its JSON spells it."""
+    return F.get_json_object(read["value"], "$.value")
+
+
+def value_text(read: Column, labels: Mapping[str, str] = vocab.UNITS) -> Column:
+    """Readable text of a value that was read.
 
     Objects: translation, else phone list, else coordinates, else amount + unit (+ bargain mark),
     else the JSON itself. Arrays are joined with commas. Scalars are printed, booleans and nulls as
-    True, False and None. An object is parsed once; the single-element transform only names the parsed value.
+    True, False and None.
     """
-    value = _c(value)
+    value, v = read["value"], read["v"]
+
+    def key(name, kind="string"):
+        return F.try_variant_get(v, f"$.{name}", kind)
+
+    def priced(p):
+        unit = unit_label(F.coalesce(F.nullif(key("unit"), F.lit("")), key("measurement")), labels)
+        kind = F.schema_of_variant(p)
+        amount = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(_amount(read))).otherwise(_amount(read))
+        bargain = F.coalesce(key("bargain"), F.lit("")).isin("true", "1")
+        return F.when(p.isNotNull(), F.concat(F.trim(F.concat_ws(" ", amount, unit)), F.when(bargain, vocab.BARGAIN_SUFFIX).otherwise("")))
 
-    def item(s, v):
-        return F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(s)).otherwise(F.coalesce(s, F.lit("None")))
+    def item(s, x):
+        return F.when(F.schema_of_variant(x) == "BOOLEAN", F.initcap(s)).otherwise(F.coalesce(s, F.lit("None")))
     listed = F.array_join(F.zip_with(F.from_json(value, "array<string>"), F.from_json(value, "array<variant>"), item), ", ")
-    word = F.initcap(F.regexp_extract(value, r'"value"\s*:\s*(true|false|null)\b', 1))
-    word = F.when(word == "Null", "None").otherwise(word)
-
-    def of_object(o):
-        unit = unit_label(F.coalesce(F.nullif(o["unit"], F.lit("")), o["measurement"]), labels)
-        bargain = F.coalesce(o["bargain"], F.lit("")).isin("true", "1")
-        amount = F.when(word != "", word).otherwise(o["value"])
-        priced = F.concat(F.trim(F.concat_ws(" ", amount, unit)),
-                          F.when(bargain, vocab.BARGAIN_SUFFIX).otherwise(""))
-        return F.coalesce(
-            o["translated"], F.array_join(o["phone_numbers"], ", "),
-            F.when(o["lat"].isNotNull() & o["lon"].isNotNull(), F.concat_ws(", ", o["lat"], o["lon"])),
-            F.when(o["value"].isNotNull() | (word == "None"), priced), value)
-    as_object = F.transform(F.array(F.from_json(value, _VALUE)), of_object)[0]
-    first = F.substring(F.ltrim(value), 1, 1)
-    return (F.when(value.isNull() | F.trim(value).isin("", "null", "{}", "[]"), F.lit(""))
-            .when(F.trim(value).isin("true", "false"), F.initcap(F.trim(value)))
-            .when(first == "{", as_object).when(first == "[", listed)
+    point = F.concat(F.get_json_object(value, "$.lat"), F.lit(", "), F.get_json_object(value, "$.lon"))
+    shown = F.coalesce(key("translated"), F.array_join(key("phone_numbers", "array<string>"), ", "),
+                       F.when(key("lat").isNotNull(), point), bind(key("value", "variant"), priced),
+                       F.when(F.trim(value) == "{}", "").otherwise(value))
+    plain = F.trim(value)
+    return (F.when(value.isNull(), F.lit("")).when(read["first"] == "{", shown)
+            .when(read["first"] == "[", F.when(plain == "[]", "").otherwise(listed))
+            .when(plain.isin("", "null"), "").when(plain.isin("true", "false"), F.initcap(plain))
             .otherwise(F.regexp_replace(value, r'^"|"$', "")))
+
+
+#: An object of nothing but a translation without escapes, as most values are.
+_TRANSLATION = r'^\{"translated":"([^"\\]+)"\}$'
+
+
+def feature_text(value, labels: Mapping[str, str] = vocab.UNITS) -> Column:
+    """Readable text of a feature value given as JSON text; a plain translation is cut out without parsing."""
+    plain = F.nullif(F.regexp_extract(_c(value), _TRANSLATION, 1), F.lit(""))
+    return F.coalesce(plain, bind(read_value(value), lambda r: value_text(r, labels)))
+
+
+def amount_of(read: Column) -> Column:
+    """``money_amount`` of a value that was read: a quoted number inside an object is text."""
+    kind = F.schema_of_variant(F.try_variant_get(read["v"], "$.value", "variant"))
+    return F.when(read["first"] == "{", F.when(kind != "STRING", _as_number(_amount(read)))).otherwise(_as_number(read["value"]))
+
+
+def amount_text_of(read: Column) -> Column:
+    """``money_text`` of a value that was read."""
+    return F.when(read["first"] == "{", F.coalesce(_amount(read), F.lit(""))).otherwise(F.coalesce(read["value"], F.lit("")))
+
+
+def unit_of(read: Column) -> Column:
+    """The unit code of a value that was read, empty where it has none."""
+    return F.coalesce(F.nullif(key_of(read, "unit"), F.lit("")), key_of(read, "measurement"), F.lit(""))

@@ -3,14 +3,15 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable, Mapping
-from functools import reduce
+from collections.abc import Callable, Iterable, Mapping
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from stallwise import vocab
+from stallwise.functions.maps import bind, lookup
 
 
 def _c(x) -> Column:
@@ -67,13 +68,11 @@ def strip(text) -> Column:
     return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
 
 
-def _named() -> tuple[Column, Column]:
-    """The standard's entities as a map from name to text, and those that need no semicolon."""
+@cache
+def _entities() -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Finders of the standard's entities by name, and of those that need no semicolon."""
     from html.entities import html5
-
-    def as_map(names):
-        return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
-    return as_map(html5), as_map({k: v for k, v in html5.items() if not k.endswith(";")})
+    return lookup(html5), lookup({k: v for k, v in html5.items() if not k.endswith(";")}, 512)
 
 
 def _numbered(code: Column) -> Column:
@@ -89,23 +88,32 @@ def _numbered(code: Column) -> Column:
 
 def unescape(text) -> Column:
     """All named and numeric HTML entities decoded, JVM-side: the text is cut at ``&`` and each piece looked up."""
-    names, bare = _named()
+    named, bare = _entities()
 
-    def piece(seg):
+    def numbered(seg):
         number = F.regexp_extract(seg, r"^#([xX][0-9a-fA-F]+|[0-9]+);?", 1)
         digits = F.regexp_extract(number, r"([0-9a-fA-F]+)$", 1)
         read = F.when(number.rlike("^[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
         code = F.when(F.length(digits) > 12, F.lit(0x110000).cast("bigint")).otherwise(read.cast("bigint"))
-        name = F.regexp_extract(seg, "^([^\t\n\f <&#;]{1,32};?)", 1)
         rest = F.regexp_replace(seg, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")
-        found = F.when(names[name].isNotNull(), F.concat(names[name], F.substr(seg, F.length(name) + 1)))
-        for n in range(6, 1, -1):  # the longest name that is a beginning
-            start = F.substring(name, 1, n)
-            found = found.when((F.length(name) > n) & bare[start].isNotNull(), F.concat(bare[start], F.substr(seg, F.lit(n + 1))))
-        return F.when(number != "", F.concat(_numbered(code), rest)).otherwise(found.otherwise(F.concat(F.lit("&"), seg)))
-    parts = F.split(_c(text), "&", -1)
-    decoded = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece))
-    return F.when(_c(text).contains("&"), F.array_join(decoded, "")).otherwise(_c(text))
+        return F.when(number != "", F.concat(_numbered(code), rest)).otherwise(F.concat(F.lit("&"), seg))
+
+    def spelled(x):
+        seg, name = x["seg"], x["name"]
+        tail = lambda n: F.substr(seg, n + 1)
+        # the whole name, else the longest name that is a beginning
+        starts = [F.when(F.length(name) > n, F.concat(bare(F.substring(name, 1, n)), tail(F.lit(n)))) for n in range(6, 1, -1)]
+        return F.coalesce(F.when(name != "", F.concat(named(name), tail(F.length(name)))), *starts, F.concat(F.lit("&"), seg))
+
+    def piece(seg):
+        name = F.regexp_extract(seg, "^([^\t\n\f <&#;]{1,32};?)", 1)
+        return F.when(seg.startswith("#"), numbered(seg)).otherwise(bind(F.struct(seg.alias("seg"), name.alias("name")), spelled))
+
+    def decoded(t):
+        parts = F.split(t, "&", -1)
+        joined = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)), "")
+        return F.when(t.contains("&"), joined).otherwise(t)
+    return bind(_c(text), decoded)
 
 
 def html_clean(text) -> Column:

@@ -69,25 +69,37 @@ def _item_array(groups="groups") -> Column:
     return F.flatten(F.transform(groups, lambda g: F.transform(g["controls"], item)))
 
 
+#: Features whose keys become columns of their own.
+_KEYED = ("price", "old_price", "area", "map", "body", "contacts")
+
+
 def parse_cards(cards: DataFrame, media_base="", media_size="900x900") -> DataFrame:
     """Raw cards (schema ``sources.listings.CARD``) to one text row per card with its attribute map.
 
     A card carries all its controls, so everything happens inside the row: nothing is exploded or
-    shuffled. Attribute tables that span rows go through ``eav_pivot`` and ``attribute_map``.
+    shuffled, and a value with several columns is parsed once for all of them. Attribute tables that
+    span rows go through ``eav_pivot`` and ``attribute_map``.
     """
     def entries(items, label, value):
         return F.transform(items, lambda i: F.struct(i[label].alias("label"), value(i).alias("value")))
-    empty = F.array().cast("array<struct<id:int,title:string,content:struct<value:string,text:string>>>")
+    empty = F.array().cast(f"array<struct<id:int,title:string,content:struct<value:string,text:string>>>")
     items = cards.withColumn("__items", F.coalesce(_item_array(), empty))
-    identified = F.filter("__items", lambda i: i["id"].isNotNull())
     titled = F.filter("__items", lambda i: i["title"] != "")
 
     def shown_value(i):
         content = i["content"]["text"]
         return F.when(i["title"] == vocab.DISTRICT_FEATURE, text.renamed(content)).otherwise(content)
-    joined = maps.with_last_wins(items, "__by_id", entries(identified, "id", lambda i: i["content"]))
-    joined = maps.with_last_wins(joined, "features", entries(titled, "title", shown_value))
-    joined = joined.withColumns({f"f_{name}": F.col("__by_id")[fid] for fid, name in vocab.FEATURE_IDS.items()})
+    joined = maps.with_last_wins(items, "features", entries(titled, "title", shown_value))
+    # the last control of each wanted number, found from the end
+    numbers = F.reverse(F.transform("__items", lambda i: i["id"]))
+    joined = joined.withColumn("__numbers", numbers).withColumns({
+        f"f_{name}": F.get("__items", F.size("__items") - F.nullif(F.array_position("__numbers", F.lit(fid)), F.lit(0)).cast("int"))["content"]
+        for fid, name in vocab.FEATURE_IDS.items()})
+
+    joined = joined.withColumns({f"r_{name}": payload.read_value(F.col(f"f_{name}.value")) for name in _KEYED})
+
+    def read(name):
+        return F.col(f"r_{name}")
 
     def raw(name):
         return F.col(f"f_{name}.value")
@@ -95,11 +107,10 @@ def parse_cards(cards: DataFrame, media_base="", media_size="900x900") -> DataFr
     def shown(name):
         return F.coalesce(F.col(f"f_{name}.text"), F.lit(""))
 
-    def part(name, key):
-        return F.get_json_object(raw(name), f"$['{key}']")
+    def part(name, key, kind="string"):
+        return payload.key_of(read(name), key, kind)
     photos = F.coalesce(F.from_json(raw("photos"), "array<string>"), F.array().cast("array<string>"))
-    phones = F.coalesce(F.from_json(part("contacts", "phone_numbers"), "array<string>"), F.array().cast("array<string>"))
-    area_amount = payload.money_text(raw("area"))
+    phones = F.coalesce(part("contacts", "phone_numbers", "array<string>"), F.array().cast("array<string>"))
     sub = F.col("subCategory")
     base = (
         F.col("id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("state", F.lit("")).alias("state"),
@@ -116,12 +127,12 @@ def parse_cards(cards: DataFrame, media_base="", media_size="900x900") -> DataFr
                          "developer", "region", "city", "street", "house")]
     return joined.select(
         *base, *[shown(n).alias(n) for n in plain], text.renamed(shown("district")).alias("district"),
-        payload.money_amount(raw("price")).alias("price"), payload.unit_label(payload.money_unit(raw("price"), "")).alias("currency"),
+        payload.amount_of(read("price")).alias("price"), payload.unit_label(payload.unit_of(read("price"))).alias("currency"),
         part("price", "bargain").alias("bargain"),
-        payload.money_amount(raw("old_price")).alias("old_price"),
-        payload.unit_label(payload.money_unit(raw("old_price"), "")).alias("old_currency"),
-        F.when(raw("area").isNotNull(), F.nullif(area_amount, F.lit(""))).alias("area"),
-        payload.unit_label(payload.money_unit(raw("area"), "")).alias("area_unit"),
+        payload.amount_of(read("old_price")).alias("old_price"),
+        payload.unit_label(payload.unit_of(read("old_price"))).alias("old_currency"),
+        F.nullif(payload.amount_text_of(read("area")), F.lit("")).alias("area"),
+        payload.unit_label(payload.unit_of(read("area"))).alias("area_unit"),
         raw("price_per_m2").alias("price_per_m2"),
         part("map", "lat").try_cast("double").alias("lat"), part("map", "lon").try_cast("double").alias("lon"),
         F.coalesce(part("body", "translated"), F.when(F.substring(F.ltrim(raw("body")), 1, 1) != "{", raw("body")),

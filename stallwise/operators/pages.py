@@ -30,13 +30,15 @@ def html_fields(df: DataFrame, body: str, field: str, known: Mapping[str, str])
     raw = F.arrays_zip(F.regexp_extract_all(F.col(body), F.lit(field), F.lit(1)).alias("label"),
                        F.regexp_extract_all(F.col(body), F.lit(field), F.lit(2)).alias("value"))
 
-    def keyed(p):
-        label = text.html_clean(p["label"])
-        folded = text.plain(label)
+    def column(folded):
         key = F.lit(None).cast("string")
-        for prefix, column in reversed(known.items()):
-            key = F.when(folded.startswith(prefix), column).otherwise(key)
-        return F.struct(label.alias("label"), text.html_clean(p["value"]).alias("value"), key.alias("key"))
+        for prefix, name in reversed(known.items()):
+            key = F.when(folded.startswith(prefix), name).otherwise(key)
+        return key
+
+    def keyed(p):
+        return maps.bind(text.html_clean(p["label"]), lambda label: F.struct(
+            label.alias("label"), text.html_clean(p["value"]).alias("value"), maps.bind(text.plain(label), column).alias("key")))
     # one column per step, so that the keyed array is computed once and not per output
     step = df.withColumn("__raw", raw).withColumn("__pairs", F.transform("__raw", keyed))
     step = step.withColumn("__keys", F.transform("__pairs", lambda p: p["key"]))

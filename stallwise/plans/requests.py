@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise import vocab
 from stallwise.functions import labels
-from stallwise.operators import filters, mapview, paging, privacy, snapshots
+from stallwise.operators import filters, linkage, mapview, paging, privacy, snapshots
 from stallwise.plans import trends
 
 
@@ -56,13 +56,31 @@ def trend_request(view: DataFrame, spec: Mapping, *, as_of: Column, authors: Map
                              order=vocab.TREND_ORDER.get(group))
 
 
-def listing_cards(view: DataFrame, history: DataFrame, matches: DataFrame, **private) -> DataFrame:
+def listing_cards(view: DataFrame, history: DataFrame, matches: DataFrame, buildings: DataFrame | None = None, **private) -> DataFrame:
     """Every listing as a card: its row, its price history and its register match, without private data.
 
-    The history of one listing has at most one point per run. The units of a match stay rows
-    (``linkage.unit_lookup``).
+    The history of one listing has at most one point per run: run, price and currency. ``matches`` carry the
+    building of each matched listing; with ``buildings`` (keyed by building) their attributes become ``house``. The units of a
+    match stay rows (``listing_units``).
     """
-    points = history.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", "price"))).alias("history"))
-    match = matches.select("id", F.struct("tolerance", "n", "value_min", "value_med", "value_max").alias("register"))
+    points = history.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", "price", "currency"))).alias("history"))
+    names = [c for c in ("building", "tolerance", "n", "value_min", "value_med", "value_max") if c in matches.columns]
+    match = matches.select("id", F.struct(*names).alias("register"))
     card = view.join(points, "id", "left").join(match, "id", "left")
+    if buildings is not None:
+        facts = [c for c in buildings.columns if c != "building"]
+        houses = buildings.select(F.col("building").alias("__b"), F.struct(*facts).alias("house"))
+        card = card.join(houses, F.col("register.building") == F.col("__b"), "left").drop("__b")
     return privacy.strip_private(card, **private)
+
+
+def listing_units(listings: DataFrame, matches: DataFrame, units: DataFrame) -> DataFrame:
+    """The units behind each matched listing in order of area: id, place and the columns of the unit.
+
+    ``listings`` carry id, building, floor and area; ``matches`` the tolerance of each matched id.
+    """
+    placed = listings.select("id", "building", "floor", "area").join(matches.select("id", "tolerance"), "id")
+    found = linkage.matched_units(placed, units)
+    rows = placed.join(found, ["building", "floor", "area", "tolerance"])
+    order = Window.partitionBy("id").orderBy("unit_area", "code")
+    return rows.withColumn("place", F.row_number().over(order))
