@@ -58,8 +58,8 @@ def without_quotes(text):
 
 def passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, level, passage: runs of quoted lines of one level."""
-    lines = (messages.where(F.col("text").rlike(_QUOTED)).select("conv_id", "turn", F.xxhash64("text").alias("copy"),
-                                                                 F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    quoting = messages.where(F.col("text").rlike(_QUOTED)).select("conv_id", "turn", "text").distinct()  # a row given twice is one message
+    lines = (quoting.select("conv_id", "turn", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
              .withColumn("marks", F.regexp_extract("line", _MARKS, 1))
              .withColumn("level", F.length(F.regexp_replace("marks", "[^>]", ""))))
     inside = Window.partitionBy("conv_id", "turn", "copy").orderBy("no")

@@ -258,6 +258,9 @@ def test_quotes(spark):
         (1, 5, "user", "", None, 5, 0), (2, 0, "user", None, None, 0, 0), (2, 1, "user", "x", None, 1, 0),
         (3, 1, "user", "dup", None, 1, 0), (3, 1, "user", "self", None, 1, 0)]
     assert not quotes.conversations_by_reply(df.limit(0)).collect()
+    wrapped = [(5, 1, "user", "one two\nthree four"), (5, 2, "assistant", "> one two three\n> four\nyes"), (5, 2, "assistant", "> one two three\n> four\nyes")]
+    twice = quotes.conversations_by_reply(spark.createDataFrame(wrapped, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert [(r.turn, r.parent_turn) for r in twice] == [(1, None), (2, 1), (2, 1)]  # lines of a repeated row do not interleave
     long = spark.createDataFrame([(7, 0, "user", "word 0")] + [(7, i, "user", f"> word {i - 1}\nword {i}") for i in range(1, 40)],
                                  "conv_id bigint, turn bigint, role string, text string")
     assert [(r.turn, r.depth) for r in quotes.conversations_by_reply(long).collect()] == [(i, i) for i in range(40)]
