@@ -213,7 +213,7 @@ _MATCHED = b.W_LIST.rstrip("\n") + f""", ls AS (SELECT id, round(lat, 6) AS lat,
     FROM near JOIN keyed a ON a.nm = street JOIN keyed c ON c.nm = b_street WHERE NOT all_new OR ring <= 12),
   {{good}},
   met AS (SELECT *, min(ring * 8 + direction) OVER (PARTITION BY lat, lon) AS stop FROM good),
-  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon, street, house_key ORDER BY score DESC, ring, direction, code) AS rn
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lat, lon, street, house_key ORDER BY score DESC, ring, direction, code, b_street) AS rn
     FROM met WHERE ring * 8 + direction <= stop) WHERE rn = 1)"""
 _MATCHED_BY_EDITS = _MATCHED.replace("{good}", f"good AS (SELECT * FROM (SELECT *, {_SIM} AS score FROM sided) WHERE score >= 0.6)")
 _MATCHED_BY_BLOCKS = _MATCHED.replace("{good}", f"kp AS (SELECT DISTINCT ka, kb FROM sided), {_BLOCKS}, good AS (SELECT sided.*, score FROM sided JOIN ratio USING (ka, kb) WHERE score >= 0.6)").replace("WITH ", "WITH RECURSIVE ", 1)

@@ -201,7 +201,7 @@ def match_points(listings: DataFrame, places: DataFrame, radii: Sequence[float]
     order = F.struct("ring", "direction")
     stops = stored(good.groupBy(*POINT).agg(F.min(order).alias("__stop")), "stops")
     met = good.join(stops, list(POINT)).where(order <= F.col("__stop"))
-    best = first_per_key(met, [*POINT, "street", "house_key"], [F.col("score").desc(), "ring", "direction", "code"])
+    best = first_per_key(met, [*POINT, "street", "house_key"], [F.col("score").desc(), "ring", "direction", "code", "b_street"])
     return best.select(*POINT, "street", "house_key", "b_street", "code", "score")
 
 
