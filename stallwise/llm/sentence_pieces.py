@@ -93,7 +93,7 @@ class Pieces:
             data = np.frombuffer(b"".join(self.raw[i] for i in found), np.uint8).reshape(-1, k)
             h = self._prefix(data)[:, k]
             o = np.argsort(h)
-            self.table[k] = h[o], np.array(found, np.int32)[o]
+            self.table[k] = h[o], np.array(found, np.int32)[o], data[o]
         self.lookup = {self.raw[i]: i for i in usable}
         self.pair = np.zeros((256, 256), bool)
         for i in usable:
@@ -113,12 +113,16 @@ class Pieces:
         np.cumsum(S._BYTE[data] * up[: data.shape[1]], axis=1, out=out[:, 1:])
         return out
 
-    def _probe(self, prefix, i, k):
-        """Ids of the pieces of k bytes at byte i, or -1."""
-        keys, ids = self.table[k]
+    def _probe(self, data, prefix, i, k):
+        """Ids of the pieces of k bytes at byte i, or -1; where the hash is known the bytes are compared."""
+        keys, ids, raw = self.table[k]
         h = (prefix[:, i + k] - prefix[:, i]) * S._TEXT.upto(prefix.shape[1])[1][i]
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, ids[at], -1)
+        out = np.full(len(h), -1, np.int32)
+        hit = np.flatnonzero(keys[at] == h)
+        hit = hit[(data[hit, i: i + k] == raw[at[hit]]).all(axis=1)]
+        out[hit] = ids[at[hit]]
+        return out
 
     # which pieces may stand side by side --------------------------------------------------------------
     def _fits(self, a, b):
@@ -168,7 +172,7 @@ class Pieces:
             for k in (1, 2, 3, 4):
                 here = (length[:, i] == k) if i + k <= size else None
                 if here is not None and here.any():
-                    lost = here & ((self._probe(prefix, i, k) < 0) if k in self.table else True)
+                    lost = here & ((self._probe(data, prefix, i, k) < 0) if k in self.table else True)
                     out[lost, i: i + k] = True
         return out
 
@@ -186,7 +190,7 @@ class Pieces:
                 if k > j:
                     break
                 i = j - k
-                piece = self._probe(prefix, i, k)
+                piece = self._probe(data, prefix, i, k)
                 rows = np.flatnonzero((piece >= 0) & ((last[:, i] >= 0) if i else True))
                 if i and len(rows):
                     rows = rows[self.fits(last[rows, i], piece[rows])]

@@ -1,7 +1,9 @@
 """Vectorised spans of texts inside Arrow tasks: words, lines, rolling hashes, ragged gathers.
 
-Texts are handled as the UTF-8 bytes that Arrow already holds. The hash of any span is the
-difference of two prefix sums modulo 2**64, so a pass over the bytes serves all spans of a chunk.
+Texts are handled as the UTF-8 bytes that Arrow already holds. A span is hashed by its blocks of eight
+bytes: each is mixed with a key of its place by a bijection that is not linear, and the sum is mixed
+again with the length. A polynomial modulo 2**64, whatever its base, gives equal values to texts built by
+the Thue-Morse rule and their mirror images; ``Base`` therefore serves short windows only.
 """
 from __future__ import annotations
 
@@ -54,7 +56,9 @@ class Base:
 
 
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(7919))
-_TEXT, _SEQ, _SEQ2, _TEXT2 = Base(1), Base(2), Base(3), Base(4)
+_TEXT = Base(1)
+_JOIN = np.uint64(0xD6E8FEB86659FD93)
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
 _WORD = np.ones(256, bool)
 _WORD[list(SPACE)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,10 +118,33 @@ class Spans:
     def text(self):
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
+    def blocks(self, lower=False) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all spans in blocks of eight, the last of each filled with zeros; blocks of each span."""
+        size = self.end - self.start
+        count = (size + 7) >> 3
+        at = ragged(np.zeros(len(count), np.int64), count)
+        at *= 8
+        left = np.repeat(size, count) - at
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = _LOWER[self.data] if lower else self.data
+        at += np.repeat(self.start, count)
+        out = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))[at]
+        out &= _TAIL[np.minimum(left, 8) - 1]
+        return out, count
+
     def hashes(self, lower=False, second=False) -> np.ndarray:
-        data = _LOWER[self.data] if lower else self.data
-        base = _TEXT2 if second else _TEXT
-        return mix(base.span(base.prefix(_BYTE[data]), self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        return block_hashes(*self.blocks(lower), self.end - self.start, second)
+
+
+def block_hashes(blocks, count, size, second=False) -> np.ndarray:
+    """Hash of each run of ``count`` blocks, which hold ``size`` bytes or values."""
+    seed = np.uint64(0x5851F42D4C957F2D if second else 0x14057B7EF767814F)
+    place = ragged(np.zeros(len(count), np.int64), count)
+    keys = mix(np.arange(int(count.max()) if len(count) else 0, dtype=np.uint64) ^ seed)
+    total = np.zeros(len(blocks) + 1, np.uint64)
+    np.cumsum(mix(blocks ^ keys[place]), out=total[1:])
+    ends = np.cumsum(count)
+    return mix((total[ends] - total[ends - count]) ^ mix(size.astype(np.uint64) ^ seed))
 
 
 def words(data, offsets) -> Spans:
@@ -181,10 +208,23 @@ def windows(spans: Spans, n: int) -> np.ndarray:
 
 
 def gram_hashes(values: np.ndarray, at: np.ndarray, n, second=False) -> np.ndarray:
-    """Hash of the n values from each position in ``at``; n may be an array."""
-    base = _SEQ2 if second else _SEQ
-    pre = base.prefix(mix(values ^ np.uint64(0xA5A5A5A5)) if second else values)
-    return mix(base.span(pre, at, at + n))
+    """Hash of the n values from each position in ``at``; n may be an array.
+
+    Windows of one length are put together from windows of powers of two, each step mixed.
+    """
+    if isinstance(n, np.ndarray):
+        return block_hashes(values[ragged(at, n)], n, n, second)
+    x = mix(values ^ np.uint64(0xA5A5A5A5 if second else 0x3C6EF372))
+    out, reach, size = None, 0, 1
+    while True:
+        if n & size:
+            part = x[at + reach]
+            out = part if out is None else mix(out * _JOIN + part)
+            reach += size
+        if 2 * size > n:
+            return out
+        x = mix(x[:-size] * _JOIN + x[size:])
+        size *= 2
 
 
 def ragged(start: np.ndarray, counts: np.ndarray) -> np.ndarray:

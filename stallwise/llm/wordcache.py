@@ -5,51 +5,74 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .spans import Spans, ragged
+from .spans import Spans, block_hashes, ragged
 
 
 class WordCache:
     """Encodes each distinct span once. ``encode`` gets byte strings, gives flat ids and their counts.
 
-    Holds ``limit`` spans at most and then starts afresh, so a worker's memory is bounded.
+    A span counts as known only if its bytes are equal too; one whose hash alone is known is encoded by itself.
+    The cache starts afresh before it holds more than ``limit`` spans or ``room`` bytes of text and ids, so a
+    worker's memory is bounded by these and by the spans of one piece of text.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000,
+                 room: int = 64 << 20):
+        self.encode, self.limit, self.room = encode, limit, room
         self._clear()
 
     def _clear(self):
-        self.keys = np.zeros(0, np.uint64)
-        self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.blocks, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.at = np.zeros((0, 4), np.int64)  # first id, ids, first block, bytes
 
-    def _learn(self, keys, texts):
-        if len(self.keys) + len(keys) > self.limit:
-            self._clear()
+    def _full(self, spans: int, blocks: int) -> bool:
+        return len(self.keys) + spans > self.limit or 8 * (len(self.blocks) + blocks) + 4 * len(self.pool) > self.room
+
+    def _learn(self, keys, texts, blocks, count):
         ids, counts = self.encode(texts)
-        start = len(self.pool) + np.cumsum(counts) - counts
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.count = np.concatenate([self.count, counts])[order]
+        row = np.stack([len(self.pool) + np.cumsum(counts) - counts, counts,
+                        len(self.blocks) + np.cumsum(count) - count, [len(t) for t in texts]], axis=1)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at = np.insert(self.keys, place, keys), np.insert(self.at, place, row, axis=0)
+        self.blocks = np.concatenate([self.blocks, blocks])
         self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
 
+    def _unlike(self, at, blocks, count, size) -> np.ndarray:
+        """Spans whose bytes differ from those kept under their hash."""
+        odd = at[:, 3] != size
+        first, n = np.where(odd, 0, at[:, 2]), np.where(odd, 0, count)
+        mine = blocks[ragged(np.cumsum(count) - count, n)] if odd.any() else blocks
+        differ = self.blocks[ragged(first, n)] != mine
+        if differ.any():
+            odd[np.repeat(np.arange(len(n)), n)[differ]] = True
+        return np.flatnonzero(odd)
+
     def tokens(self, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans in order, and the number of ids of each text."""
-        distinct, at, back = np.unique(spans.hashes(), return_index=True, return_inverse=True)
+        blocks, n = spans.blocks()
+        size = spans.end - spans.start
+        distinct, lead, back = np.unique(block_hashes(blocks, n, size), return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), bool)
         if len(self.keys):
             new = self.keys[np.minimum(place, len(self.keys) - 1)] != distinct
+        raw = spans.data.tobytes()
         if new.any():
-            if len(self.keys) + new.sum() > self.limit:
+            if self._full(int(new.sum()), int(n[lead[new]].sum())):
+                self._clear()
                 new[:] = True
-            raw = spans.data.tobytes()
-            first = at[new]
-            self._learn(distinct[new], [raw[i:j] for i, j in zip(spans.start[first], spans.end[first])])
+            first = lead[new]
+            self._learn(distinct[new], [raw[i:j] for i, j in zip(spans.start[first], spans.end[first])],
+                        blocks[ragged((np.cumsum(n) - n)[first], n[first])], n[first])
             place = np.searchsorted(self.keys, distinct)
-        start, count = self.start[place][back], self.count[place][back]
-        ids = self.pool[ragged(start, count)]
+        at = self.at[place][back]
+        start, count, pool = at[:, 0].copy(), at[:, 1].copy(), self.pool
+        odd = self._unlike(at, blocks, n, size)
+        if len(odd):
+            ids, counts = self.encode([raw[i:j] for i, j in zip(spans.start[odd], spans.end[odd])])
+            start[odd], count[odd] = len(pool) + np.cumsum(counts) - counts, counts
+            pool = np.concatenate([pool, ids.astype(np.int32)])
+        ids = pool[ragged(start, count)]
         total = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=total[1:])
         return ids, np.diff(total[spans.first])
