@@ -102,13 +102,23 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - (coalesce(sum(most) OVER (
 v AS (SELECT source, source_size, slope, CASE WHEN level <= ratio THEN weight * (first_value(level) OVER (ORDER BY level > ratio, ratio, place)) ELSE most::DOUBLE END AS target FROM l),
 x AS (SELECT *, (sum(target * (1 - slope)) OVER ())::DOUBLE AS lin, (sum(target * slope) OVER ())::DOUBLE AS sq FROM v),
 o AS (SELECT d.doc_id, d.size, x.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+e AS (SELECT *, [0, 1, 2] AS every, round(target)::BIGINT AS need FROM o),
+f AS (SELECT *, list_filter(every, x -> least(size, need - off - x * source_size) > 0) AS used FROM e),
+u AS (SELECT *, (off + used[1] * source_size) / nullif(target, 0) AS u1, (off + used[-1] * source_size) / nullif(target, 0) AS u2 FROM f),
+t AS (SELECT *, CASE WHEN slope = 0 THEN u1 ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u1) - (1 - slope)) / (2 * slope) END AS t1,
+      CASE WHEN slope = 0 THEN u2 ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u2) - (1 - slope)) / (2 * slope) END AS t2 FROM u),
+p AS (SELECT *, floor(lin * t1 + sq * t1 * t1)::BIGINT AS first_position, floor(lin * t2 + sq * t2 * t2)::BIGINT AS last_position FROM t)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, round(target)::BIGINT - off)) + greatest(0, least(size, round(target)::BIGINT - off - source_size))
-        + greatest(0, least(size, round(target)::BIGINT - off - 2 * source_size)))::BIGINT AS taken
-FROM o"""
+       (greatest(0, least(size, need - off)) + greatest(0, least(size, need - off - source_size))
+        + greatest(0, least(size, need - off - 2 * source_size)))::BIGINT AS taken, first_position, last_position
+FROM p"""
 
 
 @register("op5_source_mix", SQL)
 def op5_source_mix(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """What each document gives, and the training positions of its first and last repeat (null: never taken)."""
+    rows = mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken",
+                       F.get("shares", F.lit(0))["position"].alias("first_position"),
+                       F.get("shares", F.size("shares") - 1)["position"].alias("last_position"))
