@@ -14,7 +14,8 @@ Fit. Labels come from rows whose crc32 of the id is not divisible by 5 (``held_o
 ``max_rows`` of them, picked by a hash of the id, are joined with their texts; that is the only shuffle of
 texts. Trees fitted on each half judge the other half, and those scores calibrate the trees fitted on all.
 
-How it scales. Scoring is a map over documents. The lexicon is bounded by ``lexicon_size``.
+How it scales. Scoring is a map over documents. The lexicon holds every word and
+beginning of the labelled sample that passes both thresholds, so ``max_rows`` alone bounds it.
 
 Edge cases. Null and empty texts are scored like a text without words. Without training rows of both classes
 every score is the share of toxic rows (0 without any). A row without a doc_id is not held out. Repeated
@@ -126,8 +127,9 @@ def _train_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """doc_id, toxic, part (remainder of the crc) and text of the bounded sample, near copies once."""
     part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     marked = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic", part.alias("part")).where("part <> 0")
-    share = min(1.0, max_rows / max(1, marked.count()))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)
+    n = max(1, marked.count())
+    least = (1 << 63) - 1 if n <= max_rows else (max_rows << 63) // n
+    chosen = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 1) <= F.lit(least)
     rows = marked.where(chosen).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(chosen), "doc_id")
 
     def work(batches):
@@ -175,7 +177,7 @@ def _counts(train: DataFrame) -> DataFrame:
                 .agg(F.sum("a").alias("a"), F.sum("c").alias("c")).where("a + c > 1"), "toxic-words")
 
 
-def _lexicon(counts: DataFrame, rows: dict, halves: tuple, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _lexicon(counts: DataFrame, rows: dict, halves: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of words and beginnings, and their log odds, as the given halves of the rows tell."""
     bad, good = (sum(n for (h, y), n in rows.items() if h in halves and y == k) + 1 for k in (1, 0))
     odds = F.log((F.col("a") + 0.5) / bad) - F.log((F.col("c") + 0.5) / good)
@@ -184,7 +186,7 @@ def _lexicon(counts: DataFrame, rows: dict, halves: tuple, size: int) -> tuple[n
                     for k, n in (("a", bad), ("c", good)))
     found = (counts.where(F.col("half").isin(*halves)).groupBy("key").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
              .withColumn("odds", odds).withColumn("ratio", ratio).where(F.col("odds") >= float(np.log(8))).where("ratio >= 16")
-             .orderBy(F.desc("ratio"), "key").limit(size).select("key", "odds").collect())
+             .select("key", "odds").collect())
     keys = np.array([r["key"] for r in found], np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], np.array([r["odds"] for r in found])[order]
@@ -214,11 +216,11 @@ class Toxicity:
         self.lexicon, self.trees, self.steps, self.share = lexicon, trees, steps, share
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lexicon_size: int = 2_000) -> "Toxicity":
+    def fit(cls, docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> "Toxicity":
         train = _train_rows(docs, labels, max_rows)
         words = _counts(train)
         n = {(r["half"], r["toxic"]): r["count"] for r in train.groupBy(F.when(F.col("part") <= 2, 0).otherwise(1).alias("half"), "toxic").count().collect()}
-        lexicon, first, second = (_lexicon(words, n, h, lexicon_size) for h in ((0, 1), (0,), (1,)))
+        lexicon, first, second = (_lexicon(words, n, h) for h in ((0, 1), (0,), (1,)))
         columns = ["doc_id", "toxic", "part", "text"]
         rows = kept(_featured(train.where("part <= 2"), columns, second).unionByName(
             _featured(train.where("part > 2"), columns, first)).drop("text"), "toxic-features")
