@@ -29,6 +29,9 @@ from .common import partitions, register, scratch, table
 from .wordcache import WordCache
 
 _SAMPLE = 64
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(axis=1).astype(np.int64)  # in each byte
+_PLACE = np.argsort(1 - _BITS, axis=1, kind="stable")  # of the k-th one of each byte
 
 
 class EliasFano:
@@ -70,17 +73,20 @@ class EliasFano:
             out |= ((self.low[at >> 3] >> (at & 7)) & 1).astype(np.uint64) << np.uint64(b)
         return out
 
-    def select(self, i: int) -> int:
-        """The i-th value, from the sampled position before it."""
-        at = int(self.samples[i // _SAMPLE])
-        need, byte = i % _SAMPLE, at >> 3
-        bits = np.unpackbits(self.high[byte: byte + 1], bitorder="little")
-        bits[: at & 7] = 0
-        while (ones := int(bits.sum())) <= need:
-            need, byte = need - ones, byte + 1
-            bits = np.unpackbits(self.high[byte: byte + 1], bitorder="little")
-        place = 8 * byte + int(np.flatnonzero(bits)[need])
-        return (place - i) << self.bits | int(self._low(np.array([i]))[0])
+    def select(self, i) -> np.ndarray:
+        """The i-th values, each from the sampled position before it: bytes are passed by their number of ones."""
+        i = np.atleast_1d(np.asarray(i, np.int64))
+        at = self.samples[i // _SAMPLE].astype(np.int64)
+        byte, need = at >> 3, i % _SAMPLE
+        word = self.high[byte] & (np.uint8(255) << (at & 7).astype(np.uint8))
+        live = np.flatnonzero(_ONES[word] <= need)
+        while len(live):
+            need[live] -= _ONES[word[live]]
+            byte[live] += 1
+            word[live] = self.high[byte[live]]
+            live = live[_ONES[word[live]] <= need[live]]
+        place = 8 * byte + _PLACE[word, need]
+        return (((place - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)).astype(np.int64)
 
     def values(self) -> np.ndarray:
         if not self.n:
@@ -161,7 +167,7 @@ def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
         for rows in batches:
             for r in rows.to_pylist():
                 ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
-                ends = EliasFano.from_bytes(r["ends"]).values()
+                ends = EliasFano.from_bytes(r["ends"]).select(np.arange(r["n_docs"]))
                 starts = np.r_[0, ends[:-1]]
                 known = EliasFano.from_bytes(r["docs"]).values() + r["first_doc"]
                 raw = memoryview(ids.tobytes())
@@ -176,6 +182,43 @@ def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
         work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else ""))
 
 
+def fetch_ids(wanted: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and ids of the documents of a file set whose doc_id is in ``wanted``.
+
+    The doc_ids of the blocks are met with those wanted; a block with hits is read, and ``select`` gives both ends
+    of each hit. Nothing else of it is decoded. A doc_id wanted twice counts once; one the files lack gives no row.
+    """
+    spark = wanted.sparkSession
+    blocks = spark.read.schema(_BLOCK).parquet(path)
+
+    def place(batches):
+        for rows in batches:
+            for r in rows.to_pylist():
+                known = EliasFano.from_bytes(r["docs"]).values() + r["first_doc"]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(known), "shard": pa.array(np.full(len(known), r["shard"], np.int32)),
+                    "start_in_shard": pa.array(np.full(len(known), r["start_in_shard"])), "i": pa.array(np.arange(len(known)))})
+    places = blocks.select("shard", "start_in_shard", "first_doc", "docs").mapInArrow(
+        place, "doc_id bigint, shard int, start_in_shard bigint, i bigint")
+    hits = places.join(wanted.select("doc_id"), "doc_id", "left_semi")
+
+    def cut(batches):
+        for rows in batches:
+            column = {c: rows.column(c) for c in ("doc_id", "i", "ends", "width", "ids")}
+            for k in range(rows.num_rows):
+                i = column["i"][k].as_py()
+                ends = EliasFano.from_bytes(column["ends"][k].as_py()).select([max(i - 1, 0), i])
+                lo, hi = (int(ends[0]) if i else 0), int(ends[1])
+                width = column["width"][k].as_py()
+                ids = np.frombuffer(column["ids"][k].as_buffer(), f"<u{width}")[lo:hi].astype(np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": column["doc_id"].slice(k, 1), "n_tokens": pa.array([hi - lo]),
+                    "ids": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.array(ids))})
+    payload = blocks.select("shard", "start_in_shard", "ends", "width", "ids")
+    return (hits.join(payload, ["shard", "start_in_shard"]).select("doc_id", "i", "ends", "width", "ids")
+            .mapInArrow(cut, "doc_id bigint, n_tokens bigint, ids array<int>"))
+
+
 @register("op7_token_files")
 def op7_token_files(spark, sf_dir):
     import public_tokenizers
