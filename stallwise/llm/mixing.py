@@ -103,9 +103,9 @@ v AS (SELECT source, source_size, slope, CASE WHEN level <= ratio THEN weight *
 x AS (SELECT *, (sum(target * (1 - slope)) OVER ())::DOUBLE AS lin, (sum(target * slope) OVER ())::DOUBLE AS sq FROM v),
 o AS (SELECT d.doc_id, d.size, x.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
-e AS (SELECT *, [0, 1, 2] AS every, round(target)::BIGINT AS need FROM o),
-f AS (SELECT *, list_filter(every, x -> least(size, need - off - x * source_size) > 0) AS used FROM e),
-u AS (SELECT *, (off + used[1] * source_size) / nullif(target, 0) AS u1, (off + used[-1] * source_size) / nullif(target, 0) AS u2 FROM f),
+e AS (SELECT *, round(target)::BIGINT AS need FROM o),
+f AS (SELECT *, CASE WHEN size = 0 THEN NULL WHEN need > off + 2 * source_size THEN 2 WHEN need > off + source_size THEN 1 WHEN need > off THEN 0 END AS last FROM e),
+u AS (SELECT *, CASE WHEN last IS NOT NULL THEN off / nullif(target, 0) END AS u1, (off + last * source_size) / nullif(target, 0) AS u2 FROM f),
 t AS (SELECT *, CASE WHEN slope = 0 THEN u1 ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u1) - (1 - slope)) / (2 * slope) END AS t1,
       CASE WHEN slope = 0 THEN u2 ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u2) - (1 - slope)) / (2 * slope) END AS t2 FROM u),
 p AS (SELECT *, floor(lin * t1 + sq * t1 * t1)::BIGINT AS first_position, floor(lin * t2 + sq * t2 * t2)::BIGINT AS last_position FROM t)
