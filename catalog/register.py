@@ -315,7 +315,7 @@ def register_pages(spark, sf):
         field("Etajul", text("l_linenumber")), field("Veceu", F.lit("da")), field("Baie", F.lit("nu")), field("Ultimul etaj", last),
         field("Valoarea estimată", (F.col("lei") / 1000).cast("int").cast("string"), F.lit(" "), F.lpad((F.col("lei") % 1000).cast("string"), 3, "0"), F.lit(" lei")))
     units = (lines.select("l_partkey", F.struct("l_orderkey", "l_linenumber", unit.alias("html")).alias("u")).groupBy("l_partkey")
-             .agg(F.array_join(F.array_sort(F.collect_list("u"))["html"], "").alias("units")))  # a page is a text of one building
+             .agg(F.array_join(F.sort_array(F.collect_list("u"))["html"], "").alias("units")))  # a page is a text of one building
     head = F.concat(
         F.lit("<div><summary class='x'>Cod <strong> 01."), text("p_partkey"), F.lit(" </strong></summary><ul>"),
         field("Adresa", F.lit("mun. Oraș, sect. Centru str. "), F.col("p_name"), F.lit(", "), text("p_size"), F.lit("/A")),

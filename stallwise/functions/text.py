@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from functools import cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from stallwise import vocab
@@ -121,6 +121,34 @@ def html_clean(text) -> Column:
     return strip(F.regexp_replace(unescape(F.regexp_replace(_c(text), "<[^>]+>", "")), r"(?U)\s+", " "))
 
 
+#: Stands between joined texts. Spaces around it keep it apart from the names of entities.
+CUT = "\x01"
+
+
+def _joined(texts: str) -> Column:
+    return F.concat(F.lit(f"{CUT} "), F.array_join(texts, f" {CUT} ", CUT + CUT), F.lit(f" {CUT}"))
+
+
+def _parted(df: DataFrame, name: str, parts: str, texts: str, single: Callable[[Column], Column]) -> DataFrame:
+    """The parts of a joined text, if they are as many as its texts; else each text on its own."""
+    whole = F.size(parts) == F.size(texts) + 2
+    return df.withColumn(name, F.when(whole, F.slice(parts, F.lit(2), F.size(texts))).otherwise(F.transform(texts, single)))
+
+
+def html_clean_all(df: DataFrame, name: str, texts: str) -> DataFrame:
+    """Add ``html_clean`` of every text of an array column; the texts are cleaned joined, in one go, not one by one.
+
+    No step makes or drops the sign between the texts, so the number of pieces tells whether it, or a NULL, was among
+    them; such rows are cleaned text by text.
+    """
+    joined = F.col("__joined")
+    step = df.withColumn("__joined", _joined(texts))
+    step = step.withColumn("__joined", F.when(joined.contains("<"), F.regexp_replace(joined, f"<[^>{CUT}]+>", "")).otherwise(joined))
+    step = step.withColumn("__joined", F.when(joined.contains("&"), unescape(joined)).otherwise(joined))
+    step = step.withColumn("__cleaned", F.split(F.regexp_replace(joined, r"(?U)\s+", " "), f" ?{CUT} ?"))
+    return _parted(step, name, "__cleaned", texts, html_clean).drop("__joined", "__cleaned")
+
+
 @F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     import html
@@ -157,6 +185,12 @@ def plain(text) -> Column:
     return strip(F.lower(strip_marks(text)))
 
 
+def plain_all(df: DataFrame, name: str, texts: str) -> DataFrame:
+    """Add ``plain`` of every text of an array column, folded joined as ``html_clean_all`` cleans them."""
+    folded = F.split(F.lower(strip_marks(_joined(texts))), rf"(?U)\s*{CUT}\s*")
+    return _parted(df.withColumn("__folded", folded), name, "__folded", texts, plain).drop("__folded")
+
+
 @F.pandas_udf(StringType())
 def _decompose(text: pd.Series) -> pd.Series:
     import unicodedata as ud

@@ -14,51 +14,52 @@ def html_segments(df: DataFrame, html: str, mark: str) -> DataFrame:
 
     Text before the first mark belongs to no segment; pages without a mark give no rows.
     """
-    codes = F.regexp_extract_all(F.col(html), F.lit(mark), F.lit(1))
-    bodies = F.split(F.col(html), mark)
-    bodies = F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0)))
-    zipped = F.arrays_zip(codes.alias("code"), bodies.alias("body"))
-    return (df.withColumn("__z", zipped).select(*df.columns, F.posexplode("__z").alias("segment", "__s"))
+    # the outer form: from an inner one Spark derives a filter that splits every page again, several times over
+    staged = df.withColumns({"__codes": F.regexp_extract_all(F.col(html), F.lit(mark), F.lit(1)), "__bodies": F.split(F.col(html), mark)})
+    bodies = F.slice("__bodies", F.lit(2), F.greatest(F.size("__bodies") - 1, F.lit(0)))
+    zipped = F.arrays_zip(F.col("__codes").alias("code"), bodies.alias("body"))
+    return (staged.select(*df.columns, zipped.alias("__z")).select(*df.columns, F.posexplode_outer("__z").alias("segment", "__s"))
+            .where(F.col("segment").isNotNull())
             .select(*df.columns, "segment", F.col("__s.code").alias("code"), F.col("__s.body").alias("body")))
 
 
+def first_segment(df: DataFrame, html: str, mark: str) -> DataFrame:
+    """The first marked segment of every page as ``html_segments`` gives it, without its number; later ones are not cut out."""
+    staged = df.withColumn("__bodies", F.split(F.col(html), mark, 3)).where(F.size("__bodies") > 1)
+    return staged.withColumns({"code": F.regexp_extract(html, mark, 1), "body": F.get("__bodies", F.lit(1))}).drop("__bodies")
+
+
 def html_fields(df: DataFrame, body: str, field: str, known: Mapping[str, str]) -> DataFrame:
     """Labelled fields of a segment: known labels (by folded prefix) as columns, the rest as a map.
 
     The first field of a known column counts; repeats and unknown labels go to ``extras``.
     """
-    raw = F.arrays_zip(F.regexp_extract_all(F.col(body), F.lit(field), F.lit(1)).alias("label"),
-                       F.regexp_extract_all(F.col(body), F.lit(field), F.lit(2)).alias("value"))
-
     def column(folded):
         key = F.lit(None).cast("string")
         for prefix, name in reversed(known.items()):
             key = F.when(folded.startswith(prefix), name).otherwise(key)
         return key
-
-    def keyed(p):
-        return maps.bind(text.html_clean(p["label"]), lambda label: F.struct(
-            label.alias("label"), text.html_clean(p["value"]).alias("value"), maps.bind(text.plain(label), column).alias("key")))
-    # one column per step, so that the keyed array is computed once and not per output
-    step = df.withColumn("__raw", raw).withColumn("__pairs", F.transform("__raw", keyed))
-    step = step.withColumn("__keys", F.transform("__pairs", lambda p: p["key"]))
+    # one column per step, so that nothing is computed once per output or per field; labels and values are cleaned together
+    step = df.withColumns({"__labels": F.regexp_extract_all(F.col(body), F.lit(field), F.lit(1)),
+                           "__values": F.regexp_extract_all(F.col(body), F.lit(field), F.lit(2))})
+    step = text.html_clean_all(step.withColumn("__texts", F.concat("__labels", "__values")), "__clean", "__texts")
+    size = F.size("__labels")
+    step = step.withColumns({"__labels": F.slice("__clean", F.lit(1), size), "__values": F.slice("__clean", size + 1, size)})
+    step = text.plain_all(step, "__plain", "__labels").withColumn("__keys", F.transform("__plain", column))
 
     def first(column):
-        return F.get(F.filter("__pairs", lambda p: p["key"] == column), F.lit(0))["value"]
-    spare = F.filter("__pairs", lambda p, i: p["key"].isNull() | (F.array_position("__keys", p["key"]) != i + 1))
+        return F.get("__values", (F.nullif(F.array_position("__keys", F.lit(column)), F.lit(0)) - 1).cast("int"))
+    pairs = F.arrays_zip(F.col("__labels").alias("label"), F.col("__values").alias("value"), F.col("__keys").alias("key"))
+    spare = F.filter(pairs, lambda p, i: p["key"].isNull() | (F.array_position("__keys", p["key"]) != i + 1))
     named = step.withColumns({**{c: first(c) for c in dict.fromkeys(known.values())}, "__spare": spare})
-    named = named.drop("__raw", "__pairs", "__keys")
+    named = named.drop("__labels", "__values", "__texts", "__clean", "__plain", "__keys")
     return maps.with_last_wins(named, "extras", F.col("__spare")).drop("__spare")
 
 
-def register_segments(pages: DataFrame, html="html") -> DataFrame:
-    updated = F.nullif(F.regexp_extract(html, vocab.REGISTER_UPDATED, 1), F.lit(""))
-    return html_segments(pages.withColumn("updated", updated), html, vocab.REGISTER_MARK)
-
-
 def parse_buildings(pages: DataFrame, html="html", geometry="geometry") -> DataFrame:
     """Buildings of register pages: the first segment of every page."""
-    first = register_segments(pages, html).where(F.col("segment") == 0)
+    updated = F.nullif(F.regexp_extract(html, vocab.REGISTER_UPDATED, 1), F.lit(""))
+    first = first_segment(pages, html, vocab.REGISTER_MARK).withColumn("updated", updated)
     got = html_fields(first, "body", vocab.REGISTER_FIELD, vocab.BUILDING_LABELS)
     street, house = address.split_address("address")
     return got.select(
@@ -70,8 +71,8 @@ def parse_buildings(pages: DataFrame, html="html", geometry="geometry") -> DataF
 
 def parse_units(pages: DataFrame, html="html") -> DataFrame:
     """Units of register pages: the later segments, tied to the building of the first mark."""
-    building = F.get(F.regexp_extract_all(F.col(html), F.lit(vocab.REGISTER_MARK), F.lit(1)), F.lit(0))
-    rest = register_segments(pages.withColumn("building", building), html).where(F.col("segment") > 0)
+    building = F.regexp_extract(html, vocab.REGISTER_MARK, 1)
+    rest = html_segments(pages.withColumn("building", building), html, vocab.REGISTER_MARK).where(F.col("segment") > 0)
     got = html_fields(rest, "body", vocab.REGISTER_FIELD, vocab.UNIT_LABELS)
     answer = F.create_map(*[F.lit(x) for pair in vocab.YES_NO.items() for x in pair])
     return got.select(
