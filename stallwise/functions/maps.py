@@ -34,15 +34,22 @@ def with_last_wins(df: DataFrame, name: str, pairs: Column) -> DataFrame:
     """Add a map of an array of (label, value) structs; of equal labels the last one counts.
 
     Earlier duplicates are removed before the map is built, so the result does not depend on
-    session settings. The array and its labels become columns first: inside a lambda, an
-    expression would be computed again for every element.
+    session settings; only labels that stand more than once are looked for. What a lambda reads becomes a column
+    first, used twice: an expression inside a lambda would be computed again for every element.
     """
     staged = df.withColumn("__pairs", pairs)
-    staged = staged.withColumn("__labels", F.reverse(F.transform("__pairs", lambda p: p["label"])))
-    size = F.size("__labels")
-    kept = F.filter("__pairs", lambda p, i: F.array_position("__labels", p["label"]) == size - i)
-    built = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["label"], p["value"])))
-    return staged.withColumn(name, built).drop("__pairs", "__labels")
+    staged = staged.withColumn("__labels", F.reverse("__pairs.label"))
+    staged = staged.withColumn("__sorted", F.sort_array("__labels"))
+    staged = staged.withColumn("__again", F.filter("__sorted", lambda l, i: l == F.get("__sorted", i + 1)))
+    labels, again = F.col("__labels"), F.col("__again")
+
+    def last(p, i):
+        return ~F.array_contains(again, p["label"]) | (F.array_position(labels, p["label"]) == F.size(labels) - i)
+    kept = (F.when(F.size(again) == 0, F.filter("__pairs", lambda p: p["label"].isNotNull()))
+            .otherwise(F.filter("__pairs", lambda p, i: p["label"].isNotNull() & last(p, i))))
+    staged = staged.withColumn("__kept", kept)
+    return (staged.withColumn(name, F.map_from_arrays("__kept.label", "__kept.value"))
+            .drop("__pairs", "__labels", "__sorted", "__again", "__kept"))
 
 
 def as_text(m: Column, sep="|") -> Column:

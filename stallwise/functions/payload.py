@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise import vocab
 from stallwise.functions.maps import bind
+from stallwise.functions.text import CUT
 
 
 def _c(x) -> Column:
@@ -58,22 +59,33 @@ def unit_label(code, labels: Mapping[str, str] = vocab.UNITS, prefix=vocab.UNIT_
     return F.coalesce(known[code], F.replace(F.coalesce(code, F.lit("")), F.lit(prefix), F.lit("")))
 
 
+def parsed_object(value) -> Column:
+    """The parsed value of a feature value that is an object; NULL for any other."""
+    return F.when(_is_object(_c(value)), F.try_parse_json(_c(value)))
+
+
+def read_parts(value, parsed) -> dict[str, Column]:
+    """A feature value given as JSON text: the text, its first sign and its ``parsed_object``."""
+    value = _c(value)
+    return {"value": value, "first": F.substring(F.ltrim(value), 1, 1), "v": _c(parsed)}
+
+
 def read_value(value) -> Column:
-    """A feature value given as JSON text, parsed once: the text, its first sign and the parsed value."""
-    return bind(_c(value), lambda v: F.struct(v.alias("value"), F.substring(F.ltrim(v), 1, 1).alias("first"), F.try_parse_json(v).alias("v")))
+    """As ``read_parts``, in one column that is computed once."""
+    return bind(_c(value), lambda v: F.struct(*[c.alias(name) for name, c in read_parts(v, parsed_object(v)).items()]))
 
 
-def key_of(read: Column, key: str, kind="string") -> Column:
+def key_of(read: Column | Mapping[str, Column], key: str, kind="string") -> Column:
     """A key of a value that was read; NULL where the value is no object or lacks it."""
     return F.when(read["first"] == "{", F.try_variant_get(read["v"], f"$.{key}", kind))
 
 
-def _amount(read: Column) -> Column:
+def _amount(read: Column | Mapping[str, Column]) -> Column:
     """The amount of an object as its JSON spells it."""
     return F.get_json_object(read["value"], "$.value")
 
 
-def value_text(read: Column, labels: Mapping[str, str] = vocab.UNITS) -> Column:
+def value_text(read: Column | Mapping[str, Column], labels: Mapping[str, str] = vocab.UNITS) -> Column:
     """Readable text of a value that was read.
 
     Objects: translation, else phone list, else coordinates, else amount + unit (+ bargain mark),
@@ -83,7 +95,8 @@ def value_text(read: Column, labels: Mapping[str, str] = vocab.UNITS) -> Column:
     value, v = read["value"], read["v"]
 
     def key(name, kind="string"):
-        return F.try_variant_get(v, f"$.{name}", kind)
+        # a key stands in the text as it is, unless escaped
+        return F.when(value.contains(name) | value.contains("\\"), F.try_variant_get(v, f"$.{name}", kind))
 
     def priced(p):
         unit = unit_label(F.coalesce(F.nullif(key("unit"), F.lit("")), key("measurement")), labels)
@@ -103,7 +116,7 @@ def value_text(read: Column, labels: Mapping[str, str] = vocab.UNITS) -> Column:
     return (F.when(value.isNull(), F.lit("")).when(read["first"] == "{", shown)
             .when(read["first"] == "[", F.when(plain == "[]", "").otherwise(listed))
             .when(plain.isin("", "null"), "").when(plain.isin("true", "false"), F.initcap(plain))
-            .otherwise(F.regexp_replace(value, r'^"|"$', "")))
+            .when(~value.contains('"'), value).otherwise(F.regexp_replace(value, r'^"|"$', "")))
 
 
 #: An object of nothing but a translation without escapes, as most values are.
@@ -116,17 +129,40 @@ def feature_text(value, labels: Mapping[str, str] = vocab.UNITS) -> Column:
     return F.coalesce(plain, bind(read_value(value), lambda r: value_text(r, labels)))
 
 
-def amount_of(read: Column) -> Column:
+#: Stands before texts that were cut out of joined values.
+_DONE = "\x02"
+_JOINED_TRANSLATION = rf'{CUT}\{{"translated":"([^"\\{CUT}]+)"\}}(?={CUT})'
+
+
+def feature_texts(df: DataFrame, name: str, values: str) -> DataFrame:
+    """Add ``feature_text`` of every value of an array column.
+
+    Plain translations are cut out of the joined values in one go; only other values are read one by one. Where a value
+    holds one of the signs that join and mark, all are read on their own.
+    """
+    joined, pieces = F.col("__joined"), F.col("__pieces")
+    step = df.withColumn("__joined", F.concat(F.lit(CUT), F.array_join(values, CUT, ""), F.lit(CUT)))
+    step = step.withColumn("__pieces", F.split(F.regexp_replace(joined, _JOINED_TRANSLATION, f"{CUT}{_DONE}$1"), CUT, -1))
+
+    def shown(piece):
+        return (F.when(piece.startswith(_DONE), F.substr(piece, F.lit(2))).when(piece == "", "")
+                .otherwise(bind(read_value(piece), lambda r: value_text(r))))
+    whole = (F.size(pieces) == F.size(values) + 2) & ~joined.contains(_DONE)
+    texts = F.when(whole, F.transform(F.slice(pieces, F.lit(2), F.size(values)), shown)).otherwise(F.transform(values, lambda v: feature_text(v)))
+    return step.withColumn(name, texts).drop("__joined", "__pieces")
+
+
+def amount_of(read: Column | Mapping[str, Column]) -> Column:
     """``money_amount`` of a value that was read: a quoted number inside an object is text."""
     kind = F.schema_of_variant(F.try_variant_get(read["v"], "$.value", "variant"))
     return F.when(read["first"] == "{", F.when(kind != "STRING", _as_number(_amount(read)))).otherwise(_as_number(read["value"]))
 
 
-def amount_text_of(read: Column) -> Column:
+def amount_text_of(read: Column | Mapping[str, Column]) -> Column:
     """``money_text`` of a value that was read."""
     return F.when(read["first"] == "{", F.coalesce(_amount(read), F.lit(""))).otherwise(F.coalesce(read["value"], F.lit("")))
 
 
-def unit_of(read: Column) -> Column:
+def unit_of(read: Column | Mapping[str, Column]) -> Column:
     """The unit code of a value that was read, empty where it has none."""
     return F.coalesce(F.nullif(key_of(read, "unit"), F.lit("")), key_of(read, "measurement"), F.lit(""))

@@ -60,13 +60,14 @@ def owner_columns(owner: str = "owner") -> dict[str, Column]:
     }
 
 
-def _item_array(groups="groups") -> Column:
-    """All controls of a card in order, inside the row."""
-    def item(c):
-        value = c["feature"]["value"]
-        return F.struct(c["feature"]["id"].alias("id"), F.coalesce(c["title"], F.lit("")).alias("title"),
-                        F.struct(value.alias("value"), payload.feature_text(value).alias("text")).alias("content"))
-    return F.flatten(F.transform(groups, lambda g: F.transform(g["controls"], item)))
+def _with_controls(cards: DataFrame, groups="groups") -> DataFrame:
+    """Cards with the numbers, titles, values and texts of all their controls in order, as arrays of equal length."""
+    flat = cards.withColumn("__controls", F.flatten(F.col(f"{groups}.controls")))
+
+    def each(path, kind):
+        return F.coalesce(F.col(f"__controls.{path}"), F.array().cast(f"array<{kind}>"))
+    items = flat.withColumns({"__ids": each("feature.id", "int"), "__titles": each("title", "string"), "__values": each("feature.value", "string")})
+    return payload.feature_texts(items, "__texts", "__values").drop("__controls")
 
 
 #: Features whose keys become columns of their own.
@@ -77,35 +78,30 @@ def parse_cards(cards: DataFrame, media_base="", media_size="900x900") -> DataFr
     """Raw cards (schema ``sources.listings.CARD``) to one text row per card with its attribute map.
 
     A card carries all its controls, so everything happens inside the row: nothing is exploded or
-    shuffled, and a value with several columns is parsed once for all of them. Attribute tables that
-    span rows go through ``eav_pivot`` and ``attribute_map``.
+    shuffled, and a value with several columns is parsed once for all of them. Spark compiles all but lambdas, so
+    those are kept to what needs them. Attribute tables that span rows go through ``eav_pivot`` and ``attribute_map``.
     """
-    def entries(items, label, value):
-        return F.transform(items, lambda i: F.struct(i[label].alias("label"), value(i).alias("value")))
-    empty = F.array().cast(f"array<struct<id:int,title:string,content:struct<value:string,text:string>>>")
-    items = cards.withColumn("__items", F.coalesce(_item_array(), empty))
-    titled = F.filter("__items", lambda i: i["title"] != "")
-
-    def shown_value(i):
-        content = i["content"]["text"]
-        return F.when(i["title"] == vocab.DISTRICT_FEATURE, text.renamed(content)).otherwise(content)
-    joined = maps.with_last_wins(items, "features", entries(titled, "title", shown_value))
+    items = _with_controls(cards)
+    entries = F.arrays_zip(F.col("__titles").alias("label"), F.col("__texts").alias("value"))
+    joined = maps.with_last_wins(items, "features", F.filter(entries, lambda e: e["label"] != ""))
+    place = F.col("features")[vocab.DISTRICT_FEATURE]
+    joined = joined.withColumn("features", F.when(place.isin(*vocab.DISTRICT_RENAMES), text.renamed_in_map("features")).otherwise(F.col("features")))
     # the last control of each wanted number, found from the end
-    numbers = F.reverse(F.transform("__items", lambda i: i["id"]))
-    joined = joined.withColumn("__numbers", numbers).withColumns({
-        f"f_{name}": F.get("__items", F.size("__items") - F.nullif(F.array_position("__numbers", F.lit(fid)), F.lit(0)).cast("int"))["content"]
+    joined = joined.withColumn("__numbers", F.reverse("__ids"))
+    joined = joined.withColumns({
+        f"n_{name}": F.size("__ids") - F.nullif(F.array_position("__numbers", F.lit(fid)), F.lit(0)).cast("int")
         for fid, name in vocab.FEATURE_IDS.items()})
-
-    joined = joined.withColumns({f"r_{name}": payload.read_value(F.col(f"f_{name}.value")) for name in _KEYED})
+    joined = joined.withColumns({f"f_{name}": F.get("__values", F.col(f"n_{name}")) for name in vocab.FEATURE_IDS.values()})
+    joined = joined.withColumns({f"r_{name}": payload.parsed_object(f"f_{name}") for name in _KEYED})
 
     def read(name):
-        return F.col(f"r_{name}")
+        return payload.read_parts(f"f_{name}", f"r_{name}")
 
     def raw(name):
-        return F.col(f"f_{name}.value")
+        return F.col(f"f_{name}")
 
     def shown(name):
-        return F.coalesce(F.col(f"f_{name}.text"), F.lit(""))
+        return F.coalesce(F.get("__texts", F.col(f"n_{name}")), F.lit(""))
 
     def part(name, key, kind="string"):
         return payload.key_of(read(name), key, kind)

@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from stallwise import vocab
+from stallwise.functions import payload
 from stallwise.operators import cards, pages, privacy
 from stallwise.sources import listings, sinks, urls
 
@@ -113,3 +114,25 @@ def test_csv_and_partitioned_snapshots(spark, tmp_path):
     assert (back.title, back.price) == ('quote "x", comma', "2.5")
     sinks.write_snapshots(df, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).where("run = 1").count() == 1
+
+
+def test_texts_of_all_values_equal_the_text_of_each(spark):
+    odd = ['{"translated":"x"}', '{"translated":""}', '{"translated":"a \\"b\\""}', '{"translated":"x"}\n', '{"translated":"x","value":1}', None, "", "null",
+           "true", '"quoted"', "7", "{}", "[]", '["a",true,null,1.50]', "[broken", "{broken", '{"value":1.50,"unit":"UNIT_EUR","bargain":true}',
+           '{"v\\u0061lue":3}', '{"value":null,"measurement":"m"}', '{"lat":1,"lon":2}', '{"phone_numbers":["1","2"]}', " {\"translated\":\"y\"} "]
+    rows = [(1, odd), (2, []), (3, odd + ["\x01"]), (4, ["\x02a", '{"translated":"\x02"}', '{"translated":"p\x01q"}']), (5, [None]), (6, ['{"translated":"$1"}'])]
+    df = spark.createDataFrame(rows, "id int, vals array<string>")
+    got = payload.feature_texts(df, "texts", "vals").withColumn("single", F.transform("vals", lambda v: payload.feature_text(v))).collect()
+    assert len(got) == 6 and all(r.texts == r.single for r in got)
+    assert got[0].texts[:9] == ["x", "", 'a "b"', "x", "x", "", "", "", "True"]
+
+
+def test_last_of_repeated_titles_counts(spark, tmp_path):
+    text = lambda t: {"translated": t}
+    groups = [{"title": "A", "controls": [control(1, "F", text("1")), control(2, "", text("2")), control(3, "G", text("3")), control(4, None, text("4"))]},
+              {"title": "B", "controls": [control(1, "Сектор", text("Окраина")), control(1, "F", text("5")), control(5, "Сектор", text("Centru")), control(6, "F", text("6"))]}]
+    lone = [{"title": "A", "controls": [control(1, "F", text("1"))]}, {"title": "B"}]
+    raw = listings.read_cards(spark, write_lines(tmp_path, "r.json", [{"id": "1", "groups": groups}, {"id": "2", "groups": lone}, {"id": "3"}]))
+    parsed = cards.parse_cards(raw).select("id", "offer_type", F.map_keys("features").alias("names"), F.map_values("features").alias("texts"))
+    got = {r.id: (r.names, r.texts, r.offer_type) for r in parsed.collect()}
+    assert got == {"1": (["G", "Сектор", "F"], ["3", "Centru", "6"], "5"), "2": ([], [], ""), "3": ([], [], "")}
