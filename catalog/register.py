@@ -252,6 +252,7 @@ def _(spark, sf):
 
 def points_and_places(spark, sf):
     view = b.listings(spark, sf, False).where(F.col("house") != "")
+    view = view.where((F.col("profile") == "apartments") | F.col("gone_at").isNotNull())  # others are neither
     view = stored(view.select("profile", "gone_at", "lat", "lon", "street", "house", "floor"), "addresses")
     points = view.where((F.col("profile") == "apartments") & F.col("gone_at").isNull())
     places = view.where(F.col("gone_at").isNotNull()).withColumn("lat", F.col("lat") + (F.col("floor") % 3) * F.lit(0.0001))

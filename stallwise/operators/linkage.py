@@ -173,6 +173,16 @@ def near_places(points: DataFrame, places: DataFrame, radii: Sequence[float] = (
 POINT = ("lat", "lon")
 
 
+def near_addresses(here: DataFrame, there: DataFrame, radii: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """Near spots, and near addresses of one house number; both sides carry lat, lon and house_key.
+
+    Distinct spots are searched, as ``near_places`` does, and addresses join what was found: none is copied to nine cells.
+    """
+    spots = stored(near_places(here.select(*POINT).distinct(), there.select(*POINT).distinct(), radii), "near-spots")
+    around = there.withColumnsRenamed({c: f"place_{c}" for c in POINT})
+    return spots, here.join(spots, list(POINT)).join(around, ["place_lat", "place_lon", "house_key"])
+
+
 def _spot(df: DataFrame) -> DataFrame:
     """Coordinates to six decimals, the street, and the house number as it is compared."""
     return df.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6), "street": F.coalesce("street", F.lit("")),
@@ -188,7 +198,7 @@ def match_points(listings: DataFrame, places: DataFrame, radii: Sequence[float]
     address of the point; points of new builds only are surveyed in the inner ring. Among the places met by
     then, an address takes the best street of its house number, the earliest one on ties.
 
-    Addresses and places meet by cell and house number, so the work follows what stands around a point. Places of
+    Addresses and places meet by near spots and house number, so the work follows what stands around a point. Places of
     one spot, street and number count once, and street names are scored once per distinct pair.
     """
     spots = _spot(listings).where(F.col("house_key") != "").select(*POINT, "street", "house_key", "all_new")
@@ -196,7 +206,7 @@ def match_points(listings: DataFrame, places: DataFrame, radii: Sequence[float]
     here = spots.select(*POINT, "street", "house_key").distinct()
     there = _spot(places).groupBy(*POINT, F.col("street").alias("b_street"), "house_key").agg(F.min("code").alias("code"))
     inner = sorted(radii)[1] if len(radii) > 1 else max(radii)
-    near = near_places(here, there, radii, ["house_key"]).join(fresh, list(POINT), "left").where(F.col("__new").isNull() | (F.col("ring") <= inner))
+    near = near_addresses(here, there, radii)[1].join(fresh, list(POINT), "left").where(F.col("__new").isNull() | (F.col("ring") <= inner))
     good = stored(score_streets(stored(near.drop("__new"), "near-places"), score).where(F.col("score") >= min_score), "similar-places")
     order = F.struct("ring", "direction")
     stops = stored(good.groupBy(*POINT).agg(F.min(order).alias("__stop")), "stops")
@@ -229,9 +239,8 @@ def probe_candidates(points: DataFrame, places: DataFrame, radii: Sequence[float
     here = points.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "street", house).distinct()
     there = places.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),
                           F.col("street").alias("b_street"), house).distinct()
-    spots = near_places(here.select("lat", "lon").distinct(), there.select("lat", "lon").distinct(), radii)
+    spots, pairs = near_addresses(here, there, radii)
     near = spots.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("places"))
-    pairs = near_places(here, there, radii, ["house_key"])
     matched = (score_streets(pairs, score).where(F.col("score") >= min_score)
                .groupBy("lat", "lon").agg(F.min("ring").alias("ring")))
     every = here.select("lat", "lon").distinct()

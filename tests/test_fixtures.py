@@ -224,3 +224,15 @@ def test_limits_of_deals_request_fall_back(spark):
     for spec, n in (({}, 1), ({"pool_min": 0}, 1), ({"pool_min": 9}, 0), ({"discount_min": 0}, 1), ({"discount_max": 40}, 0), ({"min_area": 41}, 0)):
         got = filters.apply_filters(df, {"tab": "deals", "city": None, **spec}, as_of=as_of).count()
         assert got == n, spec
+
+
+def test_addresses_meet_over_near_spots(spark):
+    here = [(47.0, 28.9, "a", "1"), (47.0, 28.9, "b", "2"), (47.0001, 28.9, "a", "1"), (10.0, 10.0, "a", "1"), (None, 28.9, "a", "1"), (47.0, 28.9, None, "")]
+    there = [(47.0, 28.9, "a", "1"), (47.0001, 28.9001, "b", "1"), (47.0002, 28.9, "c", "2"), (47.0, 28.9, "d", ""), (47.01, 28.9, "e", "1"), (float("nan"), 28.9, "f", "1")]
+    here = spark.createDataFrame(here, "lat double, lon double, street string, house_key string")
+    there = spark.createDataFrame(there, "lat double, lon double, b_street string, house_key string")
+    spots, pairs = linkage.near_addresses(here, there, (0.0, 12.0, 25.0))
+    wanted = linkage.near_places(here, there, (0.0, 12.0, 25.0), ["house_key"])
+    rows = lambda df: sorted(map(str, df.select(*sorted(wanted.columns)).collect()))
+    assert rows(pairs) == rows(wanted) and pairs.count() == 6
+    assert spots.count() == spots.select("lat", "lon", "place_lat", "place_lon").distinct().count()
