@@ -13,10 +13,12 @@ common to two, which bounds the similarity of a pair before its sets are read, a
 link at all. Within a bucket only nodes that are not yet in one component need comparing. First a pivot is
 compared with the others and the links found contract the components, on few bands at first, so that a group of
 copies, however large, collapses on few pairs. Buckets that still hold several components are closed by comparing
-all their pairs of different components inside the join; only links leave it. A link is confirmed on the full
-sets: 100 * intersection >= 75 * union.
+all their pairs of different components: a task holds the sets of a bucket and counts what they have in common by
+products of 0/1 matrices of their shingles. A large bucket is cut into cells, in which its largest component
+does not meet itself; only a forest of links leaves a cell. A link is confirmed on the full sets: 100 * intersection >= 75 * union.
 
-How it scales. Only nodes that share a bucket have their sets looked up. Counting, pivots and labels are
+How it scales. Only nodes that share a bucket have their sets looked up. Closing takes products that grow with the
+members of a bucket times those outside its largest component. Counting, pivots and labels are
 partial aggregates; joins on hot buckets are plain sort-merge joins that adaptive execution splits.
 
 Edge cases. Fewer than five words: the whole sequence is one shingle. No words: an empty set, linked with
@@ -25,6 +27,8 @@ linked with what any of them is linked with. Extra columns are ignored.
 """
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -36,6 +40,10 @@ from .components import components
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Successive rounds before buckets are closed: pivots per bucket and the bands looked at (from, to, of 32nds).
 ROUNDS = ((1, 0, 4), (1, 4, 32))
+#: Shingles in the sets of a cell (a bucket or a part of it) or of each of its two sides; sets, and codes, multiplied at once.
+_CELL, _TILE = 1 << 21, 1024
+#: A matrix product of 0 and 1 takes so many pairs in the time of one pair by itself.
+_DENSE = 300
 
 
 def shingle_sets(data, offsets, n: int):
@@ -161,22 +169,127 @@ def _pairs(buckets: DataFrame, pivots: int, percent: int) -> DataFrame:
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
 
 
-def _closing_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, bands: int, percent: int) -> DataFrame:
-    """Links (a, b) among all pairs of different components in a bucket; pairs without a link never leave the join.
+def _cells(buckets: DataFrame) -> DataFrame:
+    """Members of buckets with the cells in which they meet: columns x, y of the cell and a side.
+
+    Of buckets with the same members one is left. A bucket whose sets hold up to ``_CELL`` shingles is one cell, side 2: all
+    meet all. Of a larger one the largest component need not meet itself; it and the rest are cut into parts, and
+    every two parts that have to meet are the sides 0 and 1 of a cell."""
+    by = buckets.groupBy("bucket", "component").agg(
+        F.sum("n").alias("size"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"))
+    heads = by.groupBy("bucket").agg(F.sum("k").alias("k"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.sum("size").alias("size"),
+                                     F.max(F.struct("size", "component")).alias("most"))
+    one = heads.groupBy("k", "h1", "h2").agg(F.min(F.struct("bucket", "size", "most")).alias("head")).select(
+        "head.bucket", "head.size", F.col("head.most.component").alias("largest"),
+        F.ceil(F.col("head.most.size") / _CELL).cast("int").alias("g"), F.ceil((F.col("head.size") - F.col("head.most.size")) / _CELL).cast("int").alias("o"))
+    rows = buckets.join(one, "bucket").withColumn("inside", F.col("component") == F.col("largest"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("g")).otherwise(F.col("o"))).cast("int"))
+    cell = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.alias("side"))
+    part, rest, largest = F.col("part"), F.sequence(F.lit(0), F.col("o") - 1), F.sequence(F.lit(0), F.col("g") - 1)
+    cells = (F.when(F.col("size") <= _CELL, F.array(cell(F.lit(0), F.lit(0), F.lit(2))))
+             .when(F.col("inside"), F.transform(rest, lambda j: cell(j, -1 - part, F.lit(1))))
+             .otherwise(F.concat(F.transform(rest, lambda j: cell(F.least(part, j), F.greatest(part, j), F.when(part < j, 0).when(part > j, 1).otherwise(2))),
+                                 F.transform(largest, lambda j: cell(part, -1 - j, F.lit(0))))))
+    return rows.select("bucket", "node", "component", F.explode(cells).alias("cell")).select("bucket", "node", "component", "cell.*")
+
+
+def _common(one, two, sizes: tuple[int, int], codes: int, exact) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets, given as (codes in order, their sets).
+
+    Codes that many sets have are multiplied as 0/1 matrices, the others paired one by one."""
+    (ca, ra), (cb, rb) = one, two
+    na, nb = np.bincount(ca, minlength=codes), np.bincount(cb, minlength=codes)
+    load = na * nb
+    out = np.zeros(sizes, exact)
+    dense = np.flatnonzero(load * _DENSE > sizes[0] * sizes[1])
+    for at in range(0, len(dense), _TILE):
+        place = np.full(codes, -1)
+        place[dense[at: at + _TILE]] = np.arange(len(dense[at: at + _TILE]))
+        sides = []
+        for c, r, n in ((ca, ra, sizes[0]), (cb, rb, sizes[1])):
+            p = place[c]
+            m = np.zeros((n, min(_TILE, len(dense) - at)), exact)
+            m[r[p >= 0], p[p >= 0]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    load[dense] = 0
+    few = np.flatnonzero(load[ca])
+    if len(few):
+        start = np.cumsum(nb) - nb
+        for lo, hi in S.pieces(np.r_[0, np.cumsum(nb[ca[few]])], 1 << 21):
+            c, r = ca[few[lo:hi]], ra[few[lo:hi]]
+            pair = np.repeat(r * sizes[1], nb[c]) + rb[S.ragged(start[c], nb[c])]
+            out += np.bincount(pair, minlength=out.size).reshape(sizes)
+    return out
+
+
+def merged(component: np.ndarray, side: np.ndarray, grams: np.ndarray, counts: np.ndarray, percent: int):
+    """Pairs of components of one cell that links between their sets join, as a forest: (larger, its root)."""
+    ids, comp, members = np.unique(component, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(counts)), counts)
+    _, code, having = np.unique(grams, return_inverse=True, return_counts=True)
+    code, row = code[having[code] > 1], row[having[code] > 1]
+    place = np.cumsum(having > 1) - 1
+    code, codes = place[code], int(place[-1]) + 1 if len(place) else 0
+    order = np.lexsort((comp, -members[comp], side))  # a component's members stand together, and those of a side
+    order = np.split(order, np.flatnonzero(np.diff(side[order])) + 1)
+    tiles = [[part[at: at + _TILE] for at in range(0, len(part), _TILE)] for part in order]
+    at = np.zeros(len(counts), np.int64)
+    tile = np.zeros(len(counts), np.int64)
+    for k, t in enumerate(sum(tiles, [])):
+        at[t], tile[t] = np.arange(len(t)), k
+    entries = np.lexsort((code, tile[row]))
+    code, row = code[entries], row[entries]
+    ends = np.searchsorted(tile[row], np.arange(sum(map(len, tiles)) + 1))
+    packed = [(t, (code[a:b], at[row[a:b]])) for t, a, b in zip(sum(tiles, []), ends, ends[1:])]
+    if (side == 2).all():
+        meet = [(a, b) for i, a in enumerate(packed) for b in packed[i:]]
+    else:
+        meet = [(a, b) for a in packed[: len(tiles[0])] for b in packed[len(tiles[0]):]]
+    root = np.arange(len(ids))
+    exact = np.float32 if counts.max(initial=0) < 1 << 24 else np.float64
+    for (ta, one), (tb, two) in meet:
+        apart = root[comp[ta]][:, None] != root[comp[tb]][None, :]
+        if not apart.any():
+            continue
+        common = _common(one, two, (len(ta), len(tb)), codes, exact)
+        i, j = np.nonzero(apart & ((100.0 + percent) * common >= float(percent) * (counts[ta][:, None] + counts[tb][None, :])))
+        a, b = comp[ta[i]], comp[tb[j]]
+        while len(a):  # hook the larger root under the smaller until the links are inside trees
+            x, y = root[a], root[b]
+            open_ = x != y
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+    hit = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[hit], ids[root[hit]]
+
+
+def _closing_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of components: all pairs of different components in a bucket are compared, and a forest leaves the task."""
+    cells = _cells(buckets).join(sets, "node").select("bucket", "x", "y", "side", "component", "grams")
 
-    A pair is compared in the first bucket that it shares only, and its sets are read last."""
-    full = buckets.join(nodes.select("node", "bands"), "node").join(sets, "node")
-    one = full.select("bucket", "place", F.col("node").alias("a"), F.col("component").alias("ca"), "n", "r",
-                      F.col("bands").alias("ba"), F.col("grams").alias("ga"))
-    two = full.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("r").alias("q"),
-                      F.col("bands").alias("bb"), F.col("grams").alias("gb"))
-    earlier = F.lit(False)
-    for i in range(bands - 1):
-        earlier = earlier | ((F.col("place") > i) & (F.col("ba")[i] == F.col("bb")[i]))
-    alike = (F.when(F.col("a") >= F.col("b"), False).when(F.col("ca") == F.col("cb"), False)
-             .when(~_possible("n", "r", "m", "q", percent), False).when(earlier, False)
-             .otherwise(_similar("ga", "gb", "n", "m", percent)))
-    return one.join(two, "bucket").where(alike).select("a", "b").distinct()
+    def work(batches):
+        held = []
+        for rows in chain(batches, (None,)):
+            held += [] if rows is None else [rows]
+            if not held:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = [t[c].to_numpy() for c in ("bucket", "x", "y")]
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+            cuts = np.r_[0, new, t.num_rows] if rows is None else np.r_[0, new]
+            component, side = t["component"].to_numpy(), t["side"].to_numpy()
+            lists = t["grams"].chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int64()))
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for lo, hi in zip(cuts, cuts[1:]):
+                a, b = merged(component[lo:hi], side[lo:hi], values[offsets[lo]: offsets[hi]], np.diff(offsets[lo: hi + 1]), percent)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held = [] if rows is None else t.slice(cuts[-1]).to_batches()
+    return (cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+            .mapInArrow(work, "a bigint, b bigint"))
 
 
 def _open(buckets: DataFrame) -> DataFrame:
@@ -201,7 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
     labels = buckets.select("node", "component").limit(0)
     for pivots, low, high in (*ROUNDS, (None, 0, 32)):
         if pivots is None:
-            found = _closing_links(buckets, nodes, sets, bands, percent)
+            found = _closing_links(buckets, sets, percent)
         else:
             pairs = kept(_pairs(buckets.where((F.col("band") >= low) & (F.col("band") < high)), pivots, percent), "pairs")
             if pairs.isEmpty():
@@ -212,6 +325,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bins: in
         moved = labels.join(step, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         new = links.toDF("node", "component").join(labels.select("node"), "node", "left_anti")
         labels = kept(moved.unionByName(new), "labels")
+        if pivots is None:
+            break
         buckets = kept(_open(buckets.join(step, "component", "left").select(
             "band", "place", "bucket", "node", "n", "r", (F.col("single") & F.col("top").isNull()).alias("single"),
             F.coalesce("top", "component").alias("component"))), "open")

@@ -108,6 +108,41 @@ def test_minhash_needs_every_round(spark):
     assert by_id(minhash.near_duplicates(table(spark, rows))) == brute.near(rows)
 
 
+@pytest.mark.parametrize("shingles", [1 << 21, 900])
+def test_minhash_closes_buckets_by_cells(spark, monkeypatch, shingles):
+    """The same groups whether a bucket is one cell or many."""
+    monkeypatch.setattr(minhash, "_CELL", shingles)
+    rows = [(i, edited(BASE, 18, 100 + i)) for i in range(30)] + [(100 + i, edited(edited(BASE, 40, i), 45, 50 + i)) for i in range(30)]
+    assert by_id(minhash.near_duplicates(table(spark, rows))) == brute.near(rows)
+
+
+def test_minhash_deals_a_large_bucket_once(spark):
+    """Members of the largest component go to one cell each; buckets with the same members are one."""
+    rows = [(b, i, 0 if i < 5000 else i, 1000) for b in (7, 8) for i in range(5100)]
+    cells = minhash._cells(spark.createDataFrame(rows, "bucket bigint, node bigint, component bigint, n bigint")).collect()
+    inside, rest = [r for r in cells if r.component == 0], [r for r in cells if r.component]
+    assert {r.bucket for r in cells} == {7} and sorted(r.node for r in inside) == list(range(5000)) and {r.side for r in inside} == {1}
+    assert {(r.x, r.y) for r in inside} == {(0, -1), (0, -2), (0, -3)} and len(rest) == 400 and {(r.x, r.y, r.side) for r in rest} == {
+        (0, 0, 2), (0, -1, 0), (0, -2, 0), (0, -3, 0)}
+
+
+@pytest.mark.parametrize("tile, dense", [(1024, 300), (5, 300), (4, 0), (6, 10 ** 9)])
+def test_minhash_merges_by_products(monkeypatch, tile, dense):
+    monkeypatch.setattr(minhash, "_TILE", tile)
+    monkeypatch.setattr(minhash, "_DENSE", dense)
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(r.integers(2, 25))
+        base = r.integers(0, 60, 25)
+        sets = [{99, *np.where(r.random(25) < 0.3 * r.random(), r.integers(0, 90, 25), base).tolist()} for _ in range(n)]
+        own = (r.integers(0, n, n) * 3 + 5).tolist()
+        side = [2] * n if r.random() < 0.5 else [0, 1, *r.integers(0, 2, n - 2).tolist()]
+        pairs = [(own[i], own[j]) for i in range(n) for j in range(i) if (side[i] == 2 or side[i] != side[j])
+                 and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        a, b = minhash.merged(np.array(own), np.array(side), np.concatenate([sorted(x) for x in sets]), np.array([*map(len, sets)]), 75)
+        assert brute.groups(own, zip(a.tolist(), b.tolist())) == brute.groups(own, pairs)
+
+
 def test_sketch_estimates_similarity():
     a = spans.mix(np.arange(3000)) >> np.uint64(1)
     both = np.concatenate([a[:2000], a[1000:]])
