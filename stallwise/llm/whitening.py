@@ -279,7 +279,8 @@ def whiten(vectors: DataFrame, components: int = 16) -> DataFrame:
     for d, v in _products(points, fits, lambda fit, x: fit.centred(x)).items():
         values, axes = feast(spark, v, min(components, d))
         real = values > max(values.max(initial=0), 0) * d * _EPS * 16
-        fits[d].explained = (values[real] / np.trace(v)).tolist() if real.any() else []
+        share = values[real] / np.trace(v) if real.any() else np.zeros(0)
+        fits[d].explained = np.where(share > 1 - d * _EPS * 16, 1.0, share).tolist()  # what such a share leaves counts as no variance
         fits[d].map = axes[:, real] / np.sqrt(values[real])
     error = 0.0
     for m in _products(points, fits, lambda fit, x: fit.centred(x) @ fit.map).values():
